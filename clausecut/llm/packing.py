@@ -31,13 +31,13 @@ SEQUENCE = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = 0
 #: Most words a worker remembers the ids of; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 _tokenizers: dict[str, tuple] = {}
 
 
 def _tokenizer(name: str):
-    """A tokenizer file by its path, or by its name among the public ones that are installed where the worker runs."""
+    """A tokenizer file by its path, or by its name among the public ones that are installed where the worker runs; what is known so far; which ids end a word."""
     if name not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -47,25 +47,54 @@ def _tokenizer(name: str):
             import public_tokenizers
 
             path = public_tokenizers.path(name)
-        _tokenizers[name] = (Tokenizer.from_file(path), {})
+        t = Tokenizer.from_file(path)
+        ends = np.zeros(max(t.get_vocab().values()) + 1, dtype=bool)
+        ends[[i for x, i in t.get_vocab().items() if x.endswith("</w>")]] = True
+        _tokenizers[name] = (t, {"": b""}, ends)
     return _tokenizers[name]
 
 
+def _learn(new: list[str], tokenizer, known: dict[str, bytes], ends: np.ndarray) -> None:
+    """Puts the ids of the strings in known. Words of letters alone are encoded in one go and told apart by the ids that end a word."""
+
+    def raw(e) -> bytes:
+        return np.asarray(e.ids, dtype="<u4").tobytes()
+
+    words = sorted({w for x in new if (w := x[:-1] if x[-1] in ".," else x).isalpha() and w not in known})
+    if words:
+        ids = np.asarray(tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        stop = (np.flatnonzero(ends[ids]) + 1) * 4
+        if len(stop) == len(words):
+            whole, at = ids.tobytes(), 0
+            for w, end in zip(words, stop.tolist(), strict=True):
+                known[w] = whole[at:end]
+                at = end
+    rest = []
+    for x in new:
+        if x not in known:
+            if x[-1] in ".," and x[:-1] in known and x[:-1].isalpha() and x[-1] in known:
+                known[x] = known[x[:-1]] + known[x[-1]]
+            else:
+                rest.append(x)
+    for x, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        known[x] = raw(e)
+
+
 def encoded(texts: list[str], name: str = TOKENIZER) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers, without special tokens.
 
     This vocabulary's tokens never reach over a blank, a tab or a line's end, and it drops them; so the ids of a text are
     those of its parts between them, which are remembered.
     """
-    tokenizer, known = _tokenizer(name)
+    tokenizer, known, ends = _tokenizer(name)
     for at in range(0, len(texts), 256):
         parts = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts[at : at + 256]]
-        new = list(set().union(*parts) - known.keys())
-        if len(known) + len(new) > REMEMBERED:
+        every = set().union(*parts)
+        if len(known) > REMEMBERED:
             known.clear()
-            new = list(set().union(*parts))
-        for part, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[part] = np.asarray(e.ids, dtype="<u4").tobytes()
+            known[""] = b""
+        if new := [x for x in every if x not in known]:
+            _learn([*({".", ","} - known.keys()), *new], tokenizer, known, ends)
         for p in parts:
             yield b"".join(map(known.__getitem__, p))
 
