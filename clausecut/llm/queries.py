@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausecut.llm import exact_dedup, html_extract, line_dedup, lm_scoring, mixing, packing, pii, quality, secrets
+from clausecut.llm import exact_dedup, html_extract, line_dedup, lm_scoring, mixing, ngram_join, packing, pii, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -49,4 +53,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extract, op3_line_dedup, op4_pii, op5_best_fit_packing, op6_quality_rules, op7_lm_scoring, op8_secrets, op9_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extract, op3_line_dedup, op4_pii, op5_best_fit_packing, op6_quality_rules, op7_lm_scoring, op8_secrets, op9_mixing, op10_exact_dedup)}
