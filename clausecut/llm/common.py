@@ -38,10 +38,11 @@ class Scratch:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark).rstrip('/')}/clausecut-{label}-{uuid.uuid4().hex[:12]}", 0
         self.paths: dict[str, str] = {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+        """compact: for rows that are much smaller than what they were made from; they go to few files of a good size."""
         self.n += 1
         path = self.paths[name] = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        (df.hint("rebalance") if compact else df).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

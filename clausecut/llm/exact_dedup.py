@@ -46,12 +46,12 @@ def name_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pieces = norm.select(F.explode(_blocks(F.col("norm"), block)).alias("block"))
         d1, d2 = digest(F.col("block"), seed)
         distinct = pieces.select(d1.alias("d1"), d2.alias("d2"), "block").distinct()
-        names = scratch.write(distinct.sortWithinPartitions("block").select("d1", "d2", F.monotonically_increasing_id().alias("name")), f"blocks{seed}")
+        names = scratch.write(distinct.sortWithinPartitions("block").select("d1", "d2", F.monotonically_increasing_id().alias("name")), f"blocks{seed}", compact=True)
         if not names.groupBy("d1", "d2").count().where("count > 1").take(1):
             break
         scratch.drop(f"blocks{seed}")
     ones = F.transform(_blocks(F.col("norm"), block), lambda b: F.struct(digest(b, seed)[0].alias("d1"), digest(b, seed)[1].alias("d2")))
-    base = scratch.write(norm.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), ones.alias("digests")).withColumn("n_blocks", F.size("digests")), "base")
+    base = scratch.write(norm.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), ones.alias("digests")).withColumn("n_blocks", F.size("digests")), "base", compact=True)
     rows = base.select("rid", "n_blocks", F.posexplode("digests").alias("pos", "d")).select("rid", "n_blocks", "pos", "d.d1", "d.d2")
     level = scratch.write(rows.join(names, ["d1", "d2"]).select("rid", "n_blocks", "pos", "name"), "level0")
     done = level.where("n_blocks = 1").select("rid", "name")
