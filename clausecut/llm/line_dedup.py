@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausecut.llm.common import WORD, Scratch, broadcast_if_small, digest, text_or_empty
+from clausecut.llm.common import WORD, Scratch, digest, text_or_empty
 
 WINDOW, MEAN, LONG = 2, 3, 50
 #: Marks a boundary; escaped where a text has it.
@@ -75,7 +75,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = chunked(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))).select("_id", F.explode(F.filter("chunks", eligible)).alias("chunk")).select("_id", both(F.col("chunk")).alias("d")).select("_id", "d.d1", "d.d2")
     gone = own.join(again, ["d1", "d2"]).where("first_doc IS NULL OR _id IS NULL OR _id <> first_doc").groupBy("_id").agg(F.collect_set(F.struct("d1", "d2")).alias("_gone"))
     gone = scratch.write(gone, "gone")
-    out = chunked(docs, text_col).join(broadcast_if_small(gone, gone.count(), 512, 4 << 20), F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+    out = chunked(docs, text_col).join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
     none = F.array().cast("array<struct<d1:bigint,d2:bigint>>")
     out = out.withColumn("_d", F.transform("chunks", lambda c: F.when(eligible(c), both(c))))
     out = out.withColumn("_gone", F.coalesce("_gone", none))
