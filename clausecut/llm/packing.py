@@ -22,6 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,9 @@ SEQUENCE = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = 0
 #: Most words a worker remembers the ids of; then it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
+#: Marks that no token shares with letters before them. The apostrophe is not one.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -54,72 +58,102 @@ def _tokenizer(name: str):
     return _tokenizers[name]
 
 
-def _learn(new: list[str], tokenizer, known: dict[str, bytes], ends: np.ndarray) -> None:
-    """Puts the ids of the strings in known. Words of letters alone are encoded in one go and told apart by the ids that end a word."""
+def _encode(strings: list[str], tokenizer, known: dict[str, bytes]) -> None:
+    for x, e in zip(strings, tokenizer.encode_batch_fast(strings, add_special_tokens=False), strict=True):
+        known[x] = np.asarray(e.ids, dtype="<u4").tobytes()
 
-    def raw(e) -> bytes:
-        return np.asarray(e.ids, dtype="<u4").tobytes()
 
-    words = sorted({w for x in new if (w := x[:-1] if x[-1] in ".," else x).isalpha() and w not in known})
-    if words:
-        ids = np.asarray(tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+def _encode_words(words: list[str], tokenizer, known: dict[str, bytes], ends: np.ndarray) -> None:
+    """Words of letters alone are encoded many at once and told apart by the ids that end a word."""
+    runs = [words[i : i + 1024] for i in range(0, len(words), 1024)]
+    for run, e in zip(runs, tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+        ids = np.asarray(e.ids, dtype="<u4")
         stop = (np.flatnonzero(ends[ids]) + 1) * 4
-        if len(stop) == len(words):
-            whole, at = ids.tobytes(), 0
-            for w, end in zip(words, stop.tolist(), strict=True):
-                known[w] = whole[at:end]
-                at = end
-    rest = []
-    for x in new:
-        if x not in known:
-            if x[-1] in ".," and x[:-1] in known and x[:-1].isalpha() and x[-1] in known:
-                known[x] = known[x[:-1]] + known[x[-1]]
+        if len(stop) != len(run):  # letters that normalization takes apart
+            _encode(run, tokenizer, known)
+            continue
+        raw, at = ids.tobytes(), 0
+        for w, end in zip(run, stop.tolist(), strict=True):
+            known[w] = raw[at:end]
+            at = end
+
+
+def _looked_up(parts: list[str], tokenizer, known: dict[str, bytes], ends: np.ndarray) -> list[bytes]:
+    """Ids of each part. Letters with ASCII marks after them are two tokens' worth of text, split between; ASCII letters count in lower case, as for the tokenizer."""
+    out = list(map(known.get, parts))
+    words, rest, two = set(), set(), []
+    for i, x in enumerate(parts):
+        if out[i] is None:
+            core = x.rstrip(MARKS)
+            if core.isalpha():
+                tail = x[len(core) :]
+                if core.isascii():
+                    core = core.lower()
+                if core not in known:
+                    words.add(core)
+                if tail not in known:
+                    rest.add(tail)
+                two.append((i, core, tail))
             else:
-                rest.append(x)
-    for x, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-        known[x] = raw(e)
+                rest.add(x)
+                two.append((i, x, ""))
+    _encode_words(list(words), tokenizer, known, ends)
+    _encode(list(rest), tokenizer, known)
+    for i, a, b in two:
+        out[i] = known[a] + known[b]
+    return out
 
 
-def encoded(texts: list[str], name: str = TOKENIZER) -> Iterator[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers, without special tokens.
+def encoded(texts: pa.Array, name: str = TOKENIZER) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids one after another, and where each text's begin and end; without special tokens.
 
-    This vocabulary's tokens never reach over a blank, a tab or a line's end, and it drops them; so the ids of a text are
-    those of its parts between them, which are remembered.
+    This vocabulary's tokens never reach over ASCII white space, and it drops that; so the ids of a text are those of its
+    parts between. Arrow splits the texts and numbers the distinct parts; only those are looked up or encoded.
     """
     tokenizer, known, ends = _tokenizer(name)
-    for at in range(0, len(texts), 256):
-        parts = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts[at : at + 256]]
-        every = set().union(*parts)
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        if new := [x for x in every if x not in known]:
-            _learn([*({".", ","} - known.keys()), *new], tokenizer, known, ends)
-        for p in parts:
-            yield b"".join(map(known.__getitem__, p))
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = parts.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    if len(known) > REMEMBERED:
+        known.clear()
+        known[""] = b""
+    own = _looked_up(distinct, tokenizer, known, ends)
+    size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+    flat, start, which = np.frombuffer(b"".join(own), dtype="<u4"), np.cumsum(size) - size, coded.indices.to_numpy()
+    each = size[which]
+    end = np.cumsum(each)
+    ids = flat[np.repeat(start[which] - (end - each), each) + np.arange(int(each.sum()))]
+    offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    return ids, np.concatenate([[0], end])[offsets]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """A row per piece: rid, doc_id, piece, start, length, ids_crc32, and with_ids the ids themselves."""
     kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"rid long, doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     end = np.asarray([END], dtype="<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rids, ids, out = b["rid"].tolist(), b["doc_id"].tolist(), []
-            for rid, doc, raw in zip(rids, ids, encoded(["" if t is None else t for t in b["text"].tolist()], tokenizer), strict=True):
-                raw += end
+            ids, at = encoded(b.column("text"), tokenizer)
+            doc, piece, crc, lengths, own = [], [], [], [], []
+            for i, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                raw = ids[a:z].tobytes() + end
                 for k in range(0, len(raw), 4 * size):
                     x = raw[k : k + 4 * size]
-                    out.append((rid, doc, k // (4 * size), k // 4, len(x) // 4, zlib.crc32(x), *([np.frombuffer(x, "<u4").astype("int32")] if with_ids else [])))
-            columns = ["rid", "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-            df = pd.DataFrame(out, columns=columns)
-            if b["doc_id"].isna().any():
-                df["doc_id"] = df["doc_id"].astype("object").where(df["doc_id"].notna(), None)
-            yield df
-
-    schema = f"rid long, doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, schema)
+                    doc.append(i)
+                    piece.append(k // (4 * size))
+                    lengths.append(len(x) // 4)
+                    crc.append(zlib.crc32(x))
+                    if with_ids:
+                        own.append(np.frombuffer(x, "<i4"))
+            rows, number = pa.array(doc, pa.int32()), pa.array(piece, pa.int32())
+            columns = {"rid": b.column("rid").take(rows), "doc_id": b.column("doc_id").take(rows), "piece": number, "start": pc.multiply(number.cast(pa.int64()), size), "length": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+            if with_ids:
+                columns["ids"] = pa.array(own, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 
 
 class CapacityTree:
