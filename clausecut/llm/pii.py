@@ -1,9 +1,9 @@
 """Personal data: regular expressions propose spans, validators confirm them, context words move the score.
 
 Kinds with a validator alone: email, ip (parts at most 255), card (16 to 19 digits, Luhn), phone (8 to 15 digits) and
-iban (mod 97). Kinds that need context as well: national (ddd-dd-dddd) and local (a telephone number without +): their
-own score is under the threshold, and a context word within WINDOW characters lifts it over. Context never takes a
-confirmed span away.
+iban (mod 97). A kind that needs context as well: national (ddd-dd-dddd, without the numbers never given out): its own
+score is under the threshold, and a context word within WINDOW characters lifts it over. Context never takes a confirmed
+span away.
 
 All is one map over the texts with built-in functions: no shuffle. The patterns are linear: possessive or anchored to
 the start of a run, which a leftmost search would find anyway.
@@ -28,11 +28,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "local": r"(?<![0-9+)(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
 #: Score of a confirmed span, before context.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.95, "national": 0.3, "local": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.95, "national": 0.3}
 CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|contact|mailto)\b",
     "ip": r"(?i)\b(?:ip|address|host|server)\b",
@@ -40,7 +39,6 @@ CONTEXT = {
     "phone": r"(?i)\b(?:phone|tel|call|fax|mobile|telefon)\b",
     "iban": r"(?i)\b(?:iban|account|bank|konto)\b",
     "national": r"(?i)\b(?:ssn|social security|national id)\b",
-    "local": r"(?i)\b(?:phone|tel|call|fax|mobile|telefon)\b",
 }
 LIFT, THRESHOLD, WINDOW = 0.3, 0.5, 48
 
@@ -68,7 +66,6 @@ def _confirmed(kind: str, match: Column) -> Column:
         "phone": lambda: n.between(8, 15),
         "iban": lambda: mod97(match),
         "national": lambda: ~match.rlike("^(?:000|666|9..)|-00-|-0000$"),
-        "local": lambda: F.lit(True),
     }[kind]()
 
 

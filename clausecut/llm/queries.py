@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausecut.llm import exact_dedup, html_extract, line_dedup, lm_scoring, mixing, ngram_join, packing, pii, quality, secrets
+from clausecut.llm import exact_dedup, html_extract, line_dedup, lm_scoring, mixing, ngram_join, packing, pii, quality, secrets, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.linked(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ngram_join.linked(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_id")
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,3 +54,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extract, op3_line_dedup, op4_pii, op5_best_fit_packing, op6_quality_rules, op7_lm_scoring, op8_secrets, op9_mixing, op10_exact_dedup)}
+SQL = {"op1_ngram_jaccard": sql.LINKS, "op4_pii": sql.PII, "op6_quality_rules": sql.QUALITY, "op8_secrets": sql.SECRETS, "op10_exact_dedup": sql.EXACT}
