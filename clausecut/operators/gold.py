@@ -21,7 +21,7 @@ def task_text(task: DataFrame) -> Column:
 
 def spans(tasks: DataFrame) -> DataFrame:
     """(act_id, file_upload, span_no, start, end) of each task's first annotation, in stored order."""
-    own = tasks.select(act_id(F.col("file_upload")).alias("act_id"), "file_upload", F.posexplode(F.col("annotations")[0]["result"]).alias("span_no", "r"))
+    own = tasks.select(act_id(F.col("file_upload")).alias("act_id"), "file_upload", F.posexplode(F.get("annotations", F.lit(0))["result"]).alias("span_no", "r"))
     return own.select("act_id", "file_upload", "span_no", F.col("r.value.start").alias("start"), F.col("r.value.end").alias("end"))
 
 

@@ -120,7 +120,7 @@ def file_names(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def texts(spark: SparkSession, paths: str | list[str], universal: bool = True, test_years: tuple[int, ...] = (2025,)) -> DataFrame:
     """(path, year, act_id, split, text): whole files named *_clean.txt. split is test for test_years, else train."""
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", "*_clean.txt").option("recursiveFileLookup", True).text(paths)
+    read = spark.read.text(paths, wholetext=True, pathGlobFilter="*_clean.txt", recursiveFileLookup=True)
     out = read.select(F.col("_metadata.file_path").alias("path"), newlines(F.col("value"), universal).alias("text"))
     year = F.regexp_extract(basename(F.col("path")), r"act_(\d+)_\d+", 1).try_cast("int")
     return out.select("path", year.alias("year"), act_id(F.col("path")).alias("act_id"), F.when(year.isin(*test_years), "test").otherwise("train").alias("split"), "text")
