@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 import tempfile
 import uuid
@@ -89,3 +91,20 @@ def running(df: DataFrame, group: list[str], chunk: str, order: list[Column], va
 def broadcast_if_small(df: DataFrame, rows: int, bytes_each: int, most_bytes: int = 8 << 20) -> DataFrame:
     """A broadcast hint if rows, which the caller has counted, can't pass most_bytes; else df as it is, for a shuffle join."""
     return F.broadcast(df) if rows * bytes_each <= most_bytes else df
+
+
+def tidy(f):
+    """f over the batches of a partition; then the worker, which lives on for other tasks, gives freed memory back to the system."""
+
+    @functools.wraps(f)
+    def run(batches):
+        yield from f(batches)
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run

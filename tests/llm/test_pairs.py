@@ -24,7 +24,7 @@ def test_exact_edges(none, odd):
     assert exact_dedup.dedup(odd).columns == odd.columns
 
 
-@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80), (1, 50)])
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80), (1, 60)])
 def test_links(docs, rows, k, num):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked(docs, k=k, num=num).collect()}
     assert got == brute.linked([(i, t) for i, t, *_ in rows], k, num)
@@ -75,3 +75,4 @@ def test_components(spark):
     edges = spark.createDataFrame(path + more, "a long, b long")
     got = {r.node: r.comp for r in C.components(edges, Scratch(spark, "t"), "t").collect()}
     assert got == {x: top(x) for a, b in path + more if a != b for x in (a, b)}
+
