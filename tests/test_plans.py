@@ -1,0 +1,73 @@
+"""Acquisition, inference and the command line."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from clausecut.__main__ import main
+from clausecut.plans import acquire, infer
+from clausecut.sources import io
+
+
+def parser(path, content):
+    if content == b"bad":
+        raise ValueError("broken")
+    yield {"kind": "page", "page": 0, "width": 600.0, "height": 700.0, "raw": "raw one"}
+    yield {"kind": "page", "page": 1, "width": 600.0, "height": 700.0, "raw": ""}
+    for i, w in enumerate(content.decode().split()):
+        yield {"kind": "word", "page": 0, "no": i, "text": w, "x0": 0.0, "top": 10.0 + 30 * i, "bottom": 20.0 + 30 * i, "size": 10.0}
+
+
+def test_acquired(spark):
+    acts = spark.createDataFrame([(2020, 1, "A", True), (2020, 2, "B", True), (2020, 3, "C", True), (2020, 4, "D", False), (2020, 5, "E", True)], f"year int, {io.ACT}")
+    done = spark.createDataFrame([("act_2020_3_C",)], "name string")
+
+    def fetched(new):
+        content = F.when(F.col("pos") == 1, "Poz. pierw- szy").when(F.col("pos") == 2, "bad").cast("binary")
+        return new.select("name", F.col("url").alias("path"), content.alias("content"), F.when(F.col("pos") == 5, "failed: HTTP 404").otherwise("done").alias("status"))
+
+    got = {r.name: (r.status, r.text) for r in acquire.acquired(acts, parser, done, fetched).collect()}
+    assert got == {
+        "act_2020_1_A": ("done", "Poz.\npierw szy"), "act_2020_2_B": ("failed: ValueError: broken", None), "act_2020_3_C": ("skipped (exists)", None), "act_2020_5_E": ("failed: HTTP 404", None),
+    }
+    files = spark.createDataFrame([("a", bytearray(b"x"))], "path string, content binary")
+    from clausecut.operators import layout
+
+    assert acquire.raw_documents(layout.parsed(files, parser, acquire.PARSED)).first().text == "raw one"
+
+
+def test_segmented(spark):
+    docs = spark.createDataFrame([(1, "Ala  ma kota.\nTo pies. " * 60), (2, "")], "doc int, text string")
+
+    def load():
+        return lambda batch: [[1.0 if t == "." else -1.0 for t in w[:340]] for w in batch]
+
+    sentences, summary = infer.segmented(docs, load)
+    assert [tuple(r) for r in summary.collect()] == [(1, 420, 120)]
+    assert {r.sentence for r in sentences.collect()} == {"Ala ma kota.", "To pies."} and sentences.count() == 120
+
+
+def test_aligned(spark):
+    import public_tokenizers
+
+    s = spark.createDataFrame([(7, ["Ala", "extraordinarily", "."], [0, 1, 1])], "doc int, tokens array<string>, sbd_labels array<int>")
+    r = infer.aligned(s, public_tokenizers.path("word_bpe_49k.json")).first()
+    assert len(r.labels) == len(r.word_ids) == len(r.input_ids) and r.doc == 7
+    firsts = [i for i, w in enumerate(r.word_ids) if w is not None and (i == 0 or w != r.word_ids[i - 1])]
+    assert [r.labels[i] for i in firsts] == [0, 1, 1] and all(x == -100 for i, x in enumerate(r.labels) if i not in firsts)
+    e = infer.evaluated(spark.createDataFrame([("gold", [1, 0, 1], [1, -100, 0]), ("silver", [1], [1])], "dataset string, predictions array<int>, labels array<int>"))
+    assert {x.dataset: (x.tp, x.fp, x.fn) for x in e.collect()} == {"gold": (1, 1, 0), "silver": (1, 0, 0)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    texts = tmp_path / "texts"
+    for year in (2020, 2025):
+        (texts / str(year)).mkdir(parents=True)
+        (texts / str(year) / f"act_{year}_1_x_clean.txt").write_text("Pierwsze zdanie tekstu jest tutaj. Drugie zdanie tekstu jest tam.\nKoniec.", encoding="utf-8")
+    task = [{"id": 1, "file_upload": "act_2020_1_x_clean.txt", "annotations": [{"result": [{"value": {"start": 0, "end": 34}}, {"value": {"start": 35, "end": 65}}]}]}]
+    (tmp_path / "a.json").write_text(json.dumps(task))
+    for command in (["silver"], ["gold", "--annotations", f"{tmp_path}/a.json"], ["extract", "--annotations", f"{tmp_path}/a.json"]):
+        main([*command, "--texts", str(texts), "--output", f"{tmp_path}/{command[0]}"])
+    assert "  train: 1 windows | 14 tokens | 3 sentence boundaries" in capsys.readouterr().out
+    assert [len(r.tokens) for r in spark.read.parquet(f"{tmp_path}/gold").collect()] == [12]
+    assert [x.text for x in spark.read.json(f"{tmp_path}/extract").first().sentences] == ["Pierwsze zdanie tekstu jest tutaj.", "Drugie zdanie tekstu jest tam."]
