@@ -76,3 +76,18 @@ def test_components(spark):
     got = {r.node: r.comp for r in C.components(edges, Scratch(spark, "t"), "t").collect()}
     assert got == {x: top(x) for a, b in path + more if a != b for x in (a, b)}
 
+
+def test_a_single_frequent_shingle_needs_no_signature():
+    import pandas as pd
+
+    item = [{"token": 5, "holders": 99}]
+    assert list(ngram_join._signatures(iter([pd.DataFrame({"node": [1], "n": [1], "items": [item]})]), 80, 100)) == []
+
+
+def test_short_documents_of_frequent_words(spark):
+    """Many small classes over few shingles."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(1, 12)))) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for k, num in ((5, 80), (2, 60)):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked(df, k=k, num=num).collect()} == brute.linked(docs, k, num)
