@@ -27,13 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausecut.llm.common import Scratch, chunk_bits, running, top_bits
+from clausecut.llm.common import Scratch, chunk_bits, running, tidy, top_bits
 
 SEQUENCE = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = 0
 #: Most words a worker remembers the ids of; then it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 700_000
+#: Texts encoded at once, which bounds a worker's memory.
+TEXTS = 2048
 #: Marks that no token shares with letters before them. The apostrophe is not one.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -134,7 +136,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     end = np.asarray([END], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(a, TEXTS) for whole in batches for a in range(0, whole.num_rows, TEXTS)):
             ids, at = encoded(b.column("text"), tokenizer)
             doc, piece, crc, lengths, own = [], [], [], [], []
             for i, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
@@ -153,7 +155,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 columns["ids"] = pa.array(own, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(cut), schema)
 
 
 class CapacityTree:
