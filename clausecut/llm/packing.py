@@ -17,6 +17,7 @@ not read.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -80,6 +81,11 @@ def _encode_words(words: list[str], tokenizer, known: dict[str, bytes], ends: np
             at = end
 
 
+def _all_letters(core: str) -> bool:
+    """Whether a word is letters alone, also as the tokenizer normalizes it: a dot above or a nukta that comes apart from its letter is none, and joins the marks after it."""
+    return core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha())
+
+
 def _looked_up(parts: list[str], tokenizer, known: dict[str, bytes], ends: np.ndarray) -> list[bytes]:
     """Ids of each part. Letters with ASCII marks after them are two tokens' worth of text, split between; ASCII letters count in lower case, as for the tokenizer."""
     out = list(map(known.get, parts))
@@ -87,7 +93,7 @@ def _looked_up(parts: list[str], tokenizer, known: dict[str, bytes], ends: np.nd
     for i, x in enumerate(parts):
         if out[i] is None:
             core = x.rstrip(MARKS)
-            if core.isalpha():
+            if _all_letters(core):
                 tail = x[len(core) :]
                 if core.isascii():
                     core = core.lower()

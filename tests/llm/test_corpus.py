@@ -127,6 +127,15 @@ def test_tokenizer_parts():
     assert [[*ids[a:b].tolist(), 0] for a, b in zip(at[:-1], at[1:], strict=True)] == token_ids(texts)
 
 
+def test_tokenizer_parts_with_letters_that_come_apart():
+    """Letters of which normalization makes a letter and a mark, before ASCII marks."""
+    import pyarrow as pa
+
+    texts = ["TATİLİ.", "TATİLİ. GELDİ!! İ, Tatili.", "İ", "İ...", "क़.", "क़, ড়!", "TATİL.", "שׁ;"]
+    ids, at = packing.encoded(pa.array(texts, pa.string()))
+    assert [[*ids[a:b].tolist(), 0] for a, b in zip(at[:-1], at[1:], strict=True)] == token_ids(texts)
+
+
 def test_packing_edges(none, odd):
     assert packing.packed(none).collect() == []
     out = packing.packed(odd).collect()
