@@ -4,9 +4,10 @@ Two documents link when the Jaccard similarity of their sets of k-word shingles
 class, with one node in all that follows.
 
 Peeling. Tokens (hashes of shingles) have one order, that of the hashes. Of a set of n tokens a partner misses at most
-slack = n - ceil(num n / den). So in any part of m tokens, m - slack must occur in another class. Three rounds, over
-1.5, 3 and at last all of the slack's length (that is 15 %, 30 % and 100 % of the tokens), drop classes for which that
-does not hold; only the rest is read again. Whether a token occurs in another class is asked block by block: a block of
+slack = n - ceil(num n / den). Of the shared tokens in order, the j-th is among the first j + misses of each set; so what
+two sets' prefixes must share follows from their sizes, and a class needs the least of that over all sizes a partner can
+have. Three rounds, over prefixes of about 1.5 and 3 times the slack (15 % and 30 % of the tokens) and at last the whole
+sets, drop classes that share less; only the rest is read again. Whether a token occurs in another class is asked block by block: a block of
 documents sends each token once, in packed form, and gets one bit back. A false yes (tokens share 40 bits) only keeps a
 class that will fail later.
 
@@ -35,7 +36,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -113,6 +114,15 @@ def part_of(n: np.ndarray, num: int, den: int, factor: float) -> np.ndarray:
     return np.minimum(n, s + 1 + ((factor - 1) * s).astype(np.int64)) if factor else n
 
 
+@lru_cache(1 << 16)
+def hits(n: int, num: int, den: int, factor: float) -> int:
+    """How many tokens of its part a set of n tokens shares at least with the part of any set it links with."""
+    other = np.arange(-(-num * n // den), den * n // num + 1)
+    both = (num * (n + other) + num + den - 1) // (num + den)
+    own = part_of(np.array([n]), num, den, factor) - n
+    return int((both + np.minimum(own, part_of(other, num, den, factor) - other)).min())
+
+
 BLOCK = "block long, nodes binary, sizes binary, lens binary, tokens binary"
 
 
@@ -179,7 +189,7 @@ def _answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"block": b["block"].to_numpy(), "part": b["part"].to_numpy(), "bits": [np.packbits(shared[a:z]).tobytes() for a, z in zip([0, *ends[:-1]], ends, strict=True)]})
 
 
-def _left(batches: Iterator[pd.DataFrame], parts: int, num: int, den: int, whole: bool) -> Iterator[pd.DataFrame]:
+def _left(batches: Iterator[pd.DataFrame], parts: int, num: int, den: int, factor: float) -> Iterator[pd.DataFrame]:
     """Classes of which enough tokens occur elsewhere."""
     for batch in batches:
         for b in batch.itertuples(index=False):
@@ -191,21 +201,22 @@ def _left(batches: Iterator[pd.DataFrame], parts: int, num: int, den: int, whole
                 a, z = np.searchsorted(part, [r["part"], r["part"] + 1])
                 shared[a:z] = np.unpackbits(np.frombuffer(r["bits"], "u1"), count=z - a)
             of = np.repeat(np.arange(len(nodes)), lens)
-            good = np.bincount(of, weights=shared[back], minlength=len(nodes)) >= lens - slack(sizes, num, den)
+            least = np.fromiter((hits(n, num, den, factor) for n in sizes.tolist()), dtype=np.int64, count=len(sizes))
+            good = np.bincount(of, weights=shared[back], minlength=len(nodes)) >= least
             out = pd.DataFrame({"node": nodes[good], "n": sizes[good]})
-            if whole:
+            if not factor:
                 ends = np.cumsum(lens)
                 out["tokens"] = [tokens[e - m : e] for e, m in zip(ends[good].tolist(), lens[good].tolist(), strict=True)]
             yield out.drop_duplicates("node")
 
 
-def peeled(blocks: DataFrame, docs: int, num: int, den: int, whole: bool = False) -> DataFrame:
-    """(node, n), and with whole the tokens, of the classes that a round of peeling leaves."""
+def peeled(blocks: DataFrame, docs: int, num: int, den: int, factor: float) -> DataFrame:
+    """(node, n), and for whole sets the tokens, of the classes that a round of peeling leaves."""
     parts = 1 << max(6, (max(1, docs) // 1024).bit_length())
     asked = blocks.mapInPandas(partial(_ask, parts=parts), "block long, part long, tokens binary, owners binary, many binary")
     replies = asked.repartition("part").mapInPandas(tidy(_answer), "block long, part long, bits binary")
     replies = replies.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("replies"))
-    return blocks.join(replies, "block").mapInPandas(partial(_left, parts=parts, num=num, den=den, whole=whole), "node long, n long" + ", tokens array<long>" * whole).dropDuplicates(["node"])
+    return blocks.join(replies, "block").mapInPandas(partial(_left, parts=parts, num=num, den=den, factor=factor), "node long, n long" + ", tokens array<long>" * (not factor)).dropDuplicates(["node"])
 
 
 def _signatures(batches: Iterator[pd.DataFrame], num: int, den: int) -> Iterator[pd.DataFrame]:
@@ -407,7 +418,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
             break
         scratch.drop(f"seen{seed}", f"classes{seed}")
     count = classes.count()
-    blocks, whole = seen.where("block IS NOT NULL").select("block", "nodes", "sizes", "lens", "tokens"), False
+    blocks = seen.where("block IS NOT NULL").select("block", "nodes", "sizes", "lens", "tokens")
     for i, factor in enumerate(PEELS):
         if i:
 
@@ -421,8 +432,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
             reps = classes.join(alive, "node").select(F.col("rep").alias("_id")).distinct()
             texts = docs.join(broadcast_if_small(reps, n_alive, 32), F.col("doc_id") == F.col("_id"), "left_semi")
             blocks = scratch.write(texts.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInPandas(tidy(again), BLOCK), f"blocks{i}")
-        whole = not factor
-        alive = scratch.write(peeled(blocks, count, num, den, whole), f"alive{i}", compact=not whole)
+        alive = scratch.write(peeled(blocks, count, num, den, factor), f"alive{i}", compact=bool(factor))
         n_alive = alive.count()
     if n_alive:
         comp = Links(alive, num, den, scratch).run()

@@ -1,5 +1,6 @@
 """Exact dedup and the n-gram join."""
 
+import itertools
 import random
 
 import pytest
@@ -91,3 +92,21 @@ def test_short_documents_of_frequent_words(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for k, num in ((5, 80), (2, 60)):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked(df, k=k, num=num).collect()} == brute.linked(docs, k, num)
+
+
+@pytest.mark.parametrize(("num", "most"), [(90, 31), (80, 16)])
+def test_peeling_keeps_all_small_links(spark, num, most):
+    """Isolated pairs of each (n_x, n_y, overlap) that links, as sets of single words."""
+    pairs, docs = [], []
+    for n, m in itertools.combinations_with_replacement(range(1, most), 2):
+        for both in range(n + 1):
+            if both < m and 100 * both >= num * (n + m - both):
+                for turn in range(3):
+                    i = len(docs)
+                    word = f"p{i}t{turn}"
+                    shared = [f"{word}s{j}" for j in range(both)]
+                    docs.append((i, " ".join([*shared, *(f"{word}x{j}" for j in range(n - both))])))
+                    docs.append((i + 1, " ".join([*shared, *(f"{word}y{j}" for j in range(m - both))])))
+                    pairs.append((n, m, both, i))
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(spark.createDataFrame(docs, "doc_id long, text string"), k=1, num=num).collect()}
+    assert [p for p in pairs if got[p[3] + 1] != p[3]] == []
