@@ -430,7 +430,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
                         yield pd.DataFrame([_block(int(b["rid"].iloc[0]), np.array([x for x, _ in own], dtype=np.int64), [s for _, s in own], factor, num, den)])
 
             reps = classes.join(alive, "node").select(F.col("rep").alias("_id")).distinct()
-            texts = docs.join(broadcast_if_small(reps, n_alive, 32), F.col("doc_id") == F.col("_id"), "left_semi")
+            texts = docs.join(broadcast_if_small(reps, n_alive, 32), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
             blocks = scratch.write(texts.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInPandas(tidy(again), BLOCK), f"blocks{i}")
         alive = scratch.write(peeled(blocks, count, num, den, factor), f"alive{i}", compact=bool(factor))
         n_alive = alive.count()

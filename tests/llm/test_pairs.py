@@ -110,3 +110,12 @@ def test_peeling_keeps_all_small_links(spark, num, most):
                     pairs.append((n, m, both, i))
     got = {r.doc_id: r.component_id for r in ngram_join.linked(spark.createDataFrame(docs, "doc_id long, text string"), k=1, num=num).collect()}
     assert [p for p in pairs if got[p[3] + 1] != p[3]] == []
+
+
+def test_links_through_a_class_without_ids(spark):
+    base = [f"w{i}" for i in range(100)]
+    a, b, c = base[:], [*base[:98], "x0", "x1"], [*base[:96], "y0", "y1", "x0", "x1"]
+    docs = [(4, " ".join(a)), (None, " ".join(b)), (9, " ".join(c))]
+    assert brute.linked([(1, docs[0][1]), (2, docs[2][1])], 1, 95)[2][1] == 2
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(spark.createDataFrame(docs, "doc_id long, text string"), k=1, num=95).collect()}
+    assert got == {4: 4, None: 4, 9: 4}
