@@ -9,7 +9,7 @@ Scale: a block has about BLOCK documents, so no postings list or intersection is
 a broadcast only if their count proves it small, else by a join on doc_id. Candidates never decide a match by
 themselves, so rows that share a doc_id are all verified.
 
-Null counts as an empty text. Repeated rows give repeated rows. Texts are whole; spans have no limit.
+Null counts as an empty text. Rows without an id are in no postings and see every rule. Repeated rows give repeated rows. Texts are whole; spans have no limit.
 """
 
 from __future__ import annotations
@@ -174,7 +174,8 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
         long = lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group) if rule.group else m) >= rule.least
         one = spans(text, rule.pattern, long)
         if rule.kind in bits:
-            one = F.when(F.coalesce("mask", F.lit(0).cast("long")).bitwiseAND(bits[rule.kind]) != 0, one).otherwise(F.array().cast(SPAN))
+            held = F.coalesce("mask", F.lit(0).cast("long")).bitwiseAND(bits[rule.kind]) != 0
+            one = F.when(F.col(id_col).isNull() | held, one).otherwise(F.array().cast(SPAN))
         return F.transform(one, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(rule.kind).alias("kind"), s["match"].alias("match")))
 
     return out.withColumn("secrets", F.array_sort(F.flatten(F.array(*[of(r, i) for i, r in enumerate(rules)])))).drop("mask")

@@ -114,3 +114,11 @@ def test_extracted(spark, none):
     out = html_extract.extracted(pages).collect()
     assert [r.n_chars for r in out] == [len(html_extract.main_text(PAGE)), 0, 0]
     assert html_extract.extracted(pages.limit(0)).collect() == []
+
+
+def test_secrets_of_rows_without_an_id(spark):
+    text = "password = 'hunter2hunter' AKIA" + "A1" * 10 + " -----BEGIN RSA PRIVATE KEY-----"
+    df = spark.createDataFrame([(None, text), (1, text), (None, "nothing")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_assign, r.n_access, r.spans) for r in secrets.digest(df).collect())
+    assert [r[:3] for r in got] == [(0, 0, 0), (0, 1, 1), (1, 1, 1)]
+    assert got[0][3] == "" and got[1][3] == got[2][3] and got[1][3].count(",") == 2
