@@ -18,12 +18,14 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and Spark runs on this machine alone (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="clausecut-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -80,7 +82,7 @@ def running(df: DataFrame, group: list[str], chunk: str, order: list[Column], va
     Sums of chunks are small and get a window over the group; rows get one only within (group, chunk), so that no
     task holds a hot group. df is read twice: it must be a table or otherwise the same each time.
     """
-    by = [*group, chunk]
+    by = [*group, chunk]  # without a group, chunks' sums are one small window
     if totals is None:
         totals = df.groupBy(*by).agg(F.sum(value).alias("_sum"))
         totals = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("_sum")

@@ -119,3 +119,21 @@ def test_links_through_a_class_without_ids(spark):
     assert brute.linked([(1, docs[0][1]), (2, docs[2][1])], 1, 95)[2][1] == 2
     got = {r.doc_id: r.component_id for r in ngram_join.linked(spark.createDataFrame(docs, "doc_id long, text string"), k=1, num=95).collect()}
     assert got == {4: 4, None: 4, 9: 4}
+
+
+def test_names_do_not_depend_on_the_dealing(spark, docs):
+    """A name is a rank: the same however the rows are dealt, and from 0 on."""
+    runs = []
+    for n in (1, 7):
+        rows = exact_dedup.name_texts(docs.repartition(n), block=16).select("doc_id", "n_blocks", "name").collect()
+        runs.append(sorted(map(tuple, rows)))
+    assert runs[0] == runs[1]
+    ones = {r[2] for r in runs[0] if r[1] == 1}
+    assert min(ones) >= 0 and max(r[2] for r in runs[0]) < 10_000
+
+
+def test_exact_dedup_without_ids(spark):
+    rows = [(None, "a b"), (None, "a  b "), (3, "a b"), (None, "c"), (None, "d"), (None, "d"), (None, None), (8, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, (tuple(r) for r in exact_dedup.dedup(df).collect()))) == sorted(map(str, [(None, "a  b "), (None, "c"), (None, "d"), (None, "d"), (8, " ")]))
+    assert sorted(r.group_size for r in exact_dedup.exact_groups(df).collect()) == [1, 2, 2, 2, 2, 3, 3, 3]
