@@ -9,7 +9,7 @@ Scale: a block has about BLOCK documents, so no postings list or intersection is
 a broadcast only if their count proves it small, else by a join on doc_id. Candidates never decide a match by
 themselves, so rows that share a doc_id are all verified.
 
-Null counts as an empty text. Rows without an id are in no postings and see every rule. Repeated rows give repeated rows. Texts are whole; spans have no limit.
+Null counts as an empty text. Ids may be of any type that Spark compares. Rows without an id are in no postings and see every rule. Repeated rows give repeated rows. Texts are whole; spans have no limit.
 """
 
 from __future__ import annotations
@@ -134,7 +134,7 @@ class TrigramIndex:
         self.queries = {k: q for k, q in queries.items() if q != ANY}
         self.full = [k for k, q in queries.items() if q == ANY]
         self.trigrams = sorted({t for q in self.queries.values() for c in q for t in c})
-        self.scratch = Scratch(docs.sparkSession, "trigrams")
+        self.scratch, self.kind = Scratch(docs.sparkSession, "trigrams"), f"array<{docs.schema[id_col].dataType.simpleString()}>"
         self.blocks = max(1, (docs.count() if rows is None else rows) // BLOCK)
         low = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_or_empty(text_col)).alias("low"))
         held = F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(i)) for i, t in enumerate(self.trigrams)]))
@@ -147,7 +147,7 @@ class TrigramIndex:
         place = {t: i for i, t in enumerate(self.trigrams)}
 
         def ids(query: Query) -> Column:
-            of = lambda t: F.coalesce(F.try_element_at(F.col("lists"), F.lit(place[t])), F.array().cast("array<long>"))
+            of = lambda t: F.coalesce(F.try_element_at(F.col("lists"), F.lit(place[t])), F.array().cast(self.kind))
             return F.array_distinct(F.flatten(F.array(*[functools.reduce(F.array_intersect, [of(t) for t in sorted(c)]) for c in sorted(query, key=sorted)])))
 
         def bit(i: int):

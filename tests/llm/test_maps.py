@@ -122,3 +122,9 @@ def test_secrets_of_rows_without_an_id(spark):
     got = sorted((r.doc_id or 0, r.n_assign, r.n_access, r.spans) for r in secrets.digest(df).collect())
     assert [r[:3] for r in got] == [(0, 0, 0), (0, 1, 1), (1, 1, 1)]
     assert got[0][3] == "" and got[1][3] == got[2][3] and got[1][3].count(",") == 2
+
+
+def test_secrets_of_rows_with_names_for_ids(spark):
+    text = "password = 'hunter2hunter' AKIA" + "A1" * 10
+    got = secrets.digest(spark.createDataFrame([("x", text), ("y", "nothing"), (None, text)], "doc_id string, text string")).collect()
+    assert sorted((r.doc_id or "", r.n_assign, r.n_access) for r in got) == [("", 1, 1), ("x", 1, 1), ("y", 0, 0)]
