@@ -1,85 +1,130 @@
 r"""Line dedup by content-defined chunks of lines.
 
 A cyclic-polynomial rolling hash over the hashes of the last WINDOW lines ends a chunk where it is 0 modulo MEAN, so
-boundaries follow the content and survive lines put in or taken out elsewhere. A chunk of two or more lines that hold
-a word, or a single line of at least LONG words, that occurs again anywhere is removed but for its first occurrence: in
-the smallest doc_id, at the first place there. What stays is joined by \n again.
+boundaries follow the content and survive lines put in or taken out elsewhere. A line of over LONG words is a chunk of its
+own. A chunk that occurs again anywhere goes but for its first occurrence, if it has two lines with a word or over LONG
+words. Where a repeated passage begins or ends inside a chunk, it is widened line by line: from each short line on, and up
+to it, the shortest run of lines with over LONG words is a chunk too. So of any run of lines of over LONG words that
+occurs again, however its neighbours differ, one copy stays.
 
-Chunks are found by 128-bit digests. They are grouped by the digest and the bytes themselves, so equal means equal
-bytes; if one digest ever stood for two contents, all is done again with another seed.
+Order: occurrences rank by doc_id (null last), then the text's digest, then the place; the first stays. A line that goes has
+an equal one that comes before it, so every line stays somewhere. What stays is joined by \n again.
 
-Scale: contents cross the network once, combined by each map task; texts cross it once more to meet the digests to
-remove. A chunk held by a third of all documents is one row after the partial sums, and one key with small rows in a
-plain join, which AQE splits.
+Bytes: lines are grouped by a 128-bit digest and their bytes; should a digest ever stand for two contents, all is done again
+with another seed. From there on a run of lines is the row of its lines' digests, compared whole.
 
-Null texts stay null; empty texts stay empty; rows that share a doc_id count as one document and each lose the same
-chunks. Other columns pass through.
+Scale: line contents cross the network once, combined by each map task. Only lines that occur twice, in small rows,
+are looked at further, document by document; texts cross once more to meet the places to keep. A line or chunk held by
+a third of all documents is one row after the partial sums, and one key with small rows in a plain join, which AQE
+splits. All steps are linear in a text's length but for sorting its repeated lines. No text is cut.
+
+Null texts stay null; empty texts stay empty. Rows with the same doc_id, null too, and the same text count as one
+document and lose the same lines; other rows are documents of their own. Other columns pass through.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from clausecut.llm.common import WORD, Scratch, digest, text_or_empty
+from clausecut.llm.common import WORD, Scratch, text_or_empty
 
 WINDOW, MEAN, LONG = 2, 3, 50
-#: Marks a boundary; escaped where a text has it.
-MARK, ESCAPE = "\x01", "\x02"
+#: Bits of a line's hash that the rolling hash sees.
+BITS = 32
 
 
-def chunked(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs and chunks: the text's chunks in order, which joined by a newline give the text."""
-    escaped = F.replace(F.replace(text_or_empty(text_col), F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(MARK), F.lit(ESCAPE + "a"))
-    lines = docs.withColumn("_lines", F.split(escaped, "\n", -1))
-    lines = lines.withColumn("_h", F.transform("_lines", lambda x: F.xxhash64(x)))
-    turned = lambda h: F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63))
-    before = [F.concat(F.array_repeat(F.lit(0).cast("long"), k), F.col("_h")).alias(f"p{k}") for k in range(1, WINDOW + 1)]
-    zipped = F.arrays_zip(F.col("_lines").alias("line"), *before)
+def _digest(c: Column, seed: int) -> Column:
+    return F.md5((F.concat(c, F.lit(f"\n{seed}")) if seed else c).cast("binary"))
 
-    def piece(x: Column, i: Column) -> Column:
-        roll = x["p1"]
-        for k in range(2, WINDOW + 1):
-            roll = turned(roll).bitwiseXOR(x[f"p{k}"]) if k == 2 else roll.bitwiseXOR(turned(x[f"p{k}"]))
-        return F.concat(F.when(i == 0, "").when(F.pmod(roll, F.lit(MEAN)) == 0, MARK).otherwise("\n"), x["line"])
 
-    marked = F.array_join(F.transform(zipped, piece), "")
-    back = lambda c: F.replace(F.replace(c, F.lit(ESCAPE + "a"), F.lit(MARK)), F.lit(ESCAPE + "b"), F.lit(ESCAPE))
-    parts = F.split(marked, MARK, -1)
-    return lines.withColumn("chunks", F.when(F.contains(text_or_empty(text_col), F.lit(ESCAPE)) | F.contains(text_or_empty(text_col), F.lit(MARK)), F.transform(parts, back)).otherwise(parts)).drop("_lines", "_h")
+def _turned(h: Column, by: int) -> Column:
+    by %= BITS
+    return F.shiftleft(h, by).bitwiseOR(F.shiftright(h, BITS - by)).bitwiseAND(F.lit((1 << BITS) - 1)) if by else h
 
 
-def eligible(chunk: Column) -> Column:
-    """Two lines with a word, or one long line."""
-    return chunk.rlike(r"\A\s*\S[^\n]*\n\s*\S") | (F.size(F.split(chunk, r"[\x20\x09-\x0D]+")) > LONG) & (F.regexp_count(chunk, F.lit(WORD)) >= LONG)
+def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """A row per line: doc_id, text_md5, pos, line, d (its digest), n_words, opens and closes (of chunks)."""
+    text = text_or_empty(text_col)
+    lines = docs.where(F.length(text) > 0).select(F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("text_md5"), F.split(text, "\n", -1).alias("_l"))
+    each = F.transform("_l", lambda x: F.struct(x.alias("line"), _digest(x, seed).alias("d"), F.regexp_count(x, F.lit(WORD)).alias("n_words")))
+    lines = lines.select("doc_id", "text_md5", each.alias("_l"))
+    hashes = F.transform("_l", lambda x: F.conv(F.substring(x["d"], 1, BITS // 4), 16, 10).cast("long"))
+    before = [F.concat(F.array_repeat(F.lit(0).cast("long"), k), F.col("_h")).alias(f"p{k}") for k in range(1, WINDOW + 1)]
+    zipped = F.arrays_zip(F.col("_l").alias("x"), F.concat(F.array(F.lit(0)), F.transform("_l", lambda x: x["n_words"])).alias("n"), *before)
 
+    def opens(z: Column, i: Column) -> Column:
+        roll = z[f"p{WINDOW}"]
+        for k in range(WINDOW - 1, 0, -1):
+            roll = _turned(roll, 1).bitwiseXOR(z[f"p{k}"])
+        return (i == 0) | (F.pmod(roll, F.lit(MEAN)) == 0) | (z["n"] > LONG) | F.coalesce(z["x"]["n_words"] > LONG, F.lit(True))
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, Scratch]:
-    """Chunks with more than one occurrence: d1, d2, occurrences, first_doc. Also the digests' seed."""
-    scratch = Scratch(docs.sparkSession, "lines")
-    each = chunked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", F.explode("chunks").alias("chunk")).where(eligible(F.col("chunk")))
+    lines = lines.withColumn("_h", hashes).withColumn("_o", F.transform(zipped, opens))  # one more than lines: true after the last
+    lines = lines.select("doc_id", "text_md5", F.posexplode(F.arrays_zip(F.col("_l").alias("x"), F.col("_o").alias("opens"), F.slice("_o", F.lit(2), F.size("_l")).alias("closes"))).alias("pos", "z"))
+    return lines.where("z.x IS NOT NULL").select("doc_id", "text_md5", "pos", "z.x.line", "z.x.d", "z.x.n_words", "z.opens", F.coalesce("z.closes", F.lit(True)).alias("closes"))
+
+
+def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """Digests d of lines with a word that occur twice or more, and the digests' seed."""
     for seed in range(100):
-        d1, d2 = digest(F.col("chunk"), seed)
-        counted = each.groupBy(d1.alias("d1"), d2.alias("d2"), "chunk").agg(F.count("*").alias("occurrences"), F.min("doc_id").alias("first_doc"))
-        counted = scratch.write(counted.drop("chunk"), f"counted{seed}")
-        if not counted.groupBy("d1", "d2").count().where("count > 1").take(1):
-            return counted.where("occurrences > 1"), seed, scratch
+        lines = line_rows(docs, id_col, text_col, seed).where("n_words > 0")
+        counted = scratch.write(lines.groupBy("d", "line").agg(F.count("*").alias("n")).select("d", "n"), f"counted{seed}")
+        if not counted.groupBy("d").count().where("count > 1").take(1):
+            return counted.where("n > 1").select("d"), seed
         scratch.drop(f"counted{seed}")
     raise RuntimeError("no seed keeps the digests apart")
 
 
+def runs(rows: DataFrame) -> DataFrame:
+    """From rows of repeated and of blank lines: doc_id, text_md5, start, end, key of each chunk and each widened run whose lines are all there."""
+    doc = ["doc_id", "text_md5"]
+    rows = rows.repartition(*doc).dropDuplicates([*doc, "pos"])  # equal documents are one
+    by_pos = Window.partitionBy(*doc).orderBy("pos")
+    rows = rows.withColumn("run", F.col("pos") - F.row_number().over(by_pos))
+    inside = Window.partitionBy(*doc, "run")
+    upto = inside.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"after": F.sum("n_words").over(upto), "chunk": F.sum(F.col("opens").cast("int")).over(upto)}).withColumn("before", F.col("after") - F.col("n_words"))
+    rows = rows.withColumns({"last": F.max("pos").over(inside.orderBy("before").rangeBetween(0, LONG)), "first": F.min("pos").over(inside.orderBy("after").rangeBetween(-LONG, 0))})
+    rows = rows.withColumn("begin", F.min("pos").over(Window.partitionBy(*doc, "run", "chunk")))
+    short, whole = F.col("n_words").between(1, LONG), F.col("closes") & (F.col("chunk") > 0)
+    item = F.struct("pos", "d", "n_words", F.when(whole, F.col("begin")).alias("begin"), F.when(short, F.col("first")).alias("first"), F.when(short, F.col("last")).alias("last"))
+    arrays = rows.groupBy(*doc, "run").agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    some = lambda name, a, b, chunk: F.transform(F.filter("xs", lambda x: x[name].isNotNull()), lambda x: F.struct(x[a].alias("start"), x[b].alias("end"), F.lit(chunk).alias("chunk")))
+    found = F.concat(some("begin", "begin", "pos", True), some("first", "first", "pos", False), some("last", "pos", "last", False))
+    part = lambda r: F.slice(F.col("xs"), r["start"] - F.col("xs")[0]["pos"] + 1, r["end"] - r["start"] + 1)
+    out = arrays.select(*doc, F.explode(F.transform(found, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["chunk"].alias("chunk"), part(r).alias("part")))).alias("r")).select(*doc, "r.*")
+    long = F.aggregate("part", F.lit(0), lambda a, x: a + x["n_words"]) > LONG
+    lines = F.size(F.filter("part", lambda x: x["n_words"] > 0)) > 1
+    return out.where(long | F.col("chunk") & lines).select(*doc, "start", "end", F.array_join(F.transform("part", lambda x: x["d"]), "").alias("key"))
+
+
+def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_md5, kept (ranges of lines that stay: place, number) and rest (the place from which all stay), for documents that lose lines."""
+    again, seed = repeated_lines(docs, scratch, id_col, text_col)
+    lines = line_rows(docs, id_col, text_col, seed).drop("line")
+    rows = lines.where("n_words > 0").join(again, "d").unionByName(lines.where("n_words = 0"))
+    found = scratch.write(runs(rows), "runs", compact=True)
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5", "start")
+    first = found.groupBy("key").agg(F.min(at).alias("at"))
+    gone = found.join(first, "key").where(~at.eqNullSafe(F.col("at"))).select("doc_id", "text_md5", "start", "end")
+    before = Window.partitionBy("doc_id", "text_md5").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    gone = gone.withColumn("open", F.coalesce(F.max("end").over(before) + 1, F.lit(0)))
+    free = F.when(F.col("start") > F.col("open"), F.struct("open", (F.col("start") - F.col("open")).alias("n")))
+    out = gone.groupBy("doc_id", "text_md5").agg(F.array_sort(F.collect_list(free)).alias("kept"), (F.max("end") + 1).alias("rest"))
+    return scratch.write(out, "gone", compact=True)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text less its repeated chunks, and n_chunks, n_removed."""
-    again, seed, scratch = repeated(docs, id_col, text_col)
-    both = lambda c: F.struct(digest(c, seed)[0].alias("d1"), digest(c, seed)[1].alias("d2"))
-    own = chunked(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))).select("_id", F.explode(F.filter("chunks", eligible)).alias("chunk")).select("_id", both(F.col("chunk")).alias("d")).select("_id", "d.d1", "d.d2")
-    gone = own.join(again, ["d1", "d2"]).where("first_doc IS NULL OR _id IS NULL OR _id <> first_doc").groupBy("_id").agg(F.collect_set(F.struct("d1", "d2")).alias("_gone"))
-    gone = scratch.write(gone, "gone")
-    out = chunked(docs, text_col).join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
-    none = F.array().cast("array<struct<d1:bigint,d2:bigint>>")
-    out = out.withColumn("_d", F.transform("chunks", lambda c: F.when(eligible(c), both(c))))
-    out = out.withColumn("_gone", F.coalesce("_gone", none))
-    kept = F.filter(F.arrays_zip(F.col("chunks").alias("c"), F.col("_d").alias("d"), F.transform("_d", lambda d, i: F.coalesce(F.array_position("_d", d) == i + 1, F.lit(True))).alias("first")), lambda x: x["d"].isNull() | x["first"] & ~F.array_contains(F.col("_gone"), x["d"]))
-    out = out.withColumn("_kept", F.transform(kept, lambda x: x["c"]))
-    cols = [F.when(F.col(text_col).isNotNull(), F.array_join("_kept", "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*cols, F.size("chunks").cast("long").alias("n_chunks"), (F.size("chunks") - F.size("_kept")).cast("long").alias("n_removed"))
+    """docs with the text less its repeated chunks, and n_lines, n_removed."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    gone = removals(docs, scratch, id_col, text_col).withColumnsRenamed({"doc_id": "_id", "text_md5": "_md5", "kept": "_kept", "rest": "_rest"})
+    scratch.drop("runs", *[n for n in scratch.paths if n.startswith("counted")])
+    out = docs.withColumn("_own", F.md5(text_or_empty(text_col).cast("binary")))
+    out = out.join(gone.hint("merge"), (F.col("_own") == F.col("_md5")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    out = out.withColumn("_lines", F.split(text_or_empty(text_col), "\n", -1))
+    stay = F.concat(F.flatten(F.transform("_kept", lambda r: F.slice(F.col("_lines"), r["open"] + 1, r["n"]))), F.slice("_lines", F.col("_rest") + 1, F.size("_lines")))
+    out = out.withColumn("_stay", F.when(F.col("_rest").isNotNull(), stay))
+    cols = [F.when(F.col("_stay").isNull(), F.col(text_col)).otherwise(F.array_join("_stay", "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    removed = F.when(F.col("_stay").isNull(), 0).otherwise(F.size("_lines") - F.size("_stay")).cast("long")
+    return out.select(*cols, F.size("_lines").cast("long").alias("n_lines"), removed.alias("n_removed"))

@@ -22,7 +22,7 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", "n_chunks", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+    return out.select("doc_id", "text", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +54,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extract, op3_line_dedup, op4_pii, op5_best_fit_packing, op6_quality_rules, op7_lm_scoring, op8_secrets, op9_mixing, op10_exact_dedup)}
-SQL = {"op1_ngram_jaccard": sql.LINKS, "op4_pii": sql.PII, "op6_quality_rules": sql.QUALITY, "op8_secrets": sql.SECRETS, "op10_exact_dedup": sql.EXACT}
+SQL = {"op1_ngram_jaccard": sql.LINKS, "op3_line_dedup": sql.LINES, "op4_pii": sql.PII, "op6_quality_rules": sql.QUALITY, "op8_secrets": sql.SECRETS, "op10_exact_dedup": sql.EXACT}

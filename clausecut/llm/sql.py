@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clausecut.llm import pii, quality, secrets
+from clausecut.llm import line_dedup, pii, quality, secrets
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -65,3 +65,24 @@ SECRETS = rf"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM docu
  every AS ({" UNION ALL ".join(f"SELECT doc_id, {i} AS k, '{r.kind}' AS kind, a, z FROM {r.kind}" for i, r in enumerate(secrets.RULES))}),
  x AS (SELECT doc_id, {", ".join(f"sum((kind = '{k}')::INT)::BIGINT AS n_{k}" for k in _BASE)}, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, k) FILTER (k < {len(_BASE)}) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, k) AS spans FROM every GROUP BY doc_id)
  SELECT docs.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN x ON x.doc_id = docs.doc_id"""
+
+_LONG, _MASK = line_dedup.LONG, (1 << line_dedup.BITS) - 1
+_DOC = "PARTITION BY doc_id, tm"
+
+LINES = rf"""WITH t AS (SELECT doc_id, md5(coalesce(text, '')) AS tm, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+ l AS (SELECT doc_id, tm, line, pos, md5(line) AS d, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, tm, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM t)),
+ h AS (SELECT *, ('0x' || substr(d, 1, {line_dedup.BITS // 4}))::BIGINT AS h FROM l),
+ p AS (SELECT *, coalesce(lag(h) OVER w, 0) AS p1, coalesce(lag(h, 2) OVER w, 0) AS p2, coalesce(lag(n) OVER w, 0) AS n1 FROM h WINDOW w AS ({_DOC} ORDER BY pos)),
+ o AS (SELECT *, pos = 0 OR xor(((p2 << 1) | (p2 >> {line_dedup.BITS - 1})) & {_MASK}, p1) % {line_dedup.MEAN} = 0 OR n1 > {_LONG} OR n > {_LONG} AS opens FROM p),
+ c AS (SELECT doc_id, tm, pos, d, n, opens, coalesce(lead(opens) OVER ({_DOC} ORDER BY pos), true) AS closes FROM o),
+ again AS (SELECT d FROM c WHERE n > 0 GROUP BY d HAVING count(*) > 1),
+ r AS (SELECT *, pos - row_number() OVER ({_DOC} ORDER BY pos) AS run FROM c WHERE n = 0 OR d IN (SELECT d FROM again)),
+ a AS (SELECT *, sum(n) OVER w AS z, sum(n) OVER w - n AS b, sum(opens::INT) OVER w AS chunk FROM r WINDOW w AS ({_DOC}, run ORDER BY pos)),
+ e AS (SELECT *, min(pos) OVER ({_DOC}, run, chunk) AS first_of_chunk, max(pos) OVER ({_DOC}, run ORDER BY b RANGE BETWEEN CURRENT ROW AND {_LONG} FOLLOWING) AS last, min(pos) OVER ({_DOC}, run ORDER BY z RANGE BETWEEN {_LONG} PRECEDING AND CURRENT ROW) AS first FROM a),
+ u AS (SELECT doc_id, tm, first_of_chunk AS lo, pos AS hi, true AS chunk FROM e WHERE closes AND chunk > 0 UNION SELECT doc_id, tm, first, pos, false FROM e WHERE n BETWEEN 1 AND {_LONG} UNION SELECT doc_id, tm, pos, last, false FROM e WHERE n BETWEEN 1 AND {_LONG}),
+ k AS (SELECT u.doc_id, u.tm, lo, hi, u.chunk, string_agg(d, '' ORDER BY pos) AS key, sum(n) AS words, sum((n > 0)::INT) AS filled FROM u JOIN c ON c.doc_id = u.doc_id AND c.tm = u.tm AND pos BETWEEN lo AND hi GROUP BY ALL),
+ g AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, tm, lo) AS rank, first_value((doc_id, tm, lo)) OVER (PARTITION BY key ORDER BY doc_id, tm, lo) AS f FROM k WHERE words > {_LONG} OR chunk AND filled > 1),
+ s AS (SELECT l.* FROM l ANTI JOIN (SELECT * FROM g WHERE f <> (doc_id, tm, lo)) x ON l.doc_id = x.doc_id AND l.tm = x.tm AND l.pos BETWEEN x.lo AND x.hi),
+ y AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n FROM s GROUP BY doc_id)
+ SELECT q.doc_id, CASE WHEN q.text IS NOT NULL THEN coalesce(y.text, '') END AS text, len(t.ls)::BIGINT AS n_lines, (len(t.ls) - coalesce(y.n, 0))::BIGINT AS n_removed, length(coalesce(y.text, ''))::BIGINT AS n_chars
+ FROM documents q JOIN t ON t.doc_id = q.doc_id LEFT JOIN y ON y.doc_id = q.doc_id"""

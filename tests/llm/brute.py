@@ -1,6 +1,7 @@
 """The contracts in plain Python, slow and direct."""
 
 import hashlib
+import itertools
 import re
 from collections import Counter, defaultdict
 
@@ -109,3 +110,37 @@ def quality(text):
             hit |= {i, i + 1, i + 2}
     lines = [x for x in (text or "").split("\n") if words(x)]
     return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit)
+
+
+def line_dedup(docs, long=50, mean=3):
+    """docs: (doc_id, text), distinct. {(doc_id, text): text less repeated runs of lines}, by trying every run that the rules name."""
+    keys = sorted(set(docs), key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5((x[1] or "").encode()).hexdigest()))
+    lines = {k: (k[1] or "").split("\n") for k in keys}
+    n_words = {x: len(words(x)) for ls in lines.values() for x in ls}
+    h = {x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in n_words}
+    ranges = {}
+    for k, ls in lines.items():
+        n, own = [n_words[x] for x in ls], set()
+        opens = []
+        for i in range(len(ls)):
+            p1, p2 = (h[ls[i - 1]] if i else 0), (h[ls[i - 2]] if i > 1 else 0)
+            opens.append(i == 0 or (((p2 << 1 | p2 >> 31) & 0xFFFFFFFF) ^ p1) % mean == 0 or n[i - 1] > long or n[i] > long)
+        cuts = [i for i, o in enumerate(opens) if o] + [len(ls)]
+        for a, z in itertools.pairwise(cuts):
+            if sum(n[a:z]) > long or sum(x > 0 for x in n[a:z]) > 1:
+                own.add((a, z))
+        for i in range(len(ls)):
+            if 0 < n[i] <= long:
+                z = next((z for z in range(i + 1, len(ls) + 1) if sum(n[i:z]) > long), None)
+                a = next((a for a in range(i, -1, -1) if sum(n[a : i + 1]) > long), None)
+                own |= ({(i, z)} if z else set()) | ({(a, i + 1)} if a is not None else set())
+        ranges[k] = own
+    first = {}
+    for k in keys:
+        for a, z in sorted(ranges[k]):
+            first.setdefault(tuple(lines[k][a:z]), (k, a))
+    out = {}
+    for k in keys:
+        gone = {i for a, z in ranges[k] if first[tuple(lines[k][a:z])] != (k, a) for i in range(a, z)}
+        out[k] = None if k[1] is None else "\n".join(x for i, x in enumerate(lines[k]) if i not in gone)
+    return out

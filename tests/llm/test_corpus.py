@@ -16,53 +16,73 @@ from clausecut.llm import queries as Q
 from tests.llm import brute
 
 
-def chunks_of(df):
-    return {(r.doc_id, r.text): r.chunks for r in line_dedup.chunked(df).select("doc_id", "text", "chunks").collect()}
-
-
-def eligible(chunk):
-    lines = [x for x in chunk.split("\n") if brute.words(x)]
-    return len(lines) > 1 or len(brute.words(chunk)) >= line_dedup.LONG
-
-
-def test_chunks_give_the_text(docs, rows):
-    got = chunks_of(docs)
-    for i, t, *_ in rows:
-        assert "\n".join(got[i, t]) == (t or "")
+def deduped(spark, texts):
+    rows = [(r[0], r[1]) for r in texts]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect()), key=str), rows
 
 
 def test_chunks_do_not_shift(spark):
     rng = random.Random(2)
     lines = [" ".join(str(rng.random()) for _ in range(5)) for _ in range(200)]
     df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["new line", *lines]))], "doc_id long, text string")
-    a, b = (set(x) for x in chunks_of(df).values())
-    assert len(a & b) >= 0.9 * len(a)
-
-
-def test_line_dedup(docs, rows):
-    chunks = chunks_of(docs)
-    first, count = {}, Counter()
-    for i, t, *_ in sorted(rows):
-        for c in chunks[i, t]:
-            if eligible(c):
-                count[c] += 1
-                first.setdefault(c, i)
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
-    for i, t, *_ in rows:
-        seen, kept = set(), []
-        for c in chunks[i, t]:
-            if not eligible(c) or count[c] == 1 or first[c] == i and c not in seen:
-                kept.append(c)
-            seen.add(c)
-        assert got[i].text == (None if t is None else "\n".join(kept))
-        assert (got[i].n_chunks, got[i].n_removed) == (len(chunks[i, t]), len(chunks[i, t]) - len(kept))
-    assert any(r.n_removed for r in got.values())
+    rows = sorted(line_dedup.line_rows(df).collect(), key=lambda r: (r.doc_id, r.pos))
+    assert ["\n".join(r.line for r in rows if r.doc_id == i) for i in (1, 2)] == ["\n".join(lines), "\n".join(["new line", *lines])]
+    one, two = ([r for r in rows if r.doc_id == i] for i in (1, 2))
+    assert [r.opens for r in one[3:]] == [r.opens for r in two[4:]] and 20 < sum(r.opens for r in one) < 120
+
+
+def test_line_dedup(spark, rows):
+    """Against trying every run of lines; also many short lines over few contents, with blank ones and long ones between."""
+    rng = random.Random(8)
+    pool = ["", " ", *(" ".join(f"p{i}x{j}" for j in range(rng.choice([1, 3, 12, 26, 49, 50, 51, 60]))) for i in range(60))]
+    more = [(10_000 + k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))) for k in range(60)]
+    for k in range(40):  # passages of lines in a row, between lines of their own
+        a = rng.randrange(2, 50)
+        more.append((20_000 + k, "\n".join([f"own {k} a", *pool[a : a + rng.randrange(1, 9)], f"own {k} b"])))
+    got, texts = deduped(spark, [(r[0], r[1]) for r in rows] + more)
+    want = brute.line_dedup(texts)
+    assert got == sorted(((i, want[i, t]) for i, t in texts), key=str)
+
+
+@pytest.mark.parametrize("shape", [(60,), (30, 30), (16,) * 4, (12,) * 5, (12,) * 20, (30, 100, 20), (51,), (26, 25)])
+def test_repeated_passages_of_over_50_words_go(spark, shape):
+    passage = [" ".join(f"l{i}w{j}" for j in range(n)) for i, n in enumerate(shape)]
+    texts = [(k, "\n".join([f"unlike line {k}", *passage, f"other line {k}"])) for k in range(4)]
+    got, _ = deduped(spark, texts)
+    assert got == [(0, texts[0][1]), *((k, f"unlike line {k}\nother line {k}") for k in (1, 2, 3))]
+
+
+def test_line_dedup_without_ids(spark):
+    """Rows without ids: equal ones keep all, and of a chunk that two of them share one copy stays."""
+    lines = [f"l{i} k{i} m{i}" for i in range(12)]
+    texts = [(None, "\n".join(lines)), (None, "\n".join(lines)), (None, "\n".join(["top", *lines])), (4, "\n".join(["first", *lines]))]
+    got, texts = deduped(spark, texts)
+    want = brute.line_dedup(texts)
+    assert got == sorted(((i, want[i, t]) for i, t in texts), key=str) and want[4, texts[3][1]] == texts[3][1]
+    got, _ = deduped(spark, texts[:2])
+    assert got == texts[:2]
+
+
+def test_line_dedup_of_a_long_text(spark):
+    """Time in proportion to the lines, more or less: 8 times the lines in less than 30 times the time."""
+    import time
+
+    seconds = []
+    for n in (2_000, 16_000):
+        text = "\n".join(f"l{i % (n // 2)} a b" for i in range(n))
+        begun = time.perf_counter()
+        got, _ = deduped(spark, [(1, text)])
+        seconds.append(time.perf_counter() - begun)
+        assert len(got[0][1].split("\n")) <= n // 2 + 40
+    assert seconds[1] < 30 * max(seconds[0], 1)
 
 
 def test_line_dedup_edges(none, odd):
     assert line_dedup.dedup_lines(none).collect() == []
     out = line_dedup.dedup_lines(odd)
-    assert out.columns == [*odd.columns, "n_chunks", "n_removed"] and out.count() == 5
+    assert out.columns == [*odd.columns, "n_lines", "n_removed"]
+    assert sorted(map(str, out.drop("n_lines", "n_removed").collect())) == sorted(map(str, odd.collect()))
 
 
 def naive_best_fit(lengths, size):
