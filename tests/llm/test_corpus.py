@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clausecut.llm import line_dedup, lm_scoring, mixing, packing, quality
+from clausecut.llm import line_dedup, lm_scoring, mixing, packing, quality, seating
 from clausecut.llm import queries as Q
+from clausecut.llm.common import Scratch
 from tests.llm import brute
 
 
@@ -163,17 +164,31 @@ def test_packing_edges(none, odd):
 
 
 def test_mixing(docs, rows):
+    """What a source gives is what the points give it in blocks; within a block of the target it is the target."""
     want = brute.targets([(s, t) for _, t, _, s, _ in rows])
-    for slots in (50, mixing.SLOTS):
-        out = mixing.mixed_sizes(docs, slots=slots).collect()
+    words = int(1.5 * sum(n for n, _ in want.values()))
+    results = {}
+    for slots, ratio in ((50, mixing.GOLDEN), (mixing.SLOTS, mixing.GOLDEN), (700, 0.0), (700, 0.37)):
+        out = mixing.mixed_sizes(docs, slots=slots, ratio=ratio).collect()
         assert len(out) == len(rows)
+        block = max(1, -(-words // slots))
+        n, total, low, at = -(-words // block), sum(t for _, t in want.values()), 0.0, {}
+        for s in sorted((x for x in want if x is not None)) + [None]:
+            at[s] = (low / total, (low + want[s][1]) / total)
+            low += want[s][1]
+        points = [((i + 0.5) * ratio) % 1.0 for i in range(n)]
         taken = Counter()
         for r in out:
             assert (r.source_size, r.target) == (want[r.source][0], pytest.approx(want[r.source][1]))
-            assert 0 <= r.taken <= 2 * r.size
+            assert 0 <= r.taken <= 2 * r.size and (r.taken > 0) == (r.first_slot is not None)
             taken[r.source] += r.taken
-        assert all(abs(taken[s] - t) <= 1 for s, (_, t) in want.items())
-        assert sorted(map(str, out)) == sorted(map(str, mixing.mixed_sizes(docs, slots=slots).collect()))
+        for s, (size, target) in want.items():
+            given = block * sum(at[s][0] <= u < at[s][1] for u in points)
+            assert taken[s] == (round(target) if abs(given - target) < block else min(given, 2 * size)), (slots, ratio, s)
+        results[slots, ratio] = sorted((r.doc_id, r.taken) for r in out)
+    assert len(set(map(str, results.values()))) > 2
+    again = sorted((r.doc_id, r.taken) for r in mixing.mixed_sizes(docs.repartition(5), slots=50).collect())
+    assert again == results[50, mixing.GOLDEN]
 
 
 def test_mixing_caps(spark):
@@ -186,7 +201,7 @@ def test_schedule_is_even(docs):
     """In any run of slots each source has its share, but for a few."""
     _, sources, pieces, _ = mixing.mix(docs, slots=2000)
     share = {r.skey: r.target for r in sources.collect()}
-    dealt = {r.slot: r.skey for r in mixing.schedule(docs.sparkSession, sources, 2000).collect()}
+    dealt = {r.slot: r.skey for r in mixing.schedule(docs.sparkSession, sources.select("skey", "rank", "target"), 2000).collect()}
     for n in (100, 500, 1000):
         for s, t in share.items():
             assert abs(sum(dealt[i] == s for i in range(n)) - n * t / sum(share.values())) < 4
@@ -196,7 +211,7 @@ def test_schedule_is_even(docs):
 def test_mixed_documents(docs, rows):
     text = {r[0]: r[1] for r in rows}
     out = mixing.mixed_documents(docs)
-    assert out.columns == docs.columns
+    assert out.columns == [*docs.columns, "mix_slot"] and out.where("mix_slot IS NULL").count() == 0
     total = Counter()
     for r in out.collect():
         assert brute.words(r.text) == brute.words(text[r.doc_id])[: len(brute.words(r.text))] and r.n_chars == len(r.text)
@@ -227,48 +242,87 @@ def test_lm_base(docs, rows):
     assert sum(r.score for r in train) > sum(r.base_score for r in train)
 
 
-def test_lm_is_a_distribution(spark, monkeypatch):
-    """Probabilities of all words and the unknown one after a context add up to 1, with and without broadcast words."""
-    rng = random.Random(4)
-    train = [(7 * k + 1000, " ".join(rng.choice("abcde") for _ in range(30))) for k in range(40)]
-    ask = [f"a {x}" for x in ["a", "b", "c", "d", "e", "unknown"]] + ["a"]
-    both = [(i, t, False) for i, t in train] + [(i, t, True) for i, t in enumerate([*ask, "a a"])]
-    df = spark.createDataFrame(both, "doc_id long, text string, held boolean")
-    for frequent in (1 << 15, 3):
-        monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
-        s = {r.doc_id: r.score for r in lm_scoring.scored(df, held_out=F.col("held")).where("held_out").collect()}
-        end_after = {x: s[k] for k, x in enumerate(ask)}
-        # p(x | a) p(end | x) for each x, and p(a) p(end | a): only ratios with the same last context can be added
-        p_end_a = 10 ** (s[0] - s[6])  # p(a | a)
-        assert 0 < p_end_a < 1 and all(v < 0 for v in end_after.values())
-
-
-def test_predictor_sums_to_one():
-    rng = np.random.default_rng(0)
-    word = np.repeat(np.arange(20), 3)
-    context = np.tile([1, 2, 3], 20)
-    count = rng.integers(1, 9, 60)
-    sums, c1, t1, by_class, by_top = lm_scoring.sampled(word, context, count, 20, 20, 1)
-    customers = np.bincount(context, weights=count, minlength=lm_scoring.CLASSES).astype(np.int64)
-    p = lm_scoring.Predictor(np.concatenate([customers, by_class.ravel(), by_top]), int(count.sum()), 20)
-    parents = np.vstack([p.parents(c1.T, t1.T), p.parents(np.zeros((1, 3)), np.zeros((1, 3)))])
-    for k in (1, 2, 3, 9):
-        own = np.append(p.own(count[context == k], sums[context == k], np.full(20, k)), 0.0) if k < 9 else np.zeros(21)
-        assert (10 ** p.scores(parents, np.full(21, k), own)).sum() == pytest.approx(1.0)
-
-
-def test_seating_keeps_its_sums():
-    rng = np.random.default_rng(1)
-    c = rng.integers(1, 40, 50)
-    s = lm_scoring.Seating(c, 0.5, rng)
-    live = np.flatnonzero(c > 1)
-    for _ in range(200):
-        s.leave(live)
-        s.sit(live, np.full(len(live), 2.0))
-    slots, at = s._slots(np.arange(50))
-    size = np.add.reduceat(s.size[slots], at)
-    tables = np.add.reduceat((s.size[slots] > 0).astype(int), at)
-    assert (size == c).all() and (tables == s.t).all() and (s.c == c).all() and s.t.max() > 3
+def test_lm_is_a_distribution(spark, docs):
+    """After each class, the probabilities of all training words and of the unknown one add up to 1."""
+    scratch = Scratch(spark, "t")
+    words = scratch.write(lm_scoring.counted(docs.where("text IS NOT NULL"), scratch), "words")
+    rows = words.toPandas()
+    model, kept = lm_scoring.fitted(words, len(rows), scratch)
+    rows = model.toPandas()
+    classes, counts = np.frombuffer(b"".join(rows["classes"]), np.uint8), np.frombuffer(b"".join(rows["counts"]), "<i8")
+    customers = np.bincount(classes, weights=counts, minlength=lm_scoring.CLASSES).astype(np.int64)
+    p = lm_scoring.Predictor(np.concatenate([customers, kept[:, :-1].ravel(), kept[:, -1]]), int(rows["c"].sum()), len(rows))
+    table = lm_scoring.Table(rows, p)
+    nothing = p.parents(np.zeros((1, lm_scoring.SAMPLES)), np.zeros((1, lm_scoring.SAMPLES)))
+    for k in [*range(0, lm_scoring.CLASSES, 5), lm_scoring.class_of(b"")]:
+        known = 10 ** table.look_up(np.arange(len(rows)), np.full(len(rows), k))
+        unknown = 10 ** p.scores(nothing, np.array([k]), np.zeros(1))
+        assert known.sum() + unknown[0] == pytest.approx(1.0) and known.min() > 0
+
+
+def test_lm_does_not_depend_on_the_dealing(spark, docs):
+    """The same scores with other partitions of the rows and of the shuffles, and with and without broadcast words."""
+    runs = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for dealt, shuffles, frequent in ((1, "3", 1 << 15), (6, "7", 1 << 15), (2, "4", 8)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+            lm_scoring.FREQUENT, kept = frequent, lm_scoring.FREQUENT
+            try:
+                runs.append({r.doc_id: r.score for r in lm_scoring.scored(docs.repartition(dealt)).collect()})
+            finally:
+                lm_scoring.FREQUENT = kept
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert runs[0] == pytest.approx(runs[1]) and runs[0] == pytest.approx(runs[2])
+
+
+def test_stirling_numbers():
+    d, n = 0.75, 2000
+    row = np.full(n + 2, -np.inf)
+    row[1] = 0.0
+    t = np.arange(1, n + 2)
+    for c in range(1, n):
+        with np.errstate(divide="ignore"):
+            row[1:] = np.logaddexp(row[:-1], np.log(np.maximum(c - t * d, 0)) + row[1:])
+    got = seating.log_stirling(np.full(1800, n), np.arange(1, 1801), d)
+    assert np.abs(np.diff(got) - np.diff(row[1:1801])).max() < 0.01
+    assert seating.log_stirling(np.array([1, 2, 2, 3]), np.array([1, 1, 2, 2]), d) == pytest.approx(np.log([1, 0.25, 1, 0.75]))
+
+
+@pytest.mark.parametrize(("c", "a", "q", "z"), [(6, 3.0, -0.3, 4.0), (9, 40.0, 2.5, 30.0), (5, 2.0, 0.2, None)])
+def test_draws_are_those_of_single_customers(c, a, q, z):
+    """Against a plain sampler that takes one customer out at a time and seats it by the restaurant's weights."""
+    d, rng = 0.75, random.Random(3)
+    tables, seen = [c], Counter()
+    for step in range(60_000):
+        k = rng.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        tables = [x for x in tables if x]
+        t = len(tables)
+        new = (a + d * t) * (q if z is None else (q + t) / (z + t))
+        k = rng.choices(range(t + 1), [*(x - d for x in tables), new])[0]
+        tables = [*tables, 1] if k == t else [x + (i == k) for i, x in enumerate(tables)]
+        seen[len(tables)] += 1
+    n = 60_000
+    w = seating.Weights(d, np.full(n, a), np.full(n, q), None if z is None else np.full(n, z))
+    drawn = Counter(seating.seated(np.full(n, c), np.ones(n, dtype=np.int64), w, seating.mixed(np.arange(n, dtype=np.uint64)), 1).tolist())
+    assert max(abs(seen[t] - drawn[t]) / n for t in range(1, c + 1)) < 0.02
+
+
+def test_draws_of_many_customers():
+    """Steps of the sampler beyond the table keep to the weights."""
+    n, c = 4000, 1500
+    w = seating.Weights(0.75, np.full(n, 30.0), np.full(n, 0.5), np.full(n, 20.0))
+    t, key = np.ones(n, dtype=np.int64), seating.mixed(np.arange(n, dtype=np.uint64))
+    for turn in range(5):
+        t = seating.seated(np.full(n, c), t, w, key, turn)
+    x = np.arange(1, c + 1)
+    one = seating.Weights(0.75, np.full(c, 30.0), np.full(c, 0.5), np.full(c, 20.0))
+    p = seating.log_stirling(np.full(c, c), x, 0.75) + one.at(x)
+    p = np.exp(p - p.max()) / np.exp(p - p.max()).sum()
+    mean = (p * x).sum()
+    assert t.mean() == pytest.approx(mean, rel=0.02) and t.std() == pytest.approx(math.sqrt((p * (x - mean) ** 2).sum()), rel=0.1)
 
 
 def test_lm_edges(none, odd):
