@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clausecut.llm import line_dedup, pii, quality, secrets
+from clausecut.llm import line_dedup, mixing, pii, quality, secrets
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -86,3 +86,18 @@ LINES = rf"""WITH t AS (SELECT doc_id, md5(coalesce(text, '')) AS tm, string_spl
  y AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n FROM s GROUP BY doc_id)
  SELECT q.doc_id, CASE WHEN q.text IS NOT NULL THEN coalesce(y.text, '') END AS text, len(t.ls)::BIGINT AS n_lines, (len(t.ls) - coalesce(y.n, 0))::BIGINT AS n_removed, length(coalesce(y.text, ''))::BIGINT AS n_chars
  FROM documents q JOIN t ON t.doc_id = q.doc_id LEFT JOIN y ON y.doc_id = q.doc_id"""
+
+MIX = rf"""WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {mixing.HEX}))::BIGINT AS h FROM documents),
+ per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+ c AS (SELECT *, {list(map(float, mixing.WEIGHTS))}[((rank - 1) % {len(mixing.WEIGHTS)} + 1)::INT]::DOUBLE AS weight, {mixing.CAP} * source_size::DOUBLE AS cap, {mixing.SHARE}::DOUBLE * sum(source_size) OVER () AS total FROM per),
+ v AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+ t AS (SELECT source, rank, source_size, total, CASE WHEN cap > level * weight THEN (SELECT arg_min(x.level, (x.cap / x.weight, x.rank)) FROM v x WHERE x.cap > x.level * x.weight) * weight ELSE cap END AS target FROM v),
+ b AS (SELECT max(greatest(1, (floor(total)::BIGINT + {mixing.SLOTS} - 1) // {mixing.SLOTS})) AS block, max(floor(total)::BIGINT) AS words FROM t),
+ s AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY rank), 0) AS lo FROM (SELECT source, rank, z / max(z) OVER () AS hi FROM (SELECT *, sum(target) OVER (ORDER BY rank) AS z FROM t WHERE target > 0))),
+ p AS (SELECT i AS slot, ((i + 0.5::DOUBLE) * {mixing.GOLDEN}::DOUBLE) % 1.0::DOUBLE AS u FROM b, range(0, (words + block - 1) // block) r(i)),
+ o AS (SELECT slot, s.source, s.rank AS no, row_number() OVER (PARTITION BY s.rank ORDER BY slot) - 1 AS place FROM p JOIN s ON u >= lo AND u < hi),
+ g AS (SELECT t.*, block, (words + block - 1) // block AS slots, coalesce(n, 0) AS given, CASE WHEN abs(coalesce(n, 0) * block - target) < block THEN round(target)::BIGINT ELSE least(coalesce(n, 0) * block, {mixing.CAP} * source_size) END AS takes
+ FROM t CROSS JOIN b LEFT JOIN (SELECT no, count(*) AS n FROM o GROUP BY no) q ON q.no = t.rank),
+ a AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS z FROM d),
+ x AS (SELECT a.*, g.rank, source_size, target, takes, given, block, slots, greatest(0, least(size, takes - z)) + greatest(0, least(size, takes - z - source_size)) AS taken, z // block AS place FROM a JOIN g ON g.source IS NOT DISTINCT FROM a.source)
+ SELECT doc_id, x.source, size, source_size, target, taken::BIGINT AS taken, CASE WHEN taken > 0 THEN coalesce(o.slot, slots + x.rank)::BIGINT END AS first_slot FROM x LEFT JOIN o ON o.no = x.rank AND o.place = x.place"""
