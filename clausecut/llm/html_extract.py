@@ -9,7 +9,8 @@ at the least total cost.
 Pages are independent: one map in Arrow batches, no shuffle. Memory is that of a batch and one page's blocks.
 
 A null page is an empty page; a page without content gives an empty text. Broken markup (unclosed tags, a page cut
-anywhere) is read as browsers read it, as far as text goes. Repeated rows give repeated rows.
+anywhere) is read as browsers read it, as far as text goes. Repeated rows give repeated rows; ids, null too, are passed on
+unread. A very long page is one page's blocks in one worker; its cut takes time by its blocks and edges.
 """
 
 from __future__ import annotations
@@ -40,23 +41,54 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 AGAINST = frozenset("nav footer aside form header menu dialog fieldset search select dir".split())
 FOR = frozenset("article main".split())
 AGAINST_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar form".split())
-AGAINST_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|footer|foot|header|masthead|sidebar|side|ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|gdpr|popup|modal|overlay|"
-    r"comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|breadcrumbs?|subscribe|newsletter|signup|login|widget\w*|toolbar|pagination|pager|alert|copyright|hidden)(?=$|[\s_-])",
-    re.I,
+#: Words in class names and ids that speak against a block, for it, and, before another word, say nothing of the block itself.
+AGAINST_WORDS = frozenset(
+    "nav navbar navigation menu footer foot header masthead sidebar side ad ads banner cookie cookies consent notice notices gdpr popup modal overlay comment comments commentlist disqus "
+    "replies respond share sharing social related breadcrumb breadcrumbs subscribe newsletter signup login toolbar pagination pager alert copyright hidden".split()
 )
-FOR_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|text|body)(?=$|[\s_-])", re.I)
+AGAINST_STEMS = ("advert", "promo", "sponsor", "recommend", "widget")
+FOR_WORDS = frozenset("article content post entry story main text body".split())
+OF_OTHERS = frozenset("has have with without no not is js hide show".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
+PARTS = re.compile(r"[_-]+")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+HIDDEN = re.compile(r"""(?:^|[\s"'])hidden(?=$|[\s=/])""", re.I)
+#: Tags that a head may hold; any other ends it.
+IN_HEAD = frozenset("title meta link base script style noscript template".split())
+#: Silent tags that do not nest in themselves: another one, or the end of what they stand in, ends them.
+NO_NESTING = frozenset("button select audio video canvas".split())
 
 #: The classifier's weights, and the strength of the two kinds of edges.
 WEIGHTS = {"against": -6.0, "for": 3.0, "p": 1.0, "heading": 0.5, "item": -0.5, "words": 2.0, "short": -1.0, "links": -4.0, "stop": 0.5, "rights": -2.0}
 ADJACENT, SIBLING = 0.4, 0.8
 
 
+def evidence(names: str) -> tuple[bool, bool]:
+    """Whether class names or an id speak against a block, and for it.
+
+    Each name counts by itself. has-sidebar or no-nav say what is beside the block, and an article's own header or a name
+    of the content that stands alone outweighs names joined from words.
+    """
+    whole, joined, pro = False, False, False
+    for name in names.lower().split():
+        parts = [x for x in PARTS.split(name) if x]
+        if not parts or len(parts) > 1 and parts[0] in OF_OTHERS:
+            continue
+        bad = [x for x in parts if x in AGAINST_WORDS or x.startswith(AGAINST_STEMS)]
+        good = any(x in FOR_WORDS for x in parts)
+        if good and bad == ["header"]:
+            bad = []
+        whole |= len(parts) == 1 and bool(bad)
+        joined |= len(parts) > 1 and bool(bad)
+        pro |= good and not bad and (len(parts) == 1 or not joined)
+    alone = any(x in FOR_WORDS for x in names.lower().split())
+    return whole or joined and not alone, pro
+
+
 class Block:
     __slots__ = ("against", "container", "links", "pro", "tag", "text")
 
@@ -69,7 +101,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     # an open tag: name, its own number, its parent's number, evidence against, evidence for
     stack: list[tuple[str, int, int, float, float]] = [("", 0, 0, 0.0, 0.0)]
-    numbers, buffer, linked, in_link, silent = 0, [], 0, 0, 0
+    numbers, buffer, linked, in_link = 0, [], 0, 0
+    silent: list[tuple[str, int]] = []  # open silent tags, and how many tags were open around each
     low, at, size = None, 0, len(page)
 
     def flush() -> None:
@@ -117,14 +150,23 @@ def blocks(page: str) -> list[Block]:
             if tag == "a":
                 in_link = max(0, in_link - 1)
             if tag in SILENT:
-                silent = max(0, silent - 1)
+                for k in range(len(silent) - 1, -1, -1):
+                    if silent[k][0] == tag:
+                        del stack[silent[k][1] :], silent[k:]
+                        break
             if tag in BLOCKS:
                 flush()
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
                         del stack[k:]
+                        while silent and silent[-1][1] > k:  # what it stood in has ended
+                            silent.pop()
                         break
             continue
+        if silent and silent[0][0] == "head" and tag not in IN_HEAD:
+            silent.clear()
+        if silent and (silent[-1][0] == tag and tag in NO_NESTING or silent[-1][0] in ("svg", "math") and tag in BLOCKS):
+            silent.pop()
         if tag == "br":
             if not silent:
                 buffer.append(" ")
@@ -137,11 +179,15 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in VOID and tag not in BLOCKS:
             continue
-        if tag == "body":
-            silent = 0
         if tag in SILENT:
             if not attributes.rstrip().endswith("/"):
-                silent += 1
+                low = low if low is not None else page.lower()
+                end, again = low.find(f"</{tag}", at), low.find(f"<{tag}", at) if tag in NO_NESTING else -1
+                if tag == "head" or end >= 0 and not 0 <= again < end:
+                    silent.append((tag, len(stack)))
+                else:  # never closed: only the text right after it is its own
+                    lt = page.find("<", at)
+                    at = size if lt < 0 else lt
             continue
         if tag == "a":
             in_link = 1
@@ -162,6 +208,8 @@ def blocks(page: str) -> list[Block]:
             elif tag in AGAINST and not (tag == "header" and pro):
                 against = 1.0
             if attributes:
+                if HIDDEN.search(attributes):
+                    against = 2.0
                 for name, a, b, c in ATTRIBUTE.findall(attributes):
                     value = a or b or c
                     if name.lower() == "role":
@@ -169,10 +217,15 @@ def blocks(page: str) -> list[Block]:
                             against = 1.0
                         elif value.lower() in ("main", "article"):
                             pro = 1.0
-                    elif AGAINST_NAMES.search(value) and tag not in ("body", "html", "article", "main"):
-                        against = 1.0
-                    elif FOR_NAMES.search(value) and tag not in ("body", "html"):
-                        pro = max(pro, 0.6)
+                    elif name.lower() == "style":
+                        if UNSEEN.search(value):
+                            against = 2.0
+                    elif tag not in ("body", "html"):
+                        bad, good = evidence(value)
+                        if bad and tag not in ("article", "main") and not (tag == "header" and pro):
+                            against = max(against, 1.0)
+                        elif good:
+                            pro = max(pro, 0.6)
             numbers += 1
             stack.append((tag, numbers, parent, against, pro))
     flush()
