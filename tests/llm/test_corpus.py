@@ -247,11 +247,9 @@ def test_lm_is_a_distribution(spark, docs):
     scratch = Scratch(spark, "t")
     words = scratch.write(lm_scoring.counted(docs.where("text IS NOT NULL"), scratch), "words")
     rows = words.toPandas()
-    model, kept = lm_scoring.fitted(words, len(rows), scratch)
+    model, totals = lm_scoring.fitted(words, len(rows), scratch)
     rows = model.toPandas()
-    classes, counts = np.frombuffer(b"".join(rows["classes"]), np.uint8), np.frombuffer(b"".join(rows["counts"]), "<i8")
-    customers = np.bincount(classes, weights=counts, minlength=lm_scoring.CLASSES).astype(np.int64)
-    p = lm_scoring.Predictor(np.concatenate([customers, kept[:, :-1].ravel(), kept[:, -1]]), int(rows["c"].sum()), len(rows))
+    p = lm_scoring.Predictor(totals, int(rows["c"].sum()), len(rows))
     table = lm_scoring.Table(rows, p)
     nothing = p.parents(np.zeros((1, lm_scoring.SAMPLES)), np.zeros((1, lm_scoring.SAMPLES)))
     for k in [*range(0, lm_scoring.CLASSES, 5), lm_scoring.class_of(b"")]:
