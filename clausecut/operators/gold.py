@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausecut import patterns as P
-from clausecut.functions.text import basename, let, strip
+from clausecut.functions.text import basename, let, strip, sums_before
 from clausecut.operators.clean import act_id
 from clausecut.operators.tokens import tokenize
 
@@ -64,59 +67,85 @@ def gold_sentences(task_spans: DataFrame) -> DataFrame:
     return listed.select("act_id", F.filter(F.transform("x", lambda s: s["text"]), lambda t: t != "").alias("sentences"))
 
 
+def window_ranges(sizes: list[int], full: int = P.GOLD_FULL, least: int = P.GOLD_LEAST, joined: int = P.GOLD_JOINED) -> list[tuple[int, int]]:
+    """(first, number) of the sentences of each window, from the sentences' numbers of tokens."""
+    out, first, n = [], 0, 0
+    for i, size in enumerate(sizes):
+        n += size
+        if n > full:
+            out.append((first, i + 1 - first))
+            first, n = i + 1, 0
+    if least <= n <= full:
+        out.append((first, len(sizes) - first))
+    elif n and out and sum(sizes[out[-1][0] : out[-1][0] + out[-1][1]]) + n <= joined:
+        out[-1] = (out[-1][0], len(sizes) - out[-1][0])
+    return out
+
+
 def packed(sentences: Column, full: int = P.GOLD_FULL, least: int = P.GOLD_LEAST, joined: int = P.GOLD_JOINED) -> Column:
     """Array of (window_no, tokens, sbd_labels): whole sentences until a window has more than `full` tokens.
 
     A rest of at least `least` tokens is a window; a shorter one is added to the last window if both have at most `joined`,
-    else dropped. A running sum that starts anew cannot be a window function, so this is a fold.
+    else dropped. A running sum that starts anew cannot be a window function; it is taken in Arrow batches, over the
+    sentences' sizes alone.
     """
-    tokens, labels = "array<string>", "array<int>"
-
-    def step(acc: Column, s: Column) -> Column:
-        t = tokenize(s)
-        own = F.when(F.size(t) > 0, F.concat(F.array_repeat(F.lit(0), F.size(t) - 1), F.array(F.lit(1)))).otherwise(F.array().cast(labels))
-        now, lab = F.concat(acc["tokens"], t), F.concat(acc["labels"], own)
-        over = F.size(now) > full
-        window = F.struct(F.size(acc["done"]).alias("window_no"), now.alias("tokens"), lab.alias("sbd_labels"))
-        return F.struct(
-            F.when(over, F.concat(acc["done"], F.array(window))).otherwise(acc["done"]).alias("done"),
-            F.when(over, F.array().cast(tokens)).otherwise(now).alias("tokens"),
-            F.when(over, F.array().cast(labels)).otherwise(lab).alias("labels"),
-        )
-
-    def finish(acc: Column) -> Column:
-        n, k = F.size(acc["tokens"]), F.size(acc["done"])
-        last = F.element_at(acc["done"], F.greatest(k, F.lit(1)))
-        rest = F.struct(k.alias("window_no"), acc["tokens"].alias("tokens"), acc["labels"].alias("sbd_labels"))
-        longer = F.struct(last["window_no"].alias("window_no"), F.concat(last["tokens"], acc["tokens"]).alias("tokens"), F.concat(last["sbd_labels"], acc["labels"]).alias("sbd_labels"))
-        joins = (n > 0) & (k > 0) & F.coalesce(F.size(last["tokens"]) + n <= joined, F.lit(False))
-        return F.when((n >= least) & (n <= full), F.concat(acc["done"], F.array(rest))).when(joins, F.concat(F.slice(acc["done"], F.lit(1), F.greatest(k - 1, F.lit(0))), F.array(longer))).otherwise(acc["done"])
-
-    start = F.struct(F.array().cast(WINDOWS).alias("done"), F.array().cast(tokens).alias("tokens"), F.array().cast(labels).alias("labels"))
-    return F.aggregate(sentences, start, step, finish)
 
+    @F.pandas_udf("array<struct<first:int,n:int>>")
+    def ranges(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([None if x is None else [{"first": a, "n": n} for a, n in window_ranges(list(x), full, least, joined)] for x in b], dtype="object")
 
-def token_offsets(text: Column) -> Column:
-    """Array of (tok_no, tok, char_start, char_end) in code points: running lengths of tokens and the gaps before them.
+    split = F.transform(sentences, tokenize)
+    labels = lambda t: F.when(F.size(t) > 0, F.concat(F.array_repeat(F.lit(0), F.size(t) - 1), F.array(F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
-    Ends are gathered in parts, so that a long text is not copied once for each token.
-    """
-    pattern, part = P.TOKEN, 256
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("t"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("now"))
+    def windows(both: Column) -> Column:
+        part = lambda r: F.slice(both["t"], r["first"] + 1, r["n"])
+        return F.transform(both["r"], lambda r, i: F.struct(i.alias("window_no"), F.flatten(part(r)).alias("tokens"), F.flatten(F.transform(part(r), labels)).alias("sbd_labels")))
+
+    return let(F.struct(split.alias("t"), ranges(F.transform(sentences, lambda s: F.size(tokenize(s)))).alias("r")), windows)
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["g"]) + F.coalesce(F.length(x["t"]), F.lit(0))
-        full = F.size(acc["now"]) >= part
-        return F.struct(end.alias("at"), F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), F.when(full, F.array(end)).otherwise(F.concat(acc["now"], F.array(end))).alias("now"))
+
+def token_offsets(text: Column) -> Column:
+    """Array of (tok_no, tok, char_start, char_end) in code points: running lengths of tokens and the gaps before them."""
+    both = F.arrays_zip(F.split(text, P.TOKEN, -1).alias("g"), F.regexp_extract_all(text, F.lit(P.TOKEN), F.lit(0)).alias("t"))
 
     def rows(b: Column) -> Column:
-        ends = F.aggregate(b, start, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["now"]))))
-        return F.transform(F.filter(F.arrays_zip(b.alias("x"), ends.alias("z")), lambda p: p["x"]["t"].isNotNull()), lambda p, i: F.struct(i.alias("tok_no"), p["x"]["t"].alias("tok"), (p["z"] - F.length(p["x"]["t"])).alias("char_start"), p["z"].alias("char_end")))
+        before = sums_before(F.transform(b, lambda x: (F.length(x["g"]) + F.coalesce(F.length(x["t"]), F.lit(0))).cast("long")))
+
+        def one(z: Column, i: Column) -> Column:
+            start = (z["n"] + F.length(z["x"]["g"])).cast("int")
+            return F.struct(i.alias("tok_no"), z["x"]["t"].alias("tok"), start.alias("char_start"), (start + F.length(z["x"]["t"])).alias("char_end"))
+
+        return F.transform(F.filter(F.arrays_zip(b.alias("x"), before.alias("n")), lambda z: z["x"]["t"].isNotNull()), one)
 
     return let(both, rows)
 
 
+def aligned_in(spans: Column, tokens: Column) -> Column:
+    """Array of (span_no, start, end, tok_no, tok) from a text's spans (span_no, start, end) and its token_offsets(): the first token each touches, null where none.
+
+    Ends of tokens and starts of spans are sorted together; the tokens that end before a span are counted. No row leaves its
+    place, and time is that of the sort.
+    """
+
+    def find(both: Column) -> Column:
+        ends = F.transform(both["t"], lambda t: F.struct(t["char_end"].alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("i")))
+        starts = F.transform(both["s"], lambda s, i: F.struct(s["start"].alias("at"), F.lit(1).alias("kind"), i.alias("i")))
+
+        def counted(events: Column) -> Column:
+            before = sums_before(F.transform(events, lambda e: (1 - e["kind"]).cast("long")))
+            return F.filter(F.arrays_zip(events.alias("e"), before.alias("n")), lambda z: z["e"]["kind"] == 1)
+
+        def one(z: Column) -> Column:
+            s, t = F.get(both["s"], z["e"]["i"]), F.get(both["t"], z["n"].cast("int"))
+            hit = t["char_start"] < s["end"]
+            return F.struct(s["span_no"].alias("span_no"), s["start"].alias("start"), s["end"].alias("end"), F.when(hit, t["tok_no"]).alias("tok_no"), F.when(hit, t["tok"]).alias("tok"))
+
+        return F.transform(let(F.array_sort(F.concat(ends, starts)), counted), one)
+
+    return let(F.struct(spans.alias("s"), tokens.alias("t")), find)
+
+
 def aligned(span_rows: DataFrame, token_rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Spans (keys, span_no, start, end) with tok_no and tok of the first token they touch; null where none does.
 
@@ -134,6 +163,12 @@ def sentence_starts(token_rows: DataFrame, aligned_spans: DataFrame, keys: tuple
     return out.withColumn("is_sent_start", F.col("is_sent_start") | (F.col("tok_no") == 0)) if first_too else out
 
 
+def start_places(aligned: Column, first_too: bool = False) -> Column:
+    """From aligned_in(): the places of tokens that begin a span, in order, and with first_too the text's first."""
+    found = F.transform(F.filter(aligned, lambda s: s["tok_no"].isNotNull()), lambda s: s["tok_no"])
+    return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), found) if first_too else found))
+
+
 def alignment_report(aligned_spans: DataFrame, texts: DataFrame) -> DataFrame:
     """(act_id, successfully_aligned_sentences, failed_alignments_chars) for a look at the alignment."""
     rows = aligned_spans.join(texts, "act_id")

@@ -45,21 +45,30 @@ def placeholders(words: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return out.withColumn("text", F.when(marker, P.TABLE).otherwise(F.col("text"))).withColumn("is_table", marker)
 
 
+def raised(sizes: list[float], bottoms: list[float], tables: list[bool], median: float) -> list[bool]:
+    """For each word of a page, in order, whether it is small and stands higher than the last word that is not."""
+    out, base = [], None
+    for size, bottom, table in zip(sizes, bottoms, tables, strict=True):
+        gone = not table and base is not None and size < SMALL * median and bottom < base - RAISED
+        out.append(gone)
+        base = base if gone or table else bottom
+    return out
+
+
 def without_superscripts(words: DataFrame, page_medians: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Drops small words that stand higher than the last word kept. What is kept depends on what was kept before, so this is a fold over a page, with its words in an array."""
-    ordered = F.array_sort(F.collect_list(F.struct("word_no", F.struct(*[c for c in words.columns if c not in keys]).alias("w"))))
-    pages = words.groupBy(*keys).agg(ordered.alias("_ws")).join(page_medians.select(*keys, F.col("median").alias("_m")), list(keys))
-    row = f"array<{words.select(F.struct(*[c for c in words.columns if c not in keys]).alias('w')).schema['w'].dataType.simpleString()}>"
-    start = F.struct(F.lit(None).cast("double").alias("base"), F.array().cast(row).alias("kept"))
+    """Drops small words that stand higher than the last word kept. What is kept depends on what was kept before, so a page's sizes and places are looked at in one go, in Arrow batches."""
 
-    def step(acc: Column, x: Column) -> Column:
-        w = x["w"]
-        table = F.coalesce(w["is_table"], F.lit(False)) if "is_table" in words.columns else F.lit(False)
-        gone = ~table & (w["size"] < SMALL * F.col("_m")) & F.coalesce(w["bottom"] < acc["base"] - RAISED, F.lit(False))
-        return F.struct(F.when(gone | table, acc["base"]).otherwise(w["bottom"]).alias("base"), F.when(gone, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(w))).alias("kept"))
+    @F.pandas_udf("array<boolean>")
+    def gone(sizes: pd.Series, bottoms: pd.Series, tables: pd.Series, median: pd.Series) -> pd.Series:
+        return pd.Series([raised(*x) for x in zip(sizes, bottoms, tables, median, strict=True)], dtype="object")
 
-    kept = pages.select(*keys, F.explode(F.aggregate("_ws", start, step, lambda a: a["kept"])).alias("w"))
-    return kept.select(*keys, "w.*")
+    ordered = F.array_sort(F.collect_list(F.struct("word_no", F.struct(*[c for c in words.columns if c not in keys]).alias("w"))))
+    pages = words.groupBy(*keys).agg(ordered.alias("_ws")).join(page_medians.select(*keys, F.col("median").alias("_m")), list(keys))
+    of = lambda f: F.transform("_ws", lambda x: f(x["w"]))
+    tables = of(lambda w: F.coalesce(w["is_table"], F.lit(False))) if "is_table" in words.columns else of(lambda w: F.lit(False))
+    pages = pages.withColumn("_gone", gone(of(lambda w: w["size"].cast("double")), of(lambda w: w["bottom"].cast("double")), tables, F.col("_m").cast("double")))
+    kept = F.filter(F.arrays_zip(F.col("_ws").alias("x"), F.col("_gone").alias("gone")), lambda z: ~z["gone"])
+    return pages.select(*keys, F.explode(F.transform(kept, lambda z: z["x"]["w"])).alias("w")).select(*keys, "w.*")
 
 
 def text_lines(words: DataFrame, page_medians: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clausecut import patterns as P
 from clausecut.operators import clean, gold, labels, layout, metrics, punkt, segment, tokens, windows
+from clausecut.plans import sentence_sql as X
 from clausecut.plans.engine import Corpus
 from clausecut.sources import io
 
@@ -27,6 +28,8 @@ END"""
 DOC = "(((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT)"
 WORD_NO = "(((CAST(l_linenumber AS BIGINT) * 10000000) + l_partkey) * 100000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT)"
 LINE_OF = 10**14  # word_no over this is the line
+#: A term can't begin inside letters here: a match begins where the one before ended, and letters are taken to their end.
+TERMS_SQL = "(?:" + "|".join(x.replace(".", r"\.").replace(" ", r"\s") for x in P.ONE_TOKEN) + r")|\p{L}+|\d+|[^\s\p{L}\d]"
 TOKEN_SQL = r"'\p{L}+|\d+|[^\s\p{L}\d]'"
 
 
@@ -67,7 +70,7 @@ def custom_tokenize(spark, sf_dir):
     return legal(spark, sf_dir).select("doc", F.array_join(tokens.tokenize_collapsed(F.col("text")), " ").alias("tokens"))
 
 
-@query()
+@query(rf"WITH {LEGAL_SQL} SELECT doc, array_to_string(regexp_extract_all(text, '{TERMS_SQL}'), ' ') AS tokens FROM legal")
 def tokenize_with_terms(spark, sf_dir):
     return legal(spark, sf_dir).select("doc", F.array_join(tokens.tokenize_with_terms(F.col("text")), " ").alias("tokens"))
 
@@ -139,22 +142,34 @@ def header_predicates(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc", "line_no", *[x.rlike(p).alias(n) for n, p in names.items()])
 
 
-@query()
+@query(
+    rf"""WITH {LEGAL_SQL}, t AS (SELECT doc, 0 AS no, {X.SINGLE_LINE.format("text")} AS txt FROM legal), {X.punkt("p", "t", P.TERMS)}
+ SELECT doc, k::INT AS sent_no, s AS sentence FROM p"""
+)
 def punkt_sentences(spark, sf_dir):
     return legal(spark, sf_dir).select("doc", F.posexplode(punkt.sentences(clean.single_line(F.col("text")), P.TERMS)).alias("sent_no", "sentence"))
 
 
-@query()
+@query(
+    f"""WITH {LEGAL_SQL}, {X.by_line("c", "legal")}, j AS (SELECT doc, string_agg(s, '|' ORDER BY i) AS segments FROM c GROUP BY doc)
+ SELECT legal.doc, coalesce(segments, '') AS segments FROM legal LEFT JOIN j ON j.doc = legal.doc"""
+)
 def clean_sentences(spark, sf_dir):
     return legal(spark, sf_dir).select("doc", F.array_join(segment.clean_segments(segment.split_lines(clean.preprocess(F.col("text")))), "|").alias("segments"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LINES_SQL}, c AS (SELECT doc, line_no AS i, {X.STRIP.format("line")} AS s FROM l), {X.paired("m", "(SELECT * FROM c WHERE length(s) >= 3)")}, j AS (SELECT doc, string_agg(s, '|' ORDER BY i) AS segments FROM m GROUP BY doc)
+ SELECT legal.doc, coalesce(segments, '') AS segments FROM legal LEFT JOIN j ON j.doc = legal.doc"""
+)
 def merge_headers_pairs(spark, sf_dir):
     return legal(spark, sf_dir).select("doc", F.array_join(segment.merge_header_pairs(segment.clean_short(F.split("text", "\n"))), "|").alias("segments"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LEGAL_SQL}, {X.by_line("c", "legal")}, {X.headers_merged("h", "c")}, j AS (SELECT doc, string_agg(s, '|' ORDER BY i) AS segments FROM h GROUP BY doc)
+ SELECT legal.doc, coalesce(segments, '') AS segments FROM legal LEFT JOIN j ON j.doc = legal.doc"""
+)
 def merge_articles_stateful(spark, sf_dir):
     cut = segment.clean_segments(segment.split_lines(clean.preprocess(F.col("text"))))
     return legal(spark, sf_dir).select("doc", F.array_join(segment.merge_headers(cut), "|").alias("segments"))
@@ -234,17 +249,31 @@ def _silver(spark, sf_dir, single: bool) -> DataFrame:
     return rows.select("doc_id", "window_no", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"), F.array_join("sbd_labels", "").alias("labels"))
 
 
-@query()
+#: What AROUND_SQL adds to lines; windows of sentences from labelled tokens.
+AFTER_LINES_SQL = AROUND_SQL[len(LINES_SQL) + 2 :]
+
+
+def _windows_sql(sentences: str, rules: str, rule: tuple[int, int, int]) -> str:
+    size, low, high = rule
+    return f"""WITH RECURSIVE d AS (SELECT doc_id AS doc, text FROM documents), {sentences}, l AS (SELECT doc, i + 1 AS line_no, s AS line FROM h), {AFTER_LINES_SQL}, {rules}
+ SELECT doc AS doc_id, ((line_no - 1) // {size})::INT AS window_no, count(*)::INT AS n_tokens, string_agg(tok, ' ' ORDER BY line_no, tok_no) AS tokens, string_agg(label::VARCHAR, '' ORDER BY line_no, tok_no) AS labels
+ FROM z GROUP BY ALL HAVING count(*) > {low} AND count(*) < {high}"""
+
+
+@query(_windows_sql(f"{X.by_line('c', 'd')}, {X.headers_merged('h', 'c')}", LINES_RULES_SQL, P.WINDOW_LINES))
 def silver_windows_lines(spark, sf_dir):
     return _silver(spark, sf_dir, False)
 
 
-@query()
+@query(_windows_sql(X.single_line("h", "d"), SINGLE_RULES_SQL, P.WINDOW_SINGLE_LINE))
 def silver_windows_single_line(spark, sf_dir):
     return _silver(spark, sf_dir, True)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LEGAL_SQL}, {X.single_line("m", "legal")}, f AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY i) AS n FROM m WHERE length(s) < 25)
+ SELECT doc, i::INT AS place, s AS segment, {X.matches("s", "HEADER_SINGLE_LINE")} AS is_header FROM f WHERE n <= 5"""
+)
 def short_segments(spark, sf_dir):
     return Corpus(legal(spark, sf_dir)).sentences_single_line().short_segments("doc")
 
@@ -303,13 +332,19 @@ def detokenize(spark, sf_dir):
     return legal(spark, sf_dir).select("doc", clean.detokenize(tokens.tokenize(F.col("text"))).alias("text"))
 
 
-SPANS_SQL = "sp AS (SELECT doc_id, k::INT AS span_no, (k * 40 + doc_id % 7)::INT AS s, (k * 40 + doc_id % 7 + 33)::INT AS e, text FROM documents, generate_series(0, 5) g(k))"
+#: Spans over the whole of each text, one in 40 characters.
+SPANS_SQL = "sp AS (SELECT doc_id, k::INT AS span_no, (k * 40 + doc_id % 7)::INT AS s, (k * 40 + doc_id % 7 + 33)::INT AS e, text FROM (SELECT doc_id, text, unnest(generate_series(0, length(text) // 40)) AS k FROM documents))"
+
+
+def _span_arrays(spark, sf_dir) -> DataFrame:
+    """Each document's text, spans, and token offsets."""
+    start = lambda k: (k * 40 + F.col("doc_id") % 7).cast("int")
+    listed = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 40).cast("int")), lambda k: F.struct(k.alias("span_no"), start(k).alias("start"), (start(k) + 33).alias("end")))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", listed.alias("spans"), gold.token_offsets(F.col("text")).alias("tokens"))
 
 
 def _spans(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("span_no"))
-    start = (F.col("span_no") * 40 + F.col("doc_id") % 7).cast("int")
-    return docs.select("doc_id", "text", "span_no", start.alias("start"), (start + 33).alias("end"))
+    return _span_arrays(spark, sf_dir).select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", "text", "s.*")
 
 
 @query(f"WITH {SPANS_SQL} SELECT doc_id, span_no, substring(text, s + 1, e - s) AS sentence FROM sp")
@@ -326,18 +361,26 @@ def gold_spans(spark, sf_dir):
  SELECT sp.doc_id, sp.span_no, h.tok_no FROM sp LEFT JOIN h ON sp.doc_id = h.doc_id AND sp.span_no = h.span_no"""
 )
 def span_token_align(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(gold.token_offsets(F.col("text"))).alias("t")).select("doc_id", "t.*")
-    return gold.aligned(_spans(spark, sf_dir).drop("text"), rows, ("doc_id",)).select("doc_id", "span_no", "tok_no")
+    rows = _span_arrays(spark, sf_dir).select("doc_id", F.explode(gold.aligned_in(F.col("spans"), F.col("tokens"))).alias("s"))
+    return rows.select("doc_id", "s.span_no", "s.tok_no")
 
 
-@query()
+@query(
+    rf"""WITH {SPANS_SQL}, x AS (SELECT doc_id, regexp_extract_all(text, {TOKEN_SQL}) AS t, regexp_split_to_array(text, {TOKEN_SQL}) AS g FROM documents),
+ u AS (SELECT doc_id, unnest(t) AS tok, unnest(g[1:len(t)]) AS gap, generate_subscripts(t, 1) - 1 AS tok_no FROM x),
+ o AS (SELECT doc_id, tok_no, tok, sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id ORDER BY tok_no) AS b FROM u),
+ h AS (SELECT sp.doc_id, span_no, min(tok_no) AS tok_no FROM sp JOIN o ON sp.doc_id = o.doc_id AND o.b > sp.s AND o.b - length(tok) < sp.e GROUP BY ALL)
+ SELECT o.doc_id, count(*) AS n_tokens, sum((tok_no = 0 OR s.k IS NOT NULL)::INT)::BIGINT AS n_starts FROM o LEFT JOIN (SELECT DISTINCT doc_id AS d, tok_no AS k FROM h) s ON s.d = o.doc_id AND s.k = o.tok_no GROUP BY o.doc_id"""
+)
 def sentence_starts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(gold.token_offsets(F.col("text"))).alias("t")).select("doc_id", "t.*")
-    flagged = gold.sentence_starts(rows, gold.aligned(_spans(spark, sf_dir).drop("text"), rows, ("doc_id",)), ("doc_id",), True)
-    return flagged.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.col("is_sent_start").cast("long")).alias("n_starts"))
+    rows = _span_arrays(spark, sf_dir).withColumn("starts", gold.start_places(gold.aligned_in(F.col("spans"), F.col("tokens")), True))
+    return rows.where(F.size("tokens") > 0).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.size("starts").cast("long").alias("n_starts"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE l AS (SELECT doc_id AS doc, unnest(ls) AS s, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), {X.gold_windows("g", "l", TOKEN_SQL)}
+ SELECT doc AS doc_id, window_no, n_tokens, labels FROM g"""
+)
 def gold_pack_windows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(gold.packed(F.split("text", "\n"))).alias("w"))
     return docs.select("doc_id", "w.window_no", F.size("w.tokens").alias("n_tokens"), F.array_join("w.sbd_labels", "").alias("labels"))
@@ -440,7 +483,28 @@ def superscripts(spark, sf_dir):
     return layout.without_superscripts(w, layout.medians(w, PAGE), PAGE).select("page", "word_no")
 
 
-@query()
+LINE_SQL = f"""WITH RECURSIVE {WORDS_SQL}, {TABLES_SQL},
+ f AS (SELECT o_orderkey AS page, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 300 > 40 AND o_orderkey % 300 < 250 AND o_orderkey % 200 + 450 > 0.70::DOUBLE * 700.0::DOUBLE THEN (o_orderkey % 200 + 450)::DOUBLE END AS cut FROM orders),
+ v AS (SELECT w.* FROM w JOIN f ON f.page = w.page WHERE w.bottom <= coalesce(f.cut - {layout.MARGIN}, {layout.BODY}::DOUBLE * 700.0::DOUBLE)),
+ m AS (SELECT page, list_sort(list(size))[len(list(size)) // 2 + 1] AS median FROM v GROUP BY page),
+ h AS (SELECT v.page, v.word_no, min(b.table_no) AS table_no FROM v JOIN b ON v.page = b.page AND v.x0 BETWEEN b.x0 AND b.x1 AND v.top BETWEEN b.top AND b.bottom GROUP BY ALL),
+ q AS (SELECT v.*, h.table_no, row_number() OVER (PARTITION BY v.page, h.table_no ORDER BY v.word_no) AS n FROM v LEFT JOIN h ON h.page = v.page AND h.word_no = v.word_no),
+ k AS (SELECT q.page, word_no, CASE WHEN q.table_no IS NULL THEN text ELSE '{P.TABLE}' END AS text, q.table_no IS NOT NULL AS tab, q.top, q.bottom, b.bottom AS tab_bottom, size < {layout.SMALL} * median AS small, median, row_number() OVER (PARTITION BY q.page ORDER BY word_no) AS i
+ FROM q JOIN m ON m.page = q.page LEFT JOIN b ON b.page = q.page AND b.table_no = q.table_no WHERE q.table_no IS NULL OR n = 1),
+ r AS (SELECT page, i, false AS gone, CASE WHEN NOT tab THEN bottom END AS base FROM k WHERE i = 1 UNION ALL
+ SELECT k.page, k.i, NOT k.tab AND k.small AND coalesce(k.bottom < r.base - {layout.RAISED}, false), CASE WHEN k.tab OR k.small AND coalesce(k.bottom < r.base - {layout.RAISED}, false) THEN r.base ELSE k.bottom END FROM r JOIN k ON k.page = r.page AND k.i = r.i + 1),
+ s AS (SELECT k.*, CASE WHEN tab THEN tab_bottom ELSE bottom END AS edge FROM k JOIN r ON r.page = k.page AND r.i = k.i WHERE NOT r.gone),
+ a AS (SELECT *, lag(edge) OVER w AS pb, coalesce(lag(tab) OVER w, false) AS pt, lag(text) OVER w AS px FROM s WINDOW w AS (PARTITION BY page ORDER BY i)),
+ e AS (SELECT *, coalesce(top > pb + {layout.BREAK} * median, false) AND NOT tab AS below FROM a),
+ j AS (SELECT *, below AND NOT pt AND coalesce(px LIKE '%-', false) AS joins FROM e),
+ n AS (SELECT *, sum(CASE WHEN pb IS NULL THEN 0 WHEN tab THEN 1 WHEN pt THEN 1 + (below AND NOT joins)::INT ELSE (below AND NOT joins)::INT END) OVER (PARTITION BY page ORDER BY i) AS no, CASE WHEN coalesce(lead(joins) OVER (PARTITION BY page ORDER BY i), false) THEN regexp_replace(text, '-$', '') ELSE text END AS word FROM j),
+ x AS (SELECT page, no, string_agg(word, ' ' ORDER BY i) AS line FROM n GROUP BY ALL),
+ y AS (SELECT page, unnest(range(0, max(no)::BIGINT + 1)) AS no FROM x GROUP BY page),
+ t AS (SELECT y.page, string_agg(coalesce(x.line, ''), chr(10) ORDER BY y.no) AS text FROM y LEFT JOIN x ON x.page = y.page AND x.no = y.no GROUP BY y.page)
+ SELECT o_orderkey AS page, coalesce(t.text, '') AS text FROM orders LEFT JOIN t ON t.page = o_orderkey"""
+
+
+@query(LINE_SQL)
 def line_assembly(spark, sf_dir):
     return layout.assembled(_pages(spark, sf_dir), _words(spark, sf_dir), _tables(spark, sf_dir), _drawn(spark, sf_dir), PAGE)
 
