@@ -8,7 +8,8 @@ span away.
 All is one map over the texts with built-in functions: no shuffle. The patterns are linear: possessive or anchored to
 the start of a run, which a leftmost search would find anyway.
 
-Null counts as an empty text, with no spans. Repeated rows give repeated rows. No text is cut; there is no limit on spans.
+Null counts as an empty text, with no spans. Repeated rows give repeated rows; ids, null too, are passed on unread. No text is
+cut; there is no limit on spans, and time grows with the text's length and its spans, also in very long texts.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from clausecut.llm.common import text_or_empty
 from clausecut.llm.spans import digits, spans
 
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: The last group of a printed IBAN: up to four letters and digits, one a digit, so that a word in capitals after it is none.
+MIXED = "(?:[0-9][A-Z0-9]{0,3}|[A-Z][0-9][A-Z0-9]{0,2}|[A-Z]{2}[0-9][A-Z0-9]?|[A-Z]{3}[0-9])"
 #: Kind: pattern. The lookbehinds and possessive forms change no match; they keep a long run from being tried from each place in it.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?:\x20[A-Z0-9]{{4}}){{2,7}}\x20{MIXED})(?![A-Za-z0-9])",
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
@@ -41,6 +44,8 @@ CONTEXT = {
     "national": r"(?i)\b(?:ssn|social security|national id)\b",
 }
 LIFT, THRESHOLD, WINDOW = 0.3, 0.5, 48
+#: Code points of a part of a text, in which a span's surroundings are looked up.
+PART = 1024
 
 
 def luhn(number: Column) -> Column:
@@ -70,13 +75,20 @@ def _confirmed(kind: str, match: Column) -> Column:
 
 
 def _scored(kind: str, text: Column, found: Column) -> Column:
-    def one(s: Column) -> Column:
-        lo = F.greatest(s["start"] - WINDOW, F.lit(0))
-        near = F.substring(text, lo + 1, s["start"] - lo + (s["end"] - s["start"]) + WINDOW)
-        score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), LIFT).otherwise(0.0)
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.least(score, F.lit(1.0)).alias("score"), s["match"].alias("match"))
+    """Spans with their scores. What stands near a span is read from the parts it lies in, not from the text's start."""
 
-    return F.filter(F.transform(found, one), lambda s: s["score"] >= THRESHOLD)
+    def scored(both: Column) -> Column:
+        def one(s: Column) -> Column:
+            lo, hi = F.greatest(s["start"] - WINDOW, F.lit(0)), s["end"] + WINDOW
+            first = F.floor(lo / PART).cast("int")
+            near = F.substring(F.array_join(F.slice(both["parts"], first + 1, F.floor(hi / PART).cast("int") - first + 1), ""), lo - first * PART + 1, hi - lo)
+            score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), LIFT).otherwise(0.0)
+            return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.least(score, F.lit(1.0)).alias("score"), s["match"].alias("match"))
+
+        return F.filter(F.transform(both["found"], one), lambda s: s["score"] >= THRESHOLD)
+
+    parts = lambda x: F.struct(x.alias("found"), F.when(F.size(x) > 0, F.regexp_extract_all(text, F.lit(r"(?s).{1,%d}" % PART), F.lit(0))).alias("parts"))
+    return F.transform(F.transform(F.array(found), parts), scored)[0]
 
 
 def find(docs: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
@@ -101,9 +113,10 @@ def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = tup
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts and digests of the base kinds, and all spans in one string."""
+    """Counts and digests of the base kinds, all spans in one string, and how many of them context words have lifted."""
     found = find(docs).select("doc_id", "pii")
+    own = F.create_map(*[F.lit(x) for k, v in SCORES.items() for x in (k, v)])
     line = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.array_join(F.transform(F.filter("pii", lambda s: s["kind"].isin(*BASE)), line), ",")
-    return found.select("doc_id", *map(count, BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("pii", line), ",").alias("spans"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("pii", line), ",").alias("spans"), F.size(F.filter("pii", lambda s: s["score"] > F.element_at(own, s["kind"]))).cast("long").alias("n_in_context"))

@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<start:int,end:int,match:string>>"
-#: Spans are gathered in parts of this many, so that a text with very many needs no quadratic copying.
-PART = 1024
+from clausecut.functions.text import let, sums_before
 
+SPAN = "array<struct<start:int,end:int,match:string>>"
 
 def spans(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Column:
     """Leftmost non-overlapping matches for which keep(match) holds: array of (start, end, match), end exclusive.
@@ -20,22 +19,17 @@ def spans(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Colum
     """
     both = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        found = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match")))
-        good = x["m"].isNotNull() & F.coalesce(keep(x["m"]), F.lit(False))
-        full = good & (F.size(acc["now"]) >= PART)
-        return F.struct(
-            end.alias("at"),
-            F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, found).when(good, F.concat(acc["now"], found)).otherwise(acc["now"]).alias("now"),
-        )
-
-    none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("done"), none.alias("now"))
-    walked = F.aggregate(both, start, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["now"]))))
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    def placed(b: Column) -> Column:
+        before = sums_before(F.transform(b, lambda x: (F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))).cast("long")))
+
+        def one(z: Column) -> Column:
+            start = (z["n"] + F.length(z["x"]["g"])).cast("int")
+            return F.struct(start.alias("start"), (start + F.length(z["x"]["m"])).alias("end"), z["x"]["m"].alias("match"))
+
+        good = lambda z: z["x"]["m"].isNotNull() & F.coalesce(keep(z["x"]["m"]), F.lit(False))
+        return F.transform(F.filter(F.arrays_zip(b.alias("x"), before.alias("n")), good), one)
+
+    return F.when(text.rlike(pattern), let(both, placed)).otherwise(F.array().cast(SPAN))
 
 
 def described(found: Column, kind: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from clausecut.llm import line_dedup, mixing, pii, quality, secrets
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -43,18 +45,20 @@ DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 LUHN = f"list_sum(list_transform(string_split(reverse({DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END)) % 10 = 0"
 PLAIN = "regexp_replace(m, ' ', '', 'g')"
 MOD97 = f"list_reduce(list_prepend(0, list_transform(string_split(substring({PLAIN}, 5) || substring({PLAIN}, 1, 4), ''), lambda c: CASE WHEN c >= '0' AND c <= '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda x, y: CASE WHEN y < 10 THEN (x * 10 + y) % 97 ELSE (x * 100 + y) % 97 END) = 1"
-NEAR = f"regexp_matches(substring(text, greatest(a - {pii.WINDOW}, 0) + 1, (z - greatest(a - {pii.WINDOW}, 0) + {pii.WINDOW})::BIGINT), '{pii.CONTEXT['national']}')"
+def _near(kind: str) -> str:
+    return f"regexp_matches(substring(text, greatest(a - {pii.WINDOW}, 0) + 1, (z - greatest(a - {pii.WINDOW}, 0) + {pii.WINDOW})::BIGINT), '{pii.CONTEXT[kind]}')"
+
 
 PII = rf"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
  {_spans("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true")},
  {_spans("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_bool_and(list_transform(string_split(m, '.'), lambda x: x::HUGEINT <= 255))")},
  {_spans("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({DIGITS}) BETWEEN 16 AND 19 AND {LUHN}")},
  {_spans("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({DIGITS}) BETWEEN 8 AND 15")},
- {_spans("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", MOD97)},
- {_spans("national", r"[0-9-]+", rf"regexp_full_match(m, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') AND NOT regexp_matches(m, '^(?:000|666|9..)|-00-|-0000$') AND {NEAR}")},
- every AS ({" UNION ALL ".join(f"SELECT doc_id, {i} AS k, '{kind}' AS kind, a, z FROM {kind}" for i, kind in enumerate(pii.PATTERNS))}),
- x AS (SELECT doc_id, {", ".join(f"sum((kind = '{k}')::INT)::BIGINT AS n_{k}" for k in pii.BASE)}, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY k, a) FILTER (k < {len(pii.BASE)}) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY k, a) AS spans FROM every GROUP BY doc_id)
- SELECT docs.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN x ON x.doc_id = docs.doc_id"""
+ {_spans("iban", re.sub(r"\(\?<?!.*?\)", r"\\b", pii.PATTERNS["iban"]), MOD97)},
+ {_spans("national", r"[0-9-]+", rf"regexp_full_match(m, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') AND NOT regexp_matches(m, '^(?:000|666|9..)|-00-|-0000$') AND {_near('national')}")},
+ every AS ({" UNION ALL ".join(f"SELECT doc_id, {i} AS k, '{kind}' AS kind, a, z, {_near(kind)} AS lifted FROM {kind}" for i, kind in enumerate(pii.PATTERNS))}),
+ x AS (SELECT doc_id, {", ".join(f"sum((kind = '{k}')::INT)::BIGINT AS n_{k}" for k in pii.BASE)}, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY k, a) FILTER (k < {len(pii.BASE)}) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY k, a) AS spans, sum(lifted::INT)::BIGINT AS n_in_context FROM every GROUP BY doc_id)
+ SELECT docs.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_in_context, 0) AS n_in_context FROM docs LEFT JOIN x ON x.doc_id = docs.doc_id"""
 
 _RE2 = {r.kind: r.pattern.replace("}+", "}").replace("++", "+") for r in secrets.RULES}
 _GOOD = {r.kind: f"length({f'''regexp_extract(m, '{_RE2[r.kind].replace(chr(39), chr(39) * 2)}', {r.group})''' if r.group else 'm'}) >= {r.least}" for r in secrets.RULES}

@@ -1,10 +1,12 @@
 """Operators that look at one row at a time."""
 
 import random
+import re
 
 import pytest
 
 from clausecut.llm import html_extract, pii, quality, secrets
+from clausecut.llm import queries as Q
 from clausecut.llm.secrets import ANY, trigram_query
 from tests.llm import brute
 
@@ -25,10 +27,34 @@ def test_pii_more(spark):
     assert red == ["𝒳 <email>, <email>!", ""]
 
 
+def test_ibans(spark):
+    good = {
+        "to DE89370400440532013000 Bitte zahlen": "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32 AND more": "GB82 WEST 1234 5698 7654 32", "AT61 1904 3002 3457 3201 BANK": "AT61 1904 3002 3457 3201",
+        "MT84 MALT 0110 0001 2345 MTLC AST0 01S x": "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "NO93 8601 1117 947 OSLO": "NO93 8601 1117 947", "GB82WEST12345698765432.": "GB82WEST12345698765432",
+    }
+    bad = ["DE89370400440532013001 Bitte", "XGB82WEST12345698765432", "AT61 1904 3002 3457 3202"]
+    rows = pii.find(spark.createDataFrame(list(enumerate([*good, *bad])), "i long, text string")).orderBy("i").collect()
+    assert [[s.match for s in r.pii] for r in rows] == [[m] for m in good.values()] + [[]] * len(bad)
+
+
+def test_surroundings_are_seen_over_the_edges_of_parts(spark):
+    texts = ["x" * n + " ssn 123-45-6789 " + "y" * 3000 + " 123-45-6789 " + "z" * n + "123-45-6789 " + "z" * 30 + " ssn" for n in range(990, 1040, 3)]
+    rows = pii.find(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert [[s.start for s in r.pii] for r in rows] == [[t.index("123-"), t.rindex("123-")] for t in texts]
+
+
 def test_many_spans(spark):
-    text = "x a@b.c " * 5000
-    r = pii.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
-    assert (r.n_email, r.base_sha256) == (5000, brute.pii(text)[1])
+    """Also in time that grows with the spans, not with their square."""
+    import time
+
+    seconds = []
+    for n in (4000, 32000):
+        text = "x a@b.c " * n
+        df, begun = spark.createDataFrame([(1, text)], "doc_id long, text string"), time.perf_counter()
+        r = pii.digest(df).collect()[0]
+        seconds.append(time.perf_counter() - begun)
+        assert (r.n_email, r.base_sha256) == (n, brute.pii(text)[1])
+    assert seconds[1] < 20 * max(seconds[0], 1)
 
 
 def test_secrets_base(docs, rows):
@@ -94,6 +120,32 @@ def test_main_text():
         html_extract.main_text(PAGE[:cut])
 
 
+LONG = "<p>First long paragraph of the text that goes on and on for a while, with words.</p><p>Second paragraph of the text, just as long as the first one was, and more.</p>"
+HELD = re.sub("<[^>]*>", "\n", LONG).strip().replace("\n\n", "\n")
+
+
+@pytest.mark.parametrize("page", [
+    f'<html><body><div class="wrap has-sidebar"><article>{LONG}</article></div></body></html>', f'<div id="content" class="content with-sidebar">{LONG}</div>', f"<head><title>x</title>{LONG}",
+    f"<body><div><button>Menu</div><article>{LONG}</article>", f"<body><button>Menu<article>{LONG}</article><button>Other</button>", f"<body><svg><path d='x'><article>{LONG}</article>", f"<body><svg><path d='x'>{LONG}<svg></svg>",
+    f'{LONG}<div style="display: none"><p>You can not see this paragraph of text, which is as long as the others.</p></div><p hidden>Nor this one, that is hidden as well and long enough.</p>',
+    f'<div class="no-footer entry-content">{LONG}</div><div class="site-footer"><p>The text below a page that is about the site and goes on for some time, too.</p></div>',
+])
+def test_articles_that_are_easily_lost(page):
+    assert html_extract.main_text(page) == HELD
+
+
+def test_an_article_keeps_its_headline():
+    assert html_extract.main_text(f'<article><header class="entry-header"><h1>Head line here</h1></header>{LONG}</article>') == "Head line here\n" + HELD
+
+
+def test_extraction_of_whole_pages(spark, sf):
+    """Against a walk over the tree of each page and a plain maximum flow."""
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in Q.op2_html_extract(spark, sf).collect()}
+    assert got == {i: brute.main_text(t) for i, t in pages.items()}
+    assert html_extract.main_text(PAGE.replace("<b>First", "First")) == brute.main_text(PAGE.replace("<b>First", "First"))
+
+
 def test_minimum_cut():
     """Against all labellings."""
     rng = random.Random(5)
