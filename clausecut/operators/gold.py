@@ -31,15 +31,18 @@ def spans(tasks: DataFrame) -> DataFrame:
 def with_texts(tasks: DataFrame, texts: DataFrame, loose: bool = False) -> DataFrame:
     """tasks (act_id, ...) with path and text of the first file, by name, of that act.
 
-    loose=True takes any file whose name holds the act's id, so act_1_8 also finds act_1_81; it joins on the id's first
-    characters, the year, and filters. Tasks without a file are dropped; see missing().
+    loose=True takes any file whose name holds the act's id, so act_1_8 also finds act_1_81. Such an id is the beginning of
+    one of the ids in the file's name, so it is found by an equal key: a file has a row for each beginning. Tasks without a
+    file are dropped; see missing().
     """
-    files = texts.where(F.col("path").endswith("_clean.txt")).withColumn("_file", act_id(F.col("path")))
+    files = texts.where(F.col("path").endswith("_clean.txt"))
     if not loose:
-        pairs = tasks.join(files.withColumnRenamed("_file", "act_id"), "act_id")
+        pairs = tasks.join(files.withColumn("act_id", act_id(F.col("path"))), "act_id")
     else:
-        year = lambda c: F.regexp_extract(c, r"act_\d+_", 0)
-        pairs = tasks.withColumn("_y", year(F.col("act_id"))).join(files.withColumn("_y", year(F.col("_file"))), "_y").where(F.contains(basename(F.col("path")), F.col("act_id"))).drop("_y", "_file")
+        long = F.regexp_extract_all(basename(F.col("path")), F.lit(r"act_\d+_\d+"), F.lit(0))
+        from_one = lambda x: F.length(F.regexp_extract(x, r"act_\d+_", 0)) + 1
+        begun = F.flatten(F.transform(long, lambda x: F.transform(F.sequence(from_one(x), F.length(x)), lambda n: F.substring(x, F.lit(1), n))))
+        pairs = tasks.join(files.withColumn("act_id", F.explode(F.array_distinct(begun))), "act_id")
     first = Window.partitionBy("act_id").orderBy("path")
     return pairs.withColumn("_rank", F.dense_rank().over(first)).where("_rank = 1").drop("_rank")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clausecut import patterns as P
 from clausecut.operators import clean, gold, labels, layout, metrics, punkt, segment, tokens, windows
+from clausecut.plans import acquire, infer
 from clausecut.plans import sentence_sql as X
 from clausecut.plans.engine import Corpus
 from clausecut.sources import io
@@ -280,8 +281,8 @@ def short_segments(spark, sf_dir):
 
 @query("SELECT CASE WHEN year(o_orderdate) IN (1997, 1998) THEN 'test' ELSE 'train' END AS split, year(o_orderdate)::INT AS year, count(*) AS n_files FROM orders GROUP BY ALL")
 def split_by_year(spark, sf_dir):
-    year = F.year("o_orderdate")
-    return table(spark, sf_dir, "orders").groupBy(F.when(year.isin(1997, 1998), "test").otherwise("train").alias("split"), year.alias("year")).agg(F.count("*").alias("n_files"))
+    files = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"))
+    return metrics.file_counts(files.withColumn("split", io.split_of(F.col("year"), (1997, 1998))))
 
 
 DOC_TOKENS_SQL = f"t AS (SELECT doc_id, unnest(x) AS tok, generate_subscripts(x, 1) - 1 AS tok_no FROM (SELECT doc_id, regexp_extract_all(text, {TOKEN_SQL}) AS x FROM documents))"
@@ -536,4 +537,125 @@ def skip_existing(spark, sf_dir):
     return io.to_fetch(acts, done).select("name", "url")
 
 
+MASTHEAD = """CASE o_custkey % 3
+ WHEN 0 THEN 'DZIENNIK USTAW RZECZYPOSPOLITEJ POLSKIEJ' || chr(10) || 'Warszawa, dnia ' || CAST(o_custkey % 28 + 1 AS STRING) || ' maja 2019 r.' || chr(10) || 'Poz. ' || CAST(o_orderkey AS STRING) || chr(10) || 'Tekst ustawy.'
+ WHEN 1 THEN 'Dziennik Ustaw Poz. ' || CAST(o_orderkey AS STRING) || chr(10) || 'Dalszy  tekst Dziennik Ustaw Poz. 3 w wierszu' ELSE '   ' END"""
+
+
+@query(
+    rf"""SELECT o_orderkey AS page, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({MASTHEAD}, 'DZIENNIK USTAW RZECZYPOSPOLITEJ POLSKIEJ\s*Warszawa,\s*dnia\s*\d+\s*\w+\s*\d{{4}}\s*r\.\s*Poz\.\s*\d+\s*', '', 'g'),
+ '(?m)^Dziennik Ustaw\s*Poz\.\s*\d+\s*$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM orders"""
+)
+def masthead_pages(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), clean.clean_page(F.expr(MASTHEAD)).alias("text"))
+
+
+PHRASES = "'Tresc ' || CAST(o_custkey AS STRING) || CASE o_orderkey % 5 WHEN 0 THEN '. Na  podstawie art. 5' WHEN 1 THEN '; zarządza się, co' WHEN 2 THEN '.uchwala  się' WHEN 3 THEN '; Ogłasza się tekst. Na podstawie' ELSE ' zarządza sięgać. uchwala sięg' END"
+
+
+@query(rf"SELECT o_orderkey AS line, regexp_replace({PHRASES}, '(?i)^(.*[.;])\s*((?:na\s+podstawie|zarządza\s+się|uchwala\s+się|ogłasza\s+się)(?:[^\p{{L}}\d_].*)?)$', '\1|\2') AS parts FROM orders")
+def early_body_phrases(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line"), F.array_join(segment.early_body_split(F.expr(PHRASES)), "|").alias("parts"))
+
+
+SECTIONS = "CASE o_orderkey % 6 WHEN 0 THEN '§ ' || CAST(o_custkey AS STRING) || '.' WHEN 1 THEN ' §' || CAST(o_custkey AS STRING) || ' a .' WHEN 2 THEN '§ 5. 1.' WHEN 3 THEN '(12.)' WHEN 4 THEN '4b.' ELSE '§ 4. Tekst' END"
+
+
+@query(
+    rf"""SELECT o_orderkey AS line, regexp_matches({SECTIONS}, '(?i)^\s*§\s*\d+\s*[a-z]?\s*\.\s*$') AS section, regexp_matches({SECTIONS}, '(?i)^\s*\(?\s*\d+\s*[a-z]?\s*\.\s*\)?\s*$') AS number, {X.matches(SECTIONS, "ARTICLE_HEADER")} AS article FROM orders"""
+)
+def section_numbers(spark, sf_dir):
+    x = F.expr(SECTIONS)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line"), x.rlike(P.STANDALONE_SECTION).alias("section"), x.rlike(P.STANDALONE_NUMBER).alias("number"), x.rlike(P.ARTICLE_HEADER).alias("article"))
+
+
+TABLE_LINES = "CASE o_orderkey % 3 WHEN 0 THEN 'Kwota ' || CAST(o_custkey AS STRING) || ' zl [TABELA] i dalej' WHEN 1 THEN 'koniec . [Tabela] Nastepne' ELSE 'bez [TABELI] nic' END"
+
+
+@query(f"WITH l AS (SELECT o_orderkey AS doc, 1::BIGINT AS line_no, {TABLE_LINES} AS line FROM orders), {AFTER_LINES_SQL}, {LINES_RULES_SQL} SELECT doc, string_agg(label::VARCHAR, '' ORDER BY tok_no) AS labels FROM z GROUP BY doc")
+def table_brackets(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), tokens.tokenize(F.expr(TABLE_LINES)).alias("t"))
+    return t.select("doc", F.array_join(labels.label_lines(F.col("t")), "").alias("labels"))
+
+
+@query(f"WITH {AROUND_SQL}, {LINES_RULES_SQL}, g AS (SELECT doc, line_no, list(tok_no ORDER BY tok_no) FILTER (label = 1) AS p FROM z GROUP BY ALL) SELECT doc, line_no, array_to_string(p, ',') AS positions FROM g WHERE len(p) > 0")
+def boundary_positions(spark, sf_dir):
+    t = _lines(spark, sf_dir).select("doc", "line_no", labels.boundary_positions(labels.label_lines(tokens.tokenize(F.col("line")))).alias("p"))
+    return t.where(F.size("p") > 0).select("doc", "line_no", F.array_join("p", ",").alias("positions"))
+
+
+NOTES_SQL = f"w AS (SELECT l_orderkey AS page, {WORD_NO} AS word_no, CASE WHEN l_partkey % 3 = 0 THEN CAST(l_partkey % 9 AS STRING) || ')' ELSE 'x' END AS text, (l_linenumber * 95 + l_suppkey % 20)::DOUBLE AS top, (CASE WHEN l_partkey % 3 = 0 THEN 7 ELSE 9 + l_suppkey % 3 END)::DOUBLE AS size FROM lineitem)"
+
+
+@query(
+    f"""WITH {NOTES_SQL}, m AS (SELECT page, list_sort(list(size))[len(list(size)) // 2 + 1] AS median FROM w GROUP BY page),
+ s AS (SELECT w.page, arg_min(top, word_no) AS cut FROM w JOIN m ON m.page = w.page WHERE size < {layout.FOOTNOTE_SIZE} * median AND regexp_matches(text, '^[0-9]+\\)') AND top > {layout.FOOTNOTE_AREA} * 700.0::DOUBLE GROUP BY w.page)
+ SELECT o_orderkey AS page, s.cut FROM orders LEFT JOIN s ON s.page = o_orderkey"""
+)
+def footnote_marks(spark, sf_dir):
+    third = F.col("l_partkey") % 3 == 0
+    text = F.when(third, F.concat((F.col("l_partkey") % 9).cast("string"), F.lit(")"))).otherwise("x")
+    words = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("page"), F.expr(WORD_NO).alias("word_no"), text.alias("text"), (F.col("l_linenumber") * 95 + F.col("l_suppkey") % 20).cast("double").alias("top"), F.when(third, 7).otherwise(9 + F.col("l_suppkey") % 3).cast("double").alias("size")
+    )
+    return layout.footnote_cuts(_pages(spark, sf_dir), words, _drawn(spark, sf_dir).where("page IS NULL"), PAGE)
+
+
+@query(
+    rf"""WITH {FILES_SQL}, t AS (SELECT {TASKS} AS act_id FROM orders), k AS (SELECT path, regexp_extract(path, 'act_\d+_\d+') AS own FROM f),
+ p AS (SELECT path, own[:n] AS act_id FROM (SELECT path, own, unnest(range(10, length(own) + 1)) AS n FROM k)) SELECT t.act_id, min(path) AS path FROM t JOIN p ON p.act_id = t.act_id GROUP BY t.act_id"""
+)
+def task_file_join_loose(spark, sf_dir):
+    return gold.with_texts(*_tasks(spark, sf_dir), loose=True).select("act_id", "path")
+
+
+@query(
+    f"""WITH {SPANS_SQL} SELECT doc_id, count(*) AS n_sentences, md5(string_agg(s || ':' || e || ':' || substring(text, s + 1, e - s), '|' ORDER BY span_no)) AS sentences_md5 FROM sp GROUP BY doc_id"""
+)
+def extracted_spans(spark, sf_dir):
+    out = gold.extracted(_spans(spark, sf_dir).withColumnRenamed("doc_id", "act_id"))
+    one = F.transform("sentences", lambda x: F.concat_ws(":", x["start_offset"], x["end_offset"], x["text"]))
+    return out.select(F.col("act_id").alias("doc_id"), F.size("sentences").cast("long").alias("n_sentences"), F.md5(F.array_join(one, "|").cast("binary")).alias("sentences_md5"))
+
+
+@query(
+    rf"""WITH {LEGAL_SQL}, c AS (SELECT doc // 10000000000000 AS act, doc, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+ 'Dziennik Ustaw\s*[–-]\s*\d+\s*[–-]\s*Poz\.\s*\d+\s*', '', 'g'), '(?m)^Dziennik Ustaw\s*Poz\.\s*\d+\s*$', '', 'g'), '(?m)^Poz\.\s*\d+\s*$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM legal),
+ j AS (SELECT act, string_agg(t, chr(10) ORDER BY doc, t) AS t FROM c WHERE t <> '' GROUP BY act)
+ SELECT act, md5({X.STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(t, '-\s*\n\s*([a-ząćęłńóśźż])', '\1', 'g'), '-\s+([a-ząćęłńóśźż])', '\1', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g')")}) AS text_md5 FROM j"""
+)
+def joined_pages(spark, sf_dir):
+    pages = legal(spark, sf_dir).select(F.floor(F.col("doc") / F.lit(10**13).cast("decimal(20,0)")).cast("long").alias("act"), F.col("doc").alias("page"), "text")
+    return acquire.joined_pages(pages, "act").select("act", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def _stops():
+    """A scorer for windows that gives a mark that ends sentences a positive score, and none beyond 340 tokens."""
+    return lambda batch: [[1.0 if t in labels.STOPS else -1.0 for t in w[:340]] for w in batch]
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), {TOKEN_SQL}) AS ts FROM documents),
+ n AS (SELECT doc_id, len(ts) AS n, len(list_filter(ts, lambda x: x IN ('.', '?', '!'))) AS k, ts[-1] NOT IN ('.', '?', '!') AS rest FROM t WHERE len(ts) > 0)
+ SELECT doc_id, n::BIGINT AS n_tokens, k::BIGINT AS n_sentences, k + rest::INT AS n_lines FROM n"""
+)
+def segmented_documents(spark, sf_dir):
+    sentences, summary = infer.segmented(table(spark, sf_dir, "documents").select("doc_id", "text"), _stops, "doc_id")
+    return summary.join(sentences.groupBy("doc_id").agg(F.count("*").alias("n_lines")), "doc_id").select("doc_id", "n_tokens", "n_sentences", "n_lines")
+
+
+@query(
+    """WITH x AS (SELECT l_returnflag AS dataset, unnest(range(0, l_linenumber)) AS i, l_partkey FROM lineitem), y AS (SELECT dataset, CASE WHEN (i + l_partkey) % 3 = 0 THEN 1 ELSE 0 END AS p, CASE WHEN (i + l_partkey) % 7 = 6 THEN -100 ELSE (i % 2) END AS y FROM x),
+ c AS (SELECT dataset, sum((p = 1 AND y = 1)::INT)::BIGINT AS tp, sum((p = 1 AND y <> 1)::INT)::BIGINT AS fp, sum((p <> 1 AND y = 1)::INT)::BIGINT AS fn FROM y WHERE y <> -100 GROUP BY dataset)
+ SELECT dataset, tp, fp, fn, round(tp * 1.0 / (tp + fp), 9)::DOUBLE AS precision, round(tp * 1.0 / (tp + fn), 9)::DOUBLE AS recall, round(2.0 * tp / (2 * tp + fp + fn), 9)::DOUBLE AS f1 FROM c"""
+)
+def evaluated_arrays(spark, sf_dir):
+    i = F.sequence(F.lit(0).cast("long"), F.col("l_linenumber") - 1)
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("dataset"), F.transform(i, lambda k: F.when((k + F.col("l_partkey")) % 3 == 0, 1).otherwise(0)).alias("predictions"),
+        F.transform(i, lambda k: F.when((k + F.col("l_partkey")) % 7 == 6, P.IGNORED).otherwise((k % 2).cast("int"))).alias("labels"),
+    )
+    return infer.evaluated(rows).select("dataset", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
 FLAGSHIP = silver_window_stats

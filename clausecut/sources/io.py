@@ -9,7 +9,7 @@ import urllib.request
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -118,12 +118,16 @@ def file_names(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path")
 
 
+def split_of(year: Column, test_years: tuple[int, ...]) -> Column:
+    return F.when(year.isin(*test_years), "test").otherwise("train")
+
+
 def texts(spark: SparkSession, paths: str | list[str], universal: bool = True, test_years: tuple[int, ...] = (2025,)) -> DataFrame:
     """(path, year, act_id, split, text): whole files named *_clean.txt. split is test for test_years, else train."""
     read = spark.read.text(paths, wholetext=True, pathGlobFilter="*_clean.txt", recursiveFileLookup=True)
     out = read.select(F.col("_metadata.file_path").alias("path"), newlines(F.col("value"), universal).alias("text"))
     year = F.regexp_extract(basename(F.col("path")), r"act_(\d+)_\d+", 1).try_cast("int")
-    return out.select("path", year.alias("year"), act_id(F.col("path")).alias("act_id"), F.when(year.isin(*test_years), "test").otherwise("train").alias("split"), "text")
+    return out.select("path", year.alias("year"), act_id(F.col("path")).alias("act_id"), split_of(year, test_years).alias("split"), "text")
 
 
 def wanted_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -167,3 +171,14 @@ def write_segmented(sentences: DataFrame, path: str, key: str = "doc") -> None:
 
 def write_documents(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").partitionBy("year").parquet(path)
+
+
+def log_metrics(metrics: DataFrame, path: str, run: str, **params: object) -> None:
+    """Appends a run's figures to a log: a row for each metric and number, with the run's name, time and parameters. Other columns name the row."""
+    kinds = dict(metrics.dtypes)
+    numbers = [c for c, k in kinds.items() if k in ("int", "bigint", "float", "double")]
+    names = F.map_from_arrays(F.array(*[F.lit(c) for c in kinds if c not in numbers]), F.array(*[F.col(c).cast("string") for c in kinds if c not in numbers])) if len(numbers) < len(kinds) else F.create_map().cast("map<string,string>")
+    given = F.create_map(*[F.lit(str(x)) for kv in sorted(params.items()) for x in kv]).cast("map<string,string>")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in numbers]))
+    rows = metrics.select(names.alias("of"), each.alias("m")).select(F.lit(run).alias("run"), F.current_timestamp().alias("at"), given.alias("params"), "of", "m.metric", "m.value")
+    rows.write.mode("append").parquet(path)
