@@ -95,6 +95,28 @@ def broadcast_if_small(df: DataFrame, rows: int, bytes_each: int, most_bytes: in
     return F.broadcast(df) if rows * bytes_each <= most_bytes else df
 
 
+def by_key(batches, *keys: str):
+    """From pandas batches sorted by keys, the rows of each key in turn: a worker holds one key's rows and one batch."""
+    import pandas as pd
+
+    held, now = [], None
+    for b in batches:
+        if not len(b):
+            continue
+        changed = (b[list(keys)] != b[list(keys)].shift()).any(axis=1).to_numpy()
+        changed[0] = True
+        starts = changed.nonzero()[0].tolist()
+        for a, z in zip(starts, [*starts[1:], len(b)], strict=True):
+            key = tuple(b[k].iloc[a] for k in keys)
+            if held and key != now:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(b.iloc[a:z])
+            now = key
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def tidy(f):
     """f over the batches of a partition; then the worker, which lives on for other tasks, gives freed memory back to the system."""
 

@@ -19,8 +19,8 @@ set's size (by powers of two), so that signatures are about as many as tokens; a
 
 Verification. First every signature takes one pivot, the member whose tokens are the most common, and members are
 compared with it. Then, SEEKS times, each member outside a signature's largest component looks for partners in other
-components. At last all pairs of a signature that are still in different components are compared. So every link between
-components is found, and a group of thousands of near copies costs a few comparisons each, not all pairs. Before sets are
+components. At last all pairs of a signature that are still in different components are compared, if sizes and bitmaps leave
+them possible: blocks of a signature's rows meet, and a task holds a block, not a signature. So every link between components is found, and a group of thousands of near copies costs a few comparisons each, not all pairs. Before sets are
 compared, parity bitmaps rule out pairs: each token flips one of 512 bits, and two sets that differ in d tokens differ in
 at most d bits. Then the sets themselves are intersected. Signatures whose members are all in one component are left
 aside from then on.
@@ -29,7 +29,8 @@ Scale: prefixes, not sets, move in the first round; what moves later is what is
 sums. Broadcasts happen only if counted rows prove them small. Links, components and sets never go to the driver.
 
 Documents without words have no set and link with nothing. Null counts as empty. Documents with fewer than k words have
-one shingle, all their words. Rows that share a doc_id are classes by their texts; component ids are the least doc_id.
+one shingle, all their words. Rows that share a doc_id, or have none, are classes by their texts; component ids are the least
+doc_id, null where no row of a component has one. A very long text is one set, which a worker holds with its batch.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausecut.llm.common import Scratch, broadcast_if_small, tidy
+from clausecut.llm.common import Scratch, broadcast_if_small, by_key, tidy
 from clausecut.llm.components import components
 
 FREQUENT = 16
@@ -169,11 +170,8 @@ def _ask(batches: Iterator[pd.DataFrame], parts: int) -> Iterator[pd.DataFrame]:
 
 
 def _answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = [b for b in batches if len(b)]
-    if not rows:
-        return
-    all_rows = pd.concat(rows, ignore_index=True)
-    for _, b in all_rows.groupby("part"):
+    """From rows sorted by part, for each block's tokens of a part whether another class has them."""
+    for b in by_key(batches, "part"):
         owners = [np.frombuffer(x, dtype=np.int64) for x in b["owners"]]
         sizes = [len(x) for x in owners]
         tokens = np.concatenate([np.frombuffer(x, "<u4", n).astype(np.int64) | np.frombuffer(x, "u1", n, 4 * n).astype(np.int64) << 32 for x, n in zip(b["tokens"], sizes, strict=True)])
@@ -214,7 +212,7 @@ def peeled(blocks: DataFrame, docs: int, num: int, den: int, factor: float) -> D
     """(node, n), and for whole sets the tokens, of the classes that a round of peeling leaves."""
     parts = 1 << max(6, (max(1, docs) // 1024).bit_length())
     asked = blocks.mapInPandas(partial(_ask, parts=parts), "block long, part long, tokens binary, owners binary, many binary")
-    replies = asked.repartition("part").mapInPandas(tidy(_answer), "block long, part long, bits binary")
+    replies = asked.repartition("part").sortWithinPartitions("part").mapInPandas(tidy(_answer), "block long, part long, bits binary")
     replies = replies.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("replies"))
     return blocks.join(replies, "block").mapInPandas(partial(_left, parts=parts, num=num, den=den, factor=factor), "node long, n long" + ", tokens array<long>" * (not factor)).dropDuplicates(["node"])
 
@@ -272,28 +270,28 @@ def _bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": b["node"], "n": b["n"], "bits": rows})
 
 
-def _partners(batches: Iterator[pd.DataFrame], num: int, den: int, turn: int) -> Iterator[pd.DataFrame]:
-    """Of a block of a signature (sig, block): for each row that seeks, one row of another component that size and bitmap leave possible; which, depends on turn."""
-    rows = [b for b in batches if len(b)]
-    if not rows:
-        return
-    b = pd.concat(rows, ignore_index=True).sort_values(["sig", "block"], ignore_index=True)
-    node, n, comp, seeks, offers = (b[c].to_numpy() for c in ("node", "n", "comp", "seeks", "offers"))
-    bits = np.frombuffer(b"".join(b["bits"]), dtype=U).reshape(-1, BITMAP)
-    starts = np.flatnonzero(np.concatenate([[True], (np.diff(b["sig"].to_numpy()) != 0) | (np.diff(b["block"].to_numpy()) != 0)]))
-    out: set[tuple[int, int]] = set()
-    for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(b)], strict=True):
-        ys = a + np.flatnonzero(offers[a:z])
-        for x in (a + np.flatnonzero(seeks[a:z])).tolist():
+def _partners(batches: Iterator[pd.DataFrame], num: int, den: int, turn: int, every: bool) -> Iterator[pd.DataFrame]:
+    """From rows sorted by block of a signature (sig, block): for each row that seeks, one row of another component that size and bitmap leave possible, or every such row.
+
+    Which one, depends on turn. Where every one is asked for, a row that offers its place to a seeker of its own block is left to one of the two.
+    """
+    for b in by_key(batches, "sig", "block"):
+        node, n, comp, seeks, offers = (b[c].to_numpy() for c in ("node", "n", "comp", "seeks", "offers"))
+        bits = np.frombuffer(b"".join(b["bits"]), dtype=U).reshape(-1, BITMAP)
+        ys = np.flatnonzero(offers)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for x in np.flatnonzero(seeks).tolist():
             far = ys[(comp[ys] != comp[x]) & (den * np.minimum(n[ys], n[x]) >= num * np.maximum(n[ys], n[x]))]
+            if every:
+                far = far[node[far] < node[x]]
             if len(far):
                 differ = np.bitwise_count(bits[far] ^ bits[x]).sum(axis=1, dtype=np.int64)
                 far = far[(den + num) * differ <= (den - num) * (n[far] + n[x])]
                 if len(far):
-                    y = far[(x - a + 7919 * turn) % len(far)]
-                    out.add((int(node[x]), int(node[y])))
-    if out:
-        yield pd.DataFrame(sorted(out), columns=["a", "b"])
+                    far = far if every else far[[(x + 7919 * turn) % len(far)]]
+                    out.append((np.full(len(far), node[x]), node[far]))
+        if out:
+            yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])}).drop_duplicates()
 
 
 def _compare(batches: Iterator[pd.DataFrame], num: int, den: int) -> Iterator[pd.DataFrame]:
@@ -362,15 +360,17 @@ class Links:
         pairs = pairs.groupBy("a").agg(few.alias("p")).select("a", F.explode("p.b").alias("b"))
         self._join(self._verified(self.scratch.write(pairs, f"{label}-pairs", compact=True), label), label)
 
-    def _seeking(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Pairs (a, b): partners in other components for rows outside their signature's largest component. A long signature is cut in blocks that seekers visit each."""
+    def _seeking(self, rows: DataFrame, turn: int, every: bool = False) -> DataFrame:
+        """Pairs (a, b): partners in other components, one for each row outside its signature's largest component, or all. A long signature is cut in blocks that seekers visit each, so a task holds a block and its visitors, and never a signature."""
         sizes = rows.groupBy("sig", "comp").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.ceil(F.sum("k") / SEEK).cast("int").alias("blocks"))
-        rows = rows.join(sizes, "sig").withColumn("seeks", F.col("comp") != F.col("major"))
+        rows = rows.join(sizes, "sig").withColumn("seeks", F.lit(True) if every else F.col("comp") != F.col("major"))
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         at = F.when(F.col("seeks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
         rows = rows.withColumn("own", own).withColumn("block", F.explode(at)).select("sig", "block", "node", "n", "comp", "seeks", (F.col("own") == F.col("block")).alias("offers"))
         raw = self.bits.select("node", F.expr(" || ".join(f"unhex(lpad(hex(bits[{i}]), 16, '0'))" for i in range(BITMAP))).alias("bits"))
-        return rows.join(raw, "node").repartition("sig", "block").mapInPandas(partial(_partners, num=self.num, den=self.den, turn=turn), "a long, b long")
+        # node as the last key of order makes a rerun of a task give the same pairs
+        rows = rows.join(raw, "node").repartition("sig", "block").sortWithinPartitions("sig", "block", "node")
+        return rows.mapInPandas(partial(_partners, num=self.num, den=self.den, turn=turn, every=every), "a long, b long")
 
     def _pivots(self) -> DataFrame:
         """Pairs (a, b): members and their signatures' pivots."""
@@ -386,8 +386,7 @@ class Links:
                 return self.comp
             self._round(self._seeking(self.rows, turn) if turn else self._pivots(), f"round{turn}")
         if self._open("open"):
-            rows = self.rows.drop("n").join(self.bits, "node")
-            pairs = rows.alias("p").join(rows.alias("q"), F.expr(f"p.sig = q.sig AND p.comp < q.comp AND {self._close('p', 'q')}")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+            pairs = self._seeking(self.rows, 0, every=True).distinct()
             self._join(self._verified(self.scratch.write(pairs, "pairs", compact=True), "last"), "last")
         return self.comp
 
@@ -434,6 +433,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
             blocks = scratch.write(texts.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInPandas(tidy(again), BLOCK), f"blocks{i}")
         alive = scratch.write(peeled(blocks, count, num, den, factor), f"alive{i}", compact=bool(factor))
         n_alive = alive.count()
+        if i:
+            scratch.drop(f"blocks{i}", f"alive{i - 1}")
     if n_alive:
         comp = Links(alive, num, den, scratch).run()
         ids = classes.join(comp, "node").groupBy("comp").agg(F.min("rep").alias("component"))
