@@ -1,13 +1,21 @@
-"""python -m clausecut silver|gold|extract: datasets from folders of texts and annotation files."""
+"""python -m clausecut silver|gold|extract|acquire|segment: datasets from folders and annotation files, documents from an act index, sentences from a scorer.
+
+Parsers and scorers are given as module:function. acquire leaves out acts that the output already has.
+"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from clausecut.operators import gold, metrics
+from clausecut.operators import gold, layout, metrics
+from clausecut.plans import acquire as acquiring
+from clausecut.plans import infer
 from clausecut.plans.engine import silver
 from clausecut.sources import io
 
@@ -31,6 +39,52 @@ def extract(spark: SparkSession, annotations: str, texts: str, output: str) -> N
     io.write_json(gold.extracted(gold.with_texts(spans, io.texts(spark, texts).select("path", "text"))), output)
 
 
+def named(path: str) -> Callable:
+    module, _, function = path.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def acquire(spark: SparkSession, url: str, years: list[int], parser: Callable, output: str, workers: int = 5, raw: bool = False, pdf: str | None = None) -> None:
+    """Documents of acts to output (name, status, text), appended to what is there; prints how many came out how. pdf keeps the files themselves, raw the pages' own text."""
+    spark.dataSource.register(io.ActIndex)
+    acts = spark.read.format("act_index").options(url=url, years=",".join(map(str, years))).load()
+    try:
+        done = spark.read.parquet(output).where("status = 'done'").select("name")
+    except AnalysisException:  # nothing there yet
+        done = None
+
+    def fetched(new):
+        got = io.fetched(new.repartition(workers))
+        if pdf:
+            got.where("content IS NOT NULL").select("name", "content").write.mode("append").parquet(pdf)
+            got = got.where("content IS NULL").select("name", "path", "content", "status").unionByName(spark.read.parquet(pdf).join(new.select("name", F.col("url").alias("path")), "name").select("name", "path", "content", F.lit("done").alias("status")))
+        return got
+
+    out = acquiring.acquired(acts.where("error IS NULL"), parser, done, fetched)
+    if raw:
+        got = fetched(io.to_fetch(acts.where("error IS NULL"), done))
+        texts = acquiring.raw_documents(layout.parsed(got.where("content IS NOT NULL").select("path", "content"), parser, acquiring.PARSED))
+        out = got.join(texts, "path", "left").select("name", "status", "text")
+    out.where("status <> 'skipped (exists)'").write.mode("append").parquet(output)
+    for r in spark.read.parquet(output).groupBy("status").count().orderBy("status").collect():
+        print(f"{r['status']}: {r['count']}")
+    for r in acts.where("error IS NOT NULL").select("year", "error").collect():  # a row a year at most
+        print(f"{r['year']}: {r['error']}")
+
+
+def segment(spark: SparkSession, texts: str, scorer: Callable, output: str) -> None:
+    """Sentences of texts by a scorer, and a line for each document."""
+    sentences, summary = infer.segmented(io.texts(spark, texts).select("path", "text"), scorer, "path")
+    sentences.write.mode("overwrite").parquet(output)
+    summary.orderBy("path").show(1000, truncate=False)
+
+
+def years(given: list[str]) -> list[int]:
+    """2015 2018-2020 as years."""
+    ranges = [x.partition("-") for x in given]
+    return [y for a, _, b in ranges for y in range(int(a), int(b or a) + 1)]
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="clausecut")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -39,8 +93,17 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--test-years", type=int, nargs="*", default=[2025])
     for name in ("gold", "extract"):
         commands.add_parser(name).add_argument("--annotations", required=True)
-    for c in commands.choices.values():
-        c.add_argument("--texts", required=True)
+    commands.add_parser("segment").add_argument("--scorer", required=True)
+    q = commands.add_parser("acquire")
+    q.add_argument("years", nargs="*", default=["2015-2025"])
+    q.add_argument("--index", required=True, help="the index's address, with {year}")
+    q.add_argument("--parser", required=True)
+    q.add_argument("--workers", type=int, default=5)
+    q.add_argument("--raw", action="store_true")
+    q.add_argument("--pdf", help="a folder for the files themselves")
+    for name, c in commands.choices.items():
+        if name != "acquire":
+            c.add_argument("--texts", required=True)
         c.add_argument("--output", required=True)
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("clausecut").getOrCreate()
@@ -48,8 +111,12 @@ def main(argv: list[str] | None = None) -> None:
         silver_dataset(spark, a.texts, a.output, a.single_line, tuple(a.test_years))
     elif a.command == "gold":
         gold_dataset(spark, a.annotations, a.texts, a.output)
-    else:
+    elif a.command == "extract":
         extract(spark, a.annotations, a.texts, a.output)
+    elif a.command == "segment":
+        segment(spark, a.texts, named(a.scorer), a.output)
+    else:
+        acquire(spark, a.index, years(a.years), named(a.parser), a.output, a.workers, a.raw, a.pdf)
 
 
 if __name__ == "__main__":
