@@ -204,7 +204,8 @@ def _left(batches: Iterator[pd.DataFrame], parts: int, num: int, den: int, facto
             out = pd.DataFrame({"node": nodes[good], "n": sizes[good]})
             if not factor:
                 ends = np.cumsum(lens)
-                out["tokens"] = [tokens[e - m : e] for e, m in zip(ends[good].tolist(), lens[good].tolist(), strict=True)]
+                # of objects also where no class is left, for Arrow
+                out["tokens"] = pd.Series([tokens[e - m : e] for e, m in zip(ends[good].tolist(), lens[good].tolist(), strict=True)], index=out.index, dtype="object")
             yield out.drop_duplicates("node")
 
 

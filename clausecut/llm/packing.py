@@ -10,8 +10,8 @@ by two levels of prefix sums and look up their run.
 
 Scale: after the tokenizer only (id, piece, start, length, crc) move. No task holds a length or all pieces.
 
-Null counts as an empty text, which is one piece of one token, the end. Repeated rows are packed each. Other columns are
-not read.
+Null counts as an empty text, which is one piece of one token, the end. Repeated rows, and rows without a doc_id, are packed
+each. A very long text is encoded whole and gives as many pieces as it needs. Other columns are not read.
 """
 
 from __future__ import annotations

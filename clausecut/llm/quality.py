@@ -7,7 +7,8 @@ ledger: sums of bitwise conditions, no second look at a text.
 The measurements need sets and counts of a text's own word windows, so they run in an Arrow pandas UDF, over columns of
 one batch; its memory is that of a batch. There is no shuffle.
 
-Null counts as an empty text, which fails for too few words. Repeated rows are judged alike; other columns pass through.
+Null counts as an empty text, which fails for too few words. Repeated rows are judged alike; other columns, a null doc_id too,
+pass through. A very long text is measured whole: its words and windows are what a worker holds beside its batch.
 """
 
 from __future__ import annotations

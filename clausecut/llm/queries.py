@@ -37,6 +37,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablations(quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scored(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,5 +57,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extract, op3_line_dedup, op4_pii, op5_best_fit_packing, op6_quality_rules, op7_lm_scoring, op8_secrets, op9_mixing, op10_exact_dedup)}
-SQL = {"op1_ngram_jaccard": sql.LINKS, "op3_line_dedup": sql.LINES, "op4_pii": sql.PII, "op6_quality_rules": sql.QUALITY, "op8_secrets": sql.SECRETS, "op9_mixing": sql.MIX, "op10_exact_dedup": sql.EXACT}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extract, op3_line_dedup, op4_pii, op5_best_fit_packing, op6_quality_rules, op7_lm_scoring, op8_secrets, op9_mixing, op10_exact_dedup, quality_ablations)}
+SQL = {"op1_ngram_jaccard": sql.LINKS, "op3_line_dedup": sql.LINES, "op4_pii": sql.PII, "op6_quality_rules": sql.QUALITY, "quality_ablations": sql.ABLATIONS, "op8_secrets": sql.SECRETS, "op9_mixing": sql.MIX, "op10_exact_dedup": sql.EXACT}

@@ -34,6 +34,13 @@ QUALITY = rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & {quality.mask("base-1")}) <> 0 AS base_failed, (bits & {quality.mask(quality.CURRENT)}) = 0 AS kept, bits::BIGINT AS failure_bits FROM b"""
 
 
+_RULES = ", ".join(f"('{name}', {quality.BITS[name]})" for name in quality.POLICIES[quality.CURRENT])
+_ALL = quality.mask(quality.CURRENT)
+ABLATIONS = f"""WITH q AS ({QUALITY}), r(rule, bit) AS (VALUES {_RULES}), n AS (SELECT count(*) AS n_rows, sum(((failure_bits & {_ALL}) = 0)::INT)::BIGINT AS n_kept FROM q),
+ f AS (SELECT rule, sum(((failure_bits & bit) <> 0)::INT)::BIGINT AS n_failed, sum(((failure_bits & {_ALL}) = bit)::INT)::BIGINT AS n_failed_alone FROM q, r GROUP BY rule)
+ SELECT '{quality.CURRENT}' AS policy, rule, n_rows, n_kept, n_failed, n_failed_alone, n_kept + n_failed_alone AS n_kept_without FROM f, n"""
+
+
 def _spans(name: str, pattern: str, good: str) -> str:
     """Matches m of a pattern with start a and end z, as lengths of matches and gaps before them; of those, the good ones."""
     p = "'" + pattern.replace("'", "''") + "'"
