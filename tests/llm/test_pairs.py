@@ -137,3 +137,16 @@ def test_exact_dedup_without_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(str, (tuple(r) for r in exact_dedup.dedup(df).collect()))) == sorted(map(str, [(None, "a  b "), (None, "c"), (None, "d"), (None, "d"), (8, " ")]))
     assert sorted(r.group_size for r in exact_dedup.exact_groups(df).collect()) == [1, 2, 2, 2, 2, 3, 3, 3]
+
+
+def test_rows_come_key_by_key():
+    import pandas as pd
+
+    from clausecut.llm.common import by_key
+
+    rng = random.Random(5)
+    keys = sorted((rng.randrange(6), rng.randrange(3)) for _ in range(200))
+    df = pd.DataFrame({"a": [a for a, _ in keys], "b": [b for _, b in keys], "x": range(200)})
+    for size in (1, 3, 7, 50, 200):
+        parts = list(by_key((df.iloc[i : i + size] for i in range(0, 200, size)), "a", "b"))
+        assert [tuple(p[["a", "b"]].iloc[0]) for p in parts] == sorted(set(keys)) and pd.concat(parts)["x"].tolist() == list(range(200))
