@@ -96,23 +96,24 @@ def broadcast_if_small(df: DataFrame, rows: int, bytes_each: int, most_bytes: in
 
 
 def by_key(batches, *keys: str):
-    """From pandas batches sorted by keys, the rows of each key in turn: a worker holds one key's rows and one batch."""
+    """From pandas batches sorted by keys, lots of rows that hold every key they hold whole: a worker has one batch, and what rows its first key had before."""
+    import numpy as np
     import pandas as pd
 
-    held, now = [], None
+    held = []  # rows of the key that the batches so far end with
     for b in batches:
         if not len(b):
             continue
-        changed = (b[list(keys)] != b[list(keys)].shift()).any(axis=1).to_numpy()
-        changed[0] = True
-        starts = changed.nonzero()[0].tolist()
-        for a, z in zip(starts, [*starts[1:], len(b)], strict=True):
-            key = tuple(b[k].iloc[a] for k in keys)
-            if held and key != now:
-                yield pd.concat(held, ignore_index=True)
-                held = []
-            held.append(b.iloc[a:z])
-            now = key
+        columns = [b[k].to_numpy() for k in keys]
+        if held and any(c[0] != held[-1][k].iloc[-1] for k, c in zip(keys, columns, strict=True)):
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        last = np.logical_and.reduce([c == c[-1] for c in columns])
+        cut = len(b) - int(last.sum())
+        if cut:
+            yield pd.concat([*held, b.iloc[:cut]], ignore_index=True)
+            held = []
+        held.append(b.iloc[cut:])
     if held:
         yield pd.concat(held, ignore_index=True)
 

@@ -171,7 +171,7 @@ def _ask(batches: Iterator[pd.DataFrame], parts: int) -> Iterator[pd.DataFrame]:
 
 def _answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From rows sorted by part, for each block's tokens of a part whether another class has them."""
-    for b in by_key(batches, "part"):
+    for b in (rows for lot in by_key(batches, "part") for _, rows in lot.groupby("part")):
         owners = [np.frombuffer(x, dtype=np.int64) for x in b["owners"]]
         sizes = [len(x) for x in owners]
         tokens = np.concatenate([np.frombuffer(x, "<u4", n).astype(np.int64) | np.frombuffer(x, "u1", n, 4 * n).astype(np.int64) << 32 for x, n in zip(b["tokens"], sizes, strict=True)])
@@ -277,20 +277,22 @@ def _partners(batches: Iterator[pd.DataFrame], num: int, den: int, turn: int, ev
     Which one, depends on turn. Where every one is asked for, a row that offers its place to a seeker of its own block is left to one of the two.
     """
     for b in by_key(batches, "sig", "block"):
-        node, n, comp, seeks, offers = (b[c].to_numpy() for c in ("node", "n", "comp", "seeks", "offers"))
+        sig, block, node, n, comp, seeks, offers = (b[c].to_numpy() for c in ("sig", "block", "node", "n", "comp", "seeks", "offers"))
         bits = np.frombuffer(b"".join(b["bits"]), dtype=U).reshape(-1, BITMAP)
-        ys = np.flatnonzero(offers)
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(sig) != 0) | (np.diff(block) != 0)])).tolist()
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for x in np.flatnonzero(seeks).tolist():
-            far = ys[(comp[ys] != comp[x]) & (den * np.minimum(n[ys], n[x]) >= num * np.maximum(n[ys], n[x]))]
-            if every:
-                far = far[node[far] < node[x]]
-            if len(far):
-                differ = np.bitwise_count(bits[far] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                far = far[(den + num) * differ <= (den - num) * (n[far] + n[x])]
+        for a, z in zip(starts, [*starts[1:], len(b)], strict=True):
+            ys = a + np.flatnonzero(offers[a:z])
+            for x in (a + np.flatnonzero(seeks[a:z])).tolist():
+                far = ys[(comp[ys] != comp[x]) & (den * np.minimum(n[ys], n[x]) >= num * np.maximum(n[ys], n[x]))]
+                if every:
+                    far = far[node[far] < node[x]]
                 if len(far):
-                    far = far if every else far[[(x + 7919 * turn) % len(far)]]
-                    out.append((np.full(len(far), node[x]), node[far]))
+                    differ = np.bitwise_count(bits[far] ^ bits[x]).sum(axis=1, dtype=np.int64)
+                    far = far[(den + num) * differ <= (den - num) * (n[far] + n[x])]
+                    if len(far):
+                        far = far if every else far[[(x - a + 7919 * turn) % len(far)]]
+                        out.append((np.full(len(far), node[x]), node[far]))
         if out:
             yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])}).drop_duplicates()
 
