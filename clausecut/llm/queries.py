@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausecut.llm import exact_dedup, html_extract, line_dedup, lm_scoring, mixing, ngram_join, packing, pii, quality, secrets, sql
+from clausecut.llm import exact_dedup, html_extract, line_dedup, lm_scoring, mixing, ngram_join, packing, pii, quality, secrets, sql, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +57,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extract, op3_line_dedup, op4_pii, op5_best_fit_packing, op6_quality_rules, op7_lm_scoring, op8_secrets, op9_mixing, op10_exact_dedup, quality_ablations)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extract, op3_line_dedup, op4_pii, op5_best_fit_packing, op6_quality_rules, op7_lm_scoring, op8_secrets, op9_mixing, op10_exact_dedup, op11_token_counts, quality_ablations)}
 SQL = {"op1_ngram_jaccard": sql.LINKS, "op3_line_dedup": sql.LINES, "op4_pii": sql.PII, "op6_quality_rules": sql.QUALITY, "quality_ablations": sql.ABLATIONS, "op8_secrets": sql.SECRETS, "op9_mixing": sql.MIX, "op10_exact_dedup": sql.EXACT}
