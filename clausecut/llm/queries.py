@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausecut.llm import exact_dedup, html_extract, line_dedup, lm_scoring, mixing, ngram_join, packing, pii, quality, secrets, sql, token_counts, whitening
+from clausecut.llm import exact_dedup, html_extract, line_dedup, lm_scoring, mixing, ngram_join, packing, pii, quality, secrets, sql, token_counts, turn_trie, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,5 +65,9 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extract, op3_line_dedup, op4_pii, op5_best_fit_packing, op6_quality_rules, op7_lm_scoring, op8_secrets, op9_mixing, op10_exact_dedup, op11_token_counts, op12_embedding_whitening, quality_ablations)}
-SQL = {"op1_ngram_jaccard": sql.LINKS, "op3_line_dedup": sql.LINES, "op4_pii": sql.PII, "op6_quality_rules": sql.QUALITY, "quality_ablations": sql.ABLATIONS, "op8_secrets": sql.SECRETS, "op9_mixing": sql.MIX, "op10_exact_dedup": sql.EXACT}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.nodes(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extract, op3_line_dedup, op4_pii, op5_best_fit_packing, op6_quality_rules, op7_lm_scoring, op8_secrets, op9_mixing, op10_exact_dedup, op11_token_counts, op12_embedding_whitening, op13_conversation_trie, quality_ablations)}
+SQL = {"op1_ngram_jaccard": sql.LINKS, "op3_line_dedup": sql.LINES, "op4_pii": sql.PII, "op6_quality_rules": sql.QUALITY, "quality_ablations": sql.ABLATIONS, "op8_secrets": sql.SECRETS, "op9_mixing": sql.MIX, "op10_exact_dedup": sql.EXACT, "op13_conversation_trie": sql.TRIE}

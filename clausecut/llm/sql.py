@@ -112,3 +112,19 @@ MIX = rf"""WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, ('0x'
  a AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS z FROM d),
  x AS (SELECT a.*, g.rank, source_size, target, takes, given, block, slots, greatest(0, least(size, takes - z)) + greatest(0, least(size, takes - z - source_size)) AS taken, z // block AS place FROM a JOIN g ON g.source IS NOT DISTINCT FROM a.source)
  SELECT doc_id, x.source, size, source_size, target, taken::BIGINT AS taken, CASE WHEN taken > 0 THEN coalesce(o.slot, slots + x.rank)::BIGINT END AS first_slot FROM x LEFT JOIN o ON o.no = x.rank AND o.place = x.place"""
+
+#: The eight steps of CRC-32 for one byte, and the whole of it over a text's bytes.
+_BYTE = "list_reduce(list_prepend(xor(x, y), [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)"
+_CRC32 = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda x, y: {_BYTE}), 4294967295)"
+TRIE = rf"""WITH t AS (SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS h, len({WORDS}) AS w FROM conversations WHERE conv_id IS NOT NULL),
+ o AS (SELECT conv_id, list(h ORDER BY turn NULLS FIRST, h) AS hs, list(w ORDER BY turn NULLS FIRST, h) AS ws FROM t GROUP BY conv_id),
+ k AS (SELECT *, {_CRC32} % 4 AS n FROM o),
+ r AS (SELECT a.conv_id, list_concat(coalesce(b.hs, [])[1:a.n], a.hs[a.n + 1:]) AS hs, list_concat(coalesce(b.ws, [])[1:a.n], a.ws[a.n + 1:]) AS ws FROM k a LEFT JOIN o b ON b.conv_id = a.conv_id - a.conv_id % 20),
+ p AS (SELECT conv_id, len(hs) AS size, d, sha256(array_to_string(hs[1:d], ',')) AS key, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w FROM (SELECT *, unnest(range(0, len(hs) + 1)) AS d FROM r)),
+ m AS (SELECT *, min(conv_id) OVER (PARTITION BY d, key) AS node FROM p),
+ n AS (SELECT d, node, count(*) AS n, min(w) AS w, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends FROM m GROUP BY d, node),
+ u AS (SELECT n.*, m.node AS up FROM n LEFT JOIN m ON m.conv_id = n.node AND m.d = n.d - 1),
+ c AS (SELECT d - 1 AS d, up, count(*) AS k FROM u WHERE d > 0 GROUP BY ALL),
+ f AS (SELECT u.*, coalesce(c.k, 0) AS children FROM u LEFT JOIN c ON c.d = u.d AND c.up = u.node),
+ s AS (SELECT m.d, m.node, sum((f.children = 0)::INT)::BIGINT AS leaves, sum((f.n - 1) * f.w)::BIGINT AS saved FROM f JOIN m ON m.conv_id = f.node AND m.d <= f.d GROUP BY ALL)
+ SELECT f.node AS conv_id, f.d::BIGINT AS depth, f.up AS parent_conv_id, f.n AS n_convs, f.children AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, f.ends AS ends_sha256 FROM f JOIN s ON s.d = f.d AND s.node = f.node"""
