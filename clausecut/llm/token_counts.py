@@ -24,8 +24,10 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import operator
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +42,9 @@ from clausecut.llm.common import Scratch, tidy
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
-#: Texts worked on at once, and most parts a worker remembers; both bound its memory.
+#: Texts worked on at once, and most words a worker remembers; both bound its memory.
 TEXTS = 1024
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Marks that are words by themselves, whatever comes before or after; the apostrophe is not one, and less-than may begin a special string.
 MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 #: Contractions that are words of their own, by what comes after the apostrophe.
@@ -70,6 +72,7 @@ class Merges:
                     del table[x]
         self.longest = max(map(len, [*self.inner, *self.final]))
         self.apart = functools.lru_cache(1 << 18)(self.stay_apart)
+        self.before: tuple[str, list[int], list[int], list[int]] = ("", [-1], [0], [0])
         heads = {x[:k] for x in (*self.inner, *self.final) for k in range(1, len(x) + 1)}
         self.ids = {x: (self.inner.get(x, -1), self.final.get(x, -1)) for x in heads}
 
@@ -99,21 +102,31 @@ class Merges:
 
 
     def ends(self, word: str) -> list[int]:
-        """The count of each prefix of a word, if the word ended there, byte by byte. What Run does, for a word that is there as a whole."""
-        size = len(word)
-        last, count, out = [-1] * (size + 1), [0] * (size + 1), [0] * size
+        """The count of each prefix of a word, if the word ended there, byte by byte; the empty prefix first. What Run does, for a word that is there as a whole.
+
+        What holds of the beginning that it shares with the word before is kept: words in sorted order share much.
+        """
+        before, last, count, out = self.before
+        shared, size = 0, len(word)
+        for x, y in zip(before, word):  # noqa: B905
+            if x != y:
+                break
+            shared += 1
+        more = size - shared
+        last, count, out = [*last[: shared + 1], *[-1] * more], [*count[: shared + 1], *[0] * more], [*out[: shared + 1], *[0] * more]
         ids, apart = self.ids.get, self.apart
         for a in range(size):
             beside, n = last[a], count[a] + 1
-            for z in range(a + 1, size + 1):
+            for z in range(max(a, shared) + 1, size + 1):
                 found = ids(word[a:z])
                 if found is None:  # no token begins so
                     break
                 inner, final = found
                 if inner >= 0 and not count[z] and (not a or apart(beside, inner)):
                     last[z], count[z] = inner, n
-                if final >= 0 and not out[z - 1] and (not a or apart(beside, final)):
-                    out[z - 1] = n
+                if final >= 0 and not out[z] and (not a or apart(beside, final)):
+                    out[z] = n
+        self.before = (word, last, count, out)
         return out
 
 
@@ -169,8 +182,7 @@ class Counter:
             told = json.load(f)
         self.library, self.merges = Tokenizer.from_file(name), Merges(told["model"])
         self.special = sorted((x["content"] for x in told["added_tokens"]), key=len, reverse=True)
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.kinds: dict[str, tuple[str, str]] = {}
 
     def kind(self, c: str) -> tuple[str, str]:
@@ -194,30 +206,50 @@ class Counter:
             out = run.add(self.kind(c)[1])
         return out
 
-    def ends(self, word: str) -> list[int]:
-        """The count of each prefix of a normalized word; remembered."""
-        found = self.words.get(word)
+    def learn(self, parts: list[str]) -> None:
+        """Remembers the steps of the parts' words of letters, and of the marks after them."""
+        new, tails = set(), set()
+        for part in parts:
+            core = part.rstrip(MARKS)
+            if len(core) < len(part):
+                tails.add(part[len(core) :])
+            key = core.lower() if core.isascii() else core
+            if key not in self.words:
+                new.add(key)
+        for key in sorted(x for x in new if self.letters(x)):
+            self.words[key] = four_bytes(self.ends(self.normal(key)))
+        for tail in sorted(tails):
+            if tail not in self.words:
+                self.words[tail] = four_bytes(self.merges.ends(tail))
+
+    def steps(self, part: str) -> bytes:
+        """How the count changes from each prefix of a part to the next, as four bytes each. The part's word is known, unless it is not one of letters."""
+        core = part.rstrip(MARKS)
+        found = self.words.get(core.lower() if core.isascii() else core)
         if found is None:
-            if word.isascii():
-                found = self.merges.ends(word)
-            else:
-                symbols = [self.kind(c)[1] for c in word]
-                by_byte = self.merges.ends("".join(symbols))
-                found = [by_byte[z - 1] for z in itertools.accumulate(map(len, symbols))]
-            self.words[word] = found
-        return found
+            return four_bytes([0, *self.counts(part)])
+        return found + self.words[part[len(core) :]] if len(core) < len(part) else found
+
+    def letters(self, core: str) -> bool:
+        """Whether a text is one word of letters that normalization leaves one by one, so that a prefix of it is one too."""
+        if not core or core.isascii():
+            return not core or core.isalpha()
+        if not core.isalpha() or any(map(joins, core)) or not unicodedata.is_normalized("NFC", core):
+            return False
+        low = self.normal(core)
+        return len(low) == len(core) and all(self.kind(c)[0] == "a" for c in low)
+
+    def ends(self, word: str) -> list[int]:
+        """The count of each prefix of a normalized word of letters, the empty one first."""
+        if word.isascii():
+            return self.merges.ends(word)
+        symbols = [self.kind(c)[1] for c in word]
+        by_byte = self.merges.ends("".join(symbols))
+        return [0, *(by_byte[z] for z in itertools.accumulate(map(len, symbols)))]
 
     def counts(self, part: str) -> list[int]:
-        """The count of each prefix of a part, from one character to all."""
+        """The count of each prefix of any part, from one character to all, character by character."""
         out: list[int] = []
-        core = part.rstrip(MARKS)
-        if not core or core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core) and not any(map(joins, core))):
-            low = self.normal(core)
-            if len(low) == len(core) and (core.isascii() or all(self.kind(c)[0] == "a" for c in low)):
-                out.extend(self.ends(low))
-                before = out[-1] if out else 0
-                out.extend(before + n for n in self.ends(part[len(core) :]))
-                return out
         base, at = 0, 0
         while at < len(part):
             found = [(i, x) for x in self.special if (i := part.find(x, at)) >= 0]
@@ -230,11 +262,10 @@ class Counter:
             at = i + len(x)
         return out
 
-    def steps(self, part: str) -> bytes:
-        """Differences of the counts, as four bytes each; remembered."""
-        if part not in self.known:
-            self.known[part] = np.diff(np.asarray([0, *self.counts(part)], dtype="<i4")).tobytes()
-        return self.known[part]
+
+def four_bytes(counts: list[int]) -> bytes:
+    """Differences of neighbours."""
+    return array("i", map(operator.sub, counts[1:], counts)).tobytes()
 
 
 class Scan:
@@ -311,10 +342,11 @@ def _steps(texts: pa.Array, own: Counter) -> tuple[np.ndarray, np.ndarray]:
     parts = pc.ascii_split_whitespace(texts)
     parts = parts.flatten()
     coded = parts.filter(pc.not_equal(parts, "")).dictionary_encode()
-    for memory in (own.known, own.words):
-        if len(memory) > REMEMBERED:
-            memory.clear()
-    each = [own.steps(x) for x in coded.dictionary.to_pylist()]
+    if len(own.words) > REMEMBERED:
+        own.words.clear()
+    distinct = coded.dictionary.to_pylist()
+    own.learn(distinct)
+    each = [own.steps(x) for x in distinct]
     size = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
     flat, start, which = np.frombuffer(b"".join(each), dtype="<i4"), np.cumsum(size) - size, coded.indices.to_numpy()
     lengths = size[which]

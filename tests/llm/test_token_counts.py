@@ -32,7 +32,19 @@ def hard_parts(seed, how_many):
 def test_every_prefix():
     own = T._counter(T.TOKENIZER)
     for text in [*hard_parts(3, 1200), "internationalization" * 5, "a" * 200, "thethethe" * 20, "....!!!!'''" * 9, "don're'll'vex", "ΑΣ", "1234567890"]:
-        assert own.counts(text) == [n(text[:p]) for p in range(1, len(text) + 1)], ascii(text)
+        want = [n(text[:p]) for p in range(1, len(text) + 1)]
+        own.learn([text])
+        assert own.counts(text) == want == T._prefixes(own.steps(text), 4)[1:].tolist(), ascii(text)
+
+
+def test_words():
+    """Words of letters with marks after them, which are worked out at once, and what only looks like one."""
+    own, rng = T._counter(T.TOKENIZER), random.Random(4)
+    for _ in range(800):
+        text = "".join(rng.choice("abeiourstlnABEéÉüßñΣ") for _ in range(rng.randrange(12))) + "".join(rng.choice("!?.,;-") for _ in range(rng.randrange(4))) + rng.choice(["", "", "", "'", "<|", "7", "x", "̈"])
+        want = [n(text[:p]) for p in range(1, len(text) + 1)]
+        own.learn([text])
+        assert T._prefixes(own.steps(text), 4)[1:].tolist() == want == own.counts(text), ascii(text)
 
 
 def test_table_and_answers(spark, docs, rows):
