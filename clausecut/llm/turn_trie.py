@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from clausecut.llm.common import WORD, Scratch, by_key, tidy, text_or_empty
 
-LOCAL = 2048
+LOCAL = 256
 HOT = 1000
 BLOCK = 512
 GROUP, MOST_HEAD = 20, 4
@@ -109,14 +109,16 @@ def joined_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def sequences(conversations: DataFrame, scratch: Scratch) -> DataFrame:
-    """(ids, words, n, first, ends): the distinct rebuilt conversations, how many are such, the least of their conv_ids, and the hash of all of them."""
+    """(ids, words, n, first, ends) of the distinct rebuilt conversations: how many are such, the least of their conv_ids, and the hash of all of them; and that all are in the root's bucket."""
     whole = rebuilt(encoded(conversations, scratch)).repartitionByRange("conv_id").sortWithinPartitions("conv_id")
     rows = scratch.write(whole.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1)), "rebuilt")
     members = F.array_join(F.transform(F.array_sort(F.collect_list("conv_id")), lambda c: c.cast("string")), ",")
     blocks = rows.groupBy("ids", "block").agg(F.first("words").alias("words"), F.count("*").alias("n"), F.min("conv_id").alias("first"), members.alias("members"))
     by = F.xxhash64("ids")
     blocks = blocks.repartition(by).sortWithinPartitions(by, "ids", "block").select("ids", "words", "n", "first", "members")
-    return scratch.write(blocks.mapInArrow(tidy(joined_members), "ids array<long>, words array<int>, n long, first long, ends string"), "sequences")
+    whole = blocks.mapInArrow(tidy(joined_members), "ids array<long>, words array<int>, n long, first long, ends string")
+    root = {"pno": F.lit(-1).cast("long"), "nid": F.lit(-1).cast("long"), "up": F.lit(None).cast("long"), "depth": F.lit(0).cast("long"), "top_words": F.lit(0)}
+    return scratch.write(whole.withColumns(root), "sequences")
 
 
 def trie(items: list[tuple], depth: int, top_words: int, up: int | None) -> list[list]:
@@ -226,7 +228,7 @@ def cut(rows: DataFrame, number: int, most: int, scratch: Scratch) -> tuple[Data
 def nodes(conversations: DataFrame, local: int = LOCAL) -> DataFrame:
     """A row per node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     scratch = Scratch(conversations.sparkSession, "trie")
-    rows = sequences(conversations, scratch).select(*[F.lit(-1).cast("long").alias(c) for c in ("pno", "nid")], F.lit(None).cast("long").alias("up"), F.lit(0).cast("long").alias("depth"), F.lit(0).alias("top_words"), "ids", "words", "n", "first", "ends")
+    rows = sequences(conversations, scratch)
     parts, rounds = [], []
     while rows is not None:
         finished, chains, rows = cut(rows, len(rounds) + 1, local, scratch)
