@@ -19,6 +19,7 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,16 +39,20 @@ RAW = frozenset("script style title textarea iframe noscript".split())
 #: Tags that end an open paragraph.
 ENDS_P = BLOCKS - {"body", "html", "option", "optgroup", "legend"}
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-AGAINST = frozenset("nav footer aside form header menu dialog fieldset search select dir".split())
 FOR = frozenset("article main".split())
-AGAINST_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar form".split())
-#: Words in class names and ids that speak against a block, for it, and, before another word, say nothing of the block itself.
-AGAINST_WORDS = frozenset(
-    "nav navbar navigation menu footer foot header masthead sidebar side ad ads banner cookie cookies consent notice notices gdpr popup modal overlay comment comments commentlist disqus "
-    "replies respond share sharing social related breadcrumb breadcrumbs subscribe newsletter signup login toolbar pagination pager alert copyright hidden".split()
+#: Tags and roles that speak against all that is in them, and those that do unless most of the page is in them.
+AGAINST = frozenset("nav footer aside menu dialog search".split())
+WEAKLY_AGAINST = frozenset("form fieldset select dir".split())
+AGAINST_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar".split())
+#: Names (classes and ids) that do so when they stand alone; words that do so weakly, alone or in a longer name; words for a block.
+AGAINST_NAMES = frozenset(
+    "nav navbar navigation menu footer header masthead sidebar ad ads banner cookie cookies gdpr comment comments commentlist disqus replies respond related breadcrumb breadcrumbs newsletter toolbar "
+    "pagination pager copyright hidden".split()
 )
+AGAINST_WORDS = AGAINST_NAMES | frozenset("foot side consent notice notices popup modal overlay share sharing social subscribe signup login alert".split())
 AGAINST_STEMS = ("advert", "promo", "sponsor", "recommend", "widget")
 FOR_WORDS = frozenset("article content post entry story main text body".split())
+#: Words that, before another one, say nothing of the block itself.
 OF_OTHERS = frozenset("has have with without no not is js hide show".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
@@ -62,18 +67,24 @@ IN_HEAD = frozenset("title meta link base script style noscript template".split(
 #: Silent tags that do not nest in themselves: another one, or the end of what they stand in, ends them.
 NO_NESTING = frozenset("button select audio video canvas".split())
 
+#: Where silent tags end, and where those begin that do not nest. Only ASCII letters have two cases here.
+ENDS = {t: re.compile(f"</{t}", re.A | re.I) for t in SILENT}
+BEGINS = {t: re.compile(f"<{t}", re.A | re.I) for t in NO_NESTING}
+
 #: The classifier's weights, and the strength of the two kinds of edges.
 WEIGHTS = {"against": -6.0, "for": 3.0, "p": 1.0, "heading": 0.5, "item": -0.5, "words": 2.0, "short": -1.0, "links": -4.0, "stop": 0.5, "rights": -2.0}
 ADJACENT, SIBLING = 0.4, 0.8
+#: What a box (an open block tag) says of what is in it.
+NOTHING, WEAK, STRONG, UNSEEN_BOX = range(4)
 
 
-def evidence(names: str) -> tuple[bool, bool]:
-    """Whether class names or an id speak against a block, and for it.
+def evidence(names: str) -> tuple[int, bool]:
+    """How class names or an id speak against a block (NOTHING, WEAK or STRONG), and whether for it.
 
     Each name counts by itself. has-sidebar or no-nav say what is beside the block, and an article's own header or a name
     of the content that stands alone outweighs names joined from words.
     """
-    whole, joined, pro = False, False, False
+    whole, joined, pro = NOTHING, False, False
     for name in names.lower().split():
         parts = [x for x in PARTS.split(name) if x]
         if not parts or len(parts) > 1 and parts[0] in OF_OTHERS:
@@ -82,28 +93,110 @@ def evidence(names: str) -> tuple[bool, bool]:
         good = any(x in FOR_WORDS for x in parts)
         if good and bad == ["header"]:
             bad = []
-        whole |= len(parts) == 1 and bool(bad)
+        if len(parts) == 1 and bad:
+            whole = max(whole, STRONG if name in AGAINST_NAMES else WEAK)
         joined |= len(parts) > 1 and bool(bad)
         pro |= good and not bad and (len(parts) == 1 or not joined)
     alone = any(x in FOR_WORDS for x in names.lower().split())
-    return whole or joined and not alone, pro
+    return whole or (WEAK if joined and not alone else NOTHING), pro
+
+
+class Box(NamedTuple):
+    """An open block tag: the number of the box around it, its tag, what it says against its content, and for it."""
+
+    parent: int
+    tag: str
+    bad: int
+    good: float
 
 
 class Block:
-    __slots__ = ("against", "container", "links", "pro", "tag", "text")
+    __slots__ = ("against", "box", "container", "links", "pro", "tag", "text")
+
+    def __init__(self, text: str, tag: str, container: int, box: int, links: int):
+        self.text, self.tag, self.container, self.box, self.links, self.against, self.pro = text, tag, container, box, links, 0.0, 0.0
 
-    def __init__(self, text: str, tag: str, container: int, against: float, pro: float, links: int):
-        self.text, self.tag, self.container, self.against, self.pro, self.links = text, tag, container, against, pro, links
+
+def box_of(parent: int, tag: str, attributes: str) -> Box:
+    bad = STRONG if tag in AGAINST else WEAK if tag in WEAKLY_AGAINST else NOTHING
+    good = 1.0 if tag in FOR else 0.0
+    if attributes:
+        if HIDDEN.search(attributes):
+            bad = UNSEEN_BOX
+        for name, a, b, c in ATTRIBUTE.findall(attributes):
+            kind, value = name.lower(), a or b or c
+            if kind == "role":
+                role = value.lower()
+                if role in AGAINST_ROLES:
+                    bad = max(bad, STRONG)
+                elif role == "form":
+                    bad = max(bad, WEAK)
+                elif role in FOR:
+                    tag, good = role, 1.0
+            elif kind == "style":
+                if UNSEEN.search(value):
+                    bad = UNSEEN_BOX
+            elif tag not in ("body", "html", "header"):
+                against, pro = evidence(value)
+                if against and tag not in FOR or against == STRONG and tag == "article":
+                    bad = max(bad, against)
+                elif pro:
+                    good = max(good, 0.6)
+    return Box(parent, tag, bad, good)
+
+
+def weigh(found: list[Block], boxes: list[Box]) -> None:
+    """Gives each block the evidence of the boxes around it.
+
+    A box that speaks against its content decides for all in it, whatever is around it; only main, and an article in a box
+    that nothing else seals, begin anew. A weak one does not count if it wraps the page: at least half of the page's words,
+    and five times as many as content boxes hold outside of it. A header counts against its content unless it is an article's own, but
+    the headlines of a content box's header stay.
+    """
+    n = len(boxes)
+    words, good, live, in_good = [0] * n, [0] * n, [True] * n, [False] * n
+    for k in range(1, n):
+        live[k] = boxes[k].bad < STRONG and live[boxes[k].parent]
+        in_good[k] = boxes[k].good > 0 or in_good[boxes[k].parent]
+    for b in found:
+        if live[b.box]:
+            size = b.text.count(" ") + 1
+            words[b.box] += size
+            good[b.box] += size * in_good[b.box]
+    for k in range(n - 1, 0, -1):
+        words[boxes[k].parent] += words[k]
+        good[boxes[k].parent] += good[k]
+    state: list[tuple[float, float, bool, bool]] = [(0.0, 0.0, False, False)]  # against, for, sealed, in an article
+    for k in range(1, n):
+        box = boxes[k]
+        against, pro, sealed, own = state[box.parent]
+        wraps = box.bad == WEAK and 2 * words[k] >= words[0] and 5 * (good[0] - good[k]) <= words[k]
+        if against == 2.0 or box.bad == UNSEEN_BOX:
+            state.append((2.0, 0.0, True, own))
+        elif box.tag == "main":
+            state.append((0.0, 1.0, False, own))
+        elif box.bad == STRONG or box.bad == WEAK and not wraps:
+            state.append((1.0, 0.0, sealed or box.tag not in ("nav", "menu", "form"), own))
+        elif box.tag == "article":
+            state.append((against, pro, True, own) if sealed else (0.0, 1.0, False, True))
+        elif box.tag == "header" and not own:
+            state.append((1.0, 0.0, sealed, own))
+        elif box.tag in ("h1", "h2") and boxes[box.parent].tag == "header" and state[boxes[box.parent].parent][1] > 0:
+            state.append(state[boxes[box.parent].parent])
+        else:
+            state.append((against, max(pro, box.good) if not against else pro, sealed, own))
+    for b in found:
+        b.against, b.pro = state[b.box][:2]
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order, less what is in silent tags."""
     out: list[Block] = []
-    # an open tag: name, its own number, its parent's number, evidence against, evidence for
-    stack: list[tuple[str, int, int, float, float]] = [("", 0, 0, 0.0, 0.0)]
-    numbers, buffer, linked, in_link = 0, [], 0, 0
+    boxes = [Box(0, "", NOTHING, 0.0)]
+    stack: list[tuple[str, int]] = [("", 0)]  # open tags and the numbers of their boxes
+    buffer, linked, in_link = [], 0, 0
     silent: list[tuple[str, int]] = []  # open silent tags, and how many tags were open around each
-    low, at, size = None, 0, len(page)
+    at, size = 0, len(page)
 
     def flush() -> None:
         nonlocal linked
@@ -111,8 +204,8 @@ def blocks(page: str) -> list[Block]:
             text = SPACE.sub(" ", html.unescape("".join(buffer))).strip()
             buffer.clear()
             if text:
-                tag, _, parent, against, pro = stack[-1]
-                out.append(Block(text, tag, parent, against, pro, min(linked, len(text))))
+                tag, box = stack[-1]
+                out.append(Block(text, tag, boxes[box].parent, box, min(linked, len(text))))
         linked = 0
 
     while at < size:
@@ -172,18 +265,16 @@ def blocks(page: str) -> list[Block]:
                 buffer.append(" ")
             continue
         if tag in RAW:
-            low = low if low is not None else page.lower()
-            end = low.find(f"</{tag}", at)
-            close = -1 if end < 0 else page.find(">", end)
+            end = ENDS[tag].search(page, at)
+            close = -1 if end is None else page.find(">", end.start())
             at = size if close < 0 else close + 1
             continue
         if tag in VOID and tag not in BLOCKS:
             continue
         if tag in SILENT:
             if not attributes.rstrip().endswith("/"):
-                low = low if low is not None else page.lower()
-                end, again = low.find(f"</{tag}", at), low.find(f"<{tag}", at) if tag in NO_NESTING else -1
-                if tag == "head" or end >= 0 and not 0 <= again < end:
+                end, again = ENDS[tag].search(page, at), BEGINS[tag].search(page, at) if tag in NO_NESTING else None
+                if tag == "head" or end and not (again and again.start() < end.start()):
                     silent.append((tag, len(stack)))
                 else:  # never closed: only the text right after it is its own
                     lt = page.find("<", at)
@@ -202,33 +293,10 @@ def blocks(page: str) -> list[Block]:
                     stack.pop()
             if tag == "hr":
                 continue
-            _, parent, _, against, pro = stack[-1]
-            if tag in FOR:
-                against, pro = against / 2, 1.0
-            elif tag in AGAINST and not (tag == "header" and pro):
-                against = 1.0
-            if attributes:
-                if HIDDEN.search(attributes):
-                    against = 2.0
-                for name, a, b, c in ATTRIBUTE.findall(attributes):
-                    value = a or b or c
-                    if name.lower() == "role":
-                        if value.lower() in AGAINST_ROLES:
-                            against = 1.0
-                        elif value.lower() in ("main", "article"):
-                            pro = 1.0
-                    elif name.lower() == "style":
-                        if UNSEEN.search(value):
-                            against = 2.0
-                    elif tag not in ("body", "html"):
-                        bad, good = evidence(value)
-                        if bad and tag not in ("article", "main") and not (tag == "header" and pro):
-                            against = max(against, 1.0)
-                        elif good:
-                            pro = max(pro, 0.6)
-            numbers += 1
-            stack.append((tag, numbers, parent, against, pro))
+            boxes.append(box_of(stack[-1][1], tag, attributes))
+            stack.append((tag, len(boxes) - 1))
     flush()
+    weigh(out, boxes)
     return out
 
 

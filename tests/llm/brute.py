@@ -6,7 +6,6 @@ import itertools
 import re
 from collections import Counter, defaultdict
 
-from clausecut.llm import html_extract as H
 
 SPACES = " \t\n\v\f\r"
 
@@ -149,120 +148,33 @@ def line_dedup(docs, long=50, mean=3):
     return out
 
 
-class Tree(html.parser.HTMLParser):
-    """A page's tags as a tree, for pages that close what they open but for paragraphs and items."""
+class Article(html.parser.HTMLParser):
+    """What stands in a page's article, block by block. For pages whose whole main text is in one article, and that close what they open but for paragraphs."""
+
+    ENDS = frozenset("article p h1 h2 h3 li ul ol div".split())
 
     def __init__(self, page):
         super().__init__(convert_charrefs=True)
-        self.root = self.now = {"tag": "", "attrs": {}, "in": None, "parts": []}
+        self.blocks, self.inside = [""], False
         self.feed(page)
         self.close()
 
     def handle_starttag(self, tag, attrs):
-        if tag in H.VOID:
-            self.now["parts"].append((tag, {}))
-            return
-        ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
-        while self.now["tag"] in ends or tag in H.ENDS_P and self.now["tag"] == "p":
-            self.now = self.now["in"]
-        node = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "in": self.now, "parts": []}
-        self.now["parts"].append((tag, node))
-        self.now = node
+        if tag in self.ENDS:
+            self.blocks.append("")
+        if tag == "br":
+            self.blocks[-1] += " "
+        self.inside |= tag == "article"
 
     def handle_endtag(self, tag):
-        node = self.now
-        while node and node["tag"] != tag:
-            node = node["in"]
-        if node:
-            self.now = node["in"]
+        if tag in self.ENDS:
+            self.blocks.append("")
+        self.inside &= tag != "article"
 
     def handle_data(self, data):
-        self.now["parts"].append((None, data))
-
-
-def page_blocks(page):
-    """[(block, its parent's identity)], by a walk over the tree."""
-    out, text, linked = [], [], [0]
-
-    def flush(node, against, pro):
-        own = " ".join("".join(text).split())
-        if own:
-            parent = node
-            out.append(H.Block(own, node["tag"], id(parent["in"]), against, pro, min(linked[0], len(own))))
-        text.clear()
-        linked[0] = 0
-
-    def walk(node, block, against, pro, link):
-        for tag, x in node["parts"]:
-            if tag is None:
-                text.append(x)
-                linked[0] += len(x) * link
-            elif tag == "br":
-                text.append(" ")
-            elif tag == "hr":
-                flush(block, against, pro)
-            elif tag in H.VOID or tag in H.SILENT:
-                continue
-            elif tag not in H.BLOCKS:
-                walk(x, block, against, pro, link or tag == "a")
-            else:
-                flush(block, against, pro)
-                a, p, attrs = against, pro, x["attrs"]
-                if tag in H.FOR:
-                    a, p = a / 2, 1.0
-                elif tag in H.AGAINST and not (tag == "header" and p):
-                    a = 1.0
-                if "hidden" in attrs or H.UNSEEN.search(attrs.get("style", "")):
-                    a = 2.0
-                a = 1.0 if attrs.get("role", "").lower() in H.AGAINST_ROLES else a
-                p = 1.0 if attrs.get("role", "").lower() in ("main", "article") else p
-                for k in ("class", "id"):
-                    bad, good = H.evidence(attrs.get(k, ""))
-                    if tag not in ("body", "html"):
-                        if bad and tag not in ("article", "main") and not (tag == "header" and p):
-                            a = max(a, 1.0)
-                        elif good:
-                            p = max(p, 0.6)
-                walk(x, x, a, p, False)
-                flush(x, a, p)
-
-    root = Tree(page).root
-    walk(root, root, 0.0, 0.0, False)
-    flush(root, 0.0, 0.0)
-    return out
+        if self.inside:
+            self.blocks[-1] += data
 
 
-def main_text(page):
-    """Content by the same labels and edges, and a maximum flow along shortest paths in a matrix."""
-    found = page_blocks(page or "")
-    n = len(found)
-    room = [[0.0] * (n + 2) for _ in range(n + 2)]
-    for i, b in enumerate(found):
-        s = H.score(b)
-        room[n][i], room[i][n + 1] = max(s, 0.0), max(-s, 0.0)
-        if i:
-            c = found[i - 1]
-            w = H.ADJACENT + H.SIBLING * (b.container == c.container and b.tag == c.tag)
-            room[i][i - 1] += w
-            room[i - 1][i] += w
-            j = max((j for j in range(i) if found[j].container == b.container), default=None)
-            if j is not None and j < i - 1:
-                room[i][j] += H.SIBLING / 2
-                room[j][i] += H.SIBLING / 2
-    while True:
-        came, queue = {n: n}, [n]
-        for u in queue:
-            for v in range(n + 2):
-                if v not in came and room[u][v] > 1e-9:
-                    came[v] = u
-                    queue.append(v)
-        if n + 1 not in came:
-            return "\n".join(b.text for i, b in enumerate(found) if i in came)
-        path, v = [], n + 1
-        while v != n:
-            path.append((came[v], v))
-            v = came[v]
-        f = min(room[a][b] for a, b in path)
-        for a, b in path:
-            room[a][b] -= f
-            room[b][a] += f
+def article_text(page):
+    return "\n".join(x for b in Article(page or "").blocks if (x := " ".join(b.split())))
