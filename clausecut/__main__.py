@@ -1,4 +1,4 @@
-"""python -m clausecut silver|gold|extract|acquire|segment: datasets from folders and annotation files, documents from an act index, sentences from a scorer.
+"""python -m clausecut silver|gold|extract|acquire|train|segment: datasets from folders and annotation files, documents from an act index, a model from a dataset, sentences from a model or another scorer.
 
 Parsers and scorers are given as module:function. acquire leaves out acts that the output already has.
 """
@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from clausecut.operators import gold, layout, metrics
 from clausecut.plans import acquire as acquiring
-from clausecut.plans import infer
+from clausecut.plans import infer, train
 from clausecut.plans.engine import silver
 from clausecut.sources import io
+from clausecut.sources.models import Models
 
 
 def silver_dataset(spark: SparkSession, texts: str, output: str, single_line: bool = False, test_years: tuple[int, ...] = (2025,)) -> None:
@@ -72,9 +73,18 @@ def acquire(spark: SparkSession, url: str, years: list[int], parser: Callable, o
         print(f"{r['year']}: {r['error']}")
 
 
-def segment(spark: SparkSession, texts: str, scorer: Callable, output: str) -> None:
-    """Sentences of texts by a scorer, and a line for each document."""
-    sentences, summary = infer.segmented(io.texts(spark, texts).select("path", "text"), scorer, "path")
+def training(spark: SparkSession, windows: str, output: str, **parameters) -> None:
+    """Trains on the windows of split train, selects on those of split test, and prints what is told of the current version. A run that broke off goes on."""
+    rows = io.read_windows(spark, windows)
+    models = train.fit(rows.where("split = 'train'"), rows.where("split = 'test'"), output, train.Training(**parameters), "path", "window_no")
+    told = models.told(models.current())
+    print(f"version {models.current()}: F1 {told['f1']:.4f}, precision {told['precision']:.4f}, recall {told['recall']:.4f}")
+
+
+def segment(spark: SparkSession, texts: str, scorer: Callable | None, output: str, model: str | None = None) -> None:
+    """Sentences of texts by a trained model or another scorer, and a line for each document."""
+    by = train.by_current(Models(spark, f"{model.rstrip('/')}/models")) if model else None
+    sentences, summary = infer.segmented(io.texts(spark, texts).select("path", "text"), scorer, "path", by=by)
     sentences.write.mode("overwrite").parquet(output)
     summary.orderBy("path").show(1000, truncate=False)
 
@@ -93,7 +103,13 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--test-years", type=int, nargs="*", default=[2025])
     for name in ("gold", "extract"):
         commands.add_parser(name).add_argument("--annotations", required=True)
-    commands.add_parser("segment").add_argument("--scorer", required=True)
+    g = commands.add_parser("segment").add_mutually_exclusive_group(required=True)
+    g.add_argument("--scorer", help="module:function")
+    g.add_argument("--model", help="the output of train")
+    t = commands.add_parser("train")
+    t.add_argument("--windows", required=True, help="the output of silver")
+    t.add_argument("--epochs", type=int, default=1)
+    t.add_argument("--batches", type=int, default=20)
     q = commands.add_parser("acquire")
     q.add_argument("years", nargs="*", default=["2015-2025"])
     q.add_argument("--index", required=True, help="the index's address, with {year}")
@@ -102,7 +118,7 @@ def main(argv: list[str] | None = None) -> None:
     q.add_argument("--raw", action="store_true")
     q.add_argument("--pdf", help="a folder for the files themselves")
     for name, c in commands.choices.items():
-        if name != "acquire":
+        if name not in ("acquire", "train"):
             c.add_argument("--texts", required=True)
         c.add_argument("--output", required=True)
     a = parser.parse_args(argv)
@@ -114,7 +130,9 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "extract":
         extract(spark, a.annotations, a.texts, a.output)
     elif a.command == "segment":
-        segment(spark, a.texts, named(a.scorer), a.output)
+        segment(spark, a.texts, named(a.scorer) if a.scorer else None, a.output, a.model)
+    elif a.command == "train":
+        training(spark, a.windows, a.output, epochs=a.epochs, batches=a.batches)
     else:
         acquire(spark, a.index, years(a.years), named(a.parser), a.output, a.workers, a.raw, a.pdf)
 

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from clausecut import patterns as P
 from clausecut.operators import clean, gold, labels, layout, metrics, punkt, segment, tokens, windows
-from clausecut.plans import acquire, infer
+from clausecut.plans import acquire, infer, train
 from clausecut.plans import sentence_sql as X
 from clausecut.plans.engine import Corpus
-from clausecut.sources import io
+from clausecut.sources import io, models
 
 #: A line of an order as a piece of an act, of one to four lines.
 LEGAL = """CASE l_partkey % 8
@@ -658,4 +658,40 @@ def evaluated_arrays(spark, sf_dir):
     return infer.evaluated(rows).select("dataset", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
+#: Training as the queries do it: one epoch in steps over a twelfth of the windows each.
+TRAINING = train.Training(bits=16, batches=12, evaluate_every=4)
+
+
+def _dated(spark, sf_dir) -> DataFrame:
+    """Windows of the composed acts with their year; those of the last year are held out."""
+    docs = table(spark, sf_dir, "lineitem").select(F.expr(DOC).alias("doc"), F.year("l_shipdate").alias("year"), F.expr(LEGAL).alias("text"))
+    return Corpus(docs).sentences_by_line().windows_by_line().df
+
+
+def _trained(spark, sf_dir) -> tuple[models.Models, DataFrame]:
+    """The boundary model, trained on the windows of all years but the last; and the windows with their dataset. Both are under the shared folder."""
+    root = models.new_folder(spark, "boundary")
+    _dated(spark, sf_dir).write.parquet(f"{root}/windows")
+    windows = spark.read.parquet(f"{root}/windows")
+    last = windows.agg(F.max("year")).first()[0]
+    windows = windows.withColumn("dataset", F.when(F.col("year") == F.lit(last), "held out").otherwise("train"))
+    return train.fit(windows.where("dataset = 'train'"), windows.where("dataset = 'held out'"), root, TRAINING, "doc", "window_no"), windows
+
+
+@query()
+def boundary_training(spark, sf_dir):
+    """Precision, recall and F1 of the selected version on the windows it was trained on and on those held out."""
+    found, windows = _trained(spark, sf_dir)
+    version = found.current()
+    out = train.evaluated(windows, train.loaded(found, version)["w"], TRAINING.bits)
+    return out.select("dataset", F.lit(version).alias("version"), "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query()
+def boundary_segments(spark, sf_dir):
+    """Sentences of the composed acts by the trained model, loaded from its saved version."""
+    found, _ = _trained(spark, sf_dir)
+    return infer.segmented(legal(spark, sf_dir), by=train.by_current(found))[1]
+
+
 FLAGSHIP = silver_window_stats
