@@ -61,6 +61,17 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free(taken, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to be none of those taken (Spark tells no case) and none of the others."""
+    known, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def digest(value: Column, seed: int = 0) -> tuple[Column, Column]:
     """128 bits in two longs; another seed gives other, unrelated bits."""
     return F.xxhash64(F.lit(2 * seed + 1), value), F.xxhash64(F.lit(-2 * seed - 2), value)

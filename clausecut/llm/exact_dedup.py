@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausecut.llm.common import SPACE, Scratch, chunk_bits, digest, running, text_or_empty, top_bits
+from clausecut.llm.common import SPACE, Scratch, chunk_bits, digest, free, running, text_or_empty, top_bits
 
 #: Code points in a block.
 BLOCK = 4096
@@ -88,7 +88,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The documents that stay, with all their columns. Rows that share a doc_id (null too), a length and the normalized text stay or go together."""
     named = name_texts(docs, id_col, text_col)
     own = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    kept = named.groupBy("n_blocks", "name").agg(F.min(own).alias("best"), F.min("sha").alias("_sha")).select(F.col("best.doc_id").alias("_id"), (-F.col("best.n")).alias("_n"), "_sha")
+    id_, n, sha = free(docs.columns, "_id", "_n", "_sha")
+    kept = named.groupBy("n_blocks", "name").agg(F.min(own).alias("best"), F.min("sha").alias(sha)).select(F.col("best.doc_id").alias(id_), (-F.col("best.n")).alias(n), sha)
     text = text_or_empty(text_col)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.length(text) == F.col("_n")) & (F.sha2(F.regexp_replace(text, SPACE + "+", "").cast("binary"), 256) == F.col("_sha"))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.length(text) == F.col(n)) & (F.sha2(F.regexp_replace(text, SPACE + "+", "").cast("binary"), 256) == F.col(sha))
     return docs.join(kept, same, "left_semi")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clausecut.llm.common import WORD, Scratch, text_or_empty
+from clausecut.llm.common import WORD, Scratch, free, text_or_empty
 
 WINDOW, MEAN, LONG = 2, 3, 50
 #: Bits of a line's hash that the rolling hash sees.
@@ -118,13 +118,16 @@ def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text less its repeated chunks, and n_lines, n_removed."""
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = removals(docs, scratch, id_col, text_col).withColumnsRenamed({"doc_id": "_id", "text_md5": "_md5", "kept": "_kept", "rest": "_rest"})
+    # of the columns n_lines and n_removed of docs, if it has such, these take the place
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    id_, md5, kept, rest, mine, lines, stay = free(docs.columns, "_id", "_md5", "_kept", "_rest", "_own", "_lines", "_stay")
+    gone = removals(docs, scratch, id_col, text_col).withColumnsRenamed({"doc_id": id_, "text_md5": md5, "kept": kept, "rest": rest})
     scratch.drop("runs", *[n for n in scratch.paths if n.startswith("counted")])
-    out = docs.withColumn("_own", F.md5(text_or_empty(text_col).cast("binary")))
-    out = out.join(gone.hint("merge"), (F.col("_own") == F.col("_md5")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    out = out.withColumn("_lines", F.split(text_or_empty(text_col), "\n", -1))
-    stay = F.concat(F.flatten(F.transform("_kept", lambda r: F.slice(F.col("_lines"), r["open"] + 1, r["n"]))), F.slice("_lines", F.col("_rest") + 1, F.size("_lines")))
-    out = out.withColumn("_stay", F.when(F.col("_rest").isNotNull(), stay))
-    cols = [F.when(F.col("_stay").isNull(), F.col(text_col)).otherwise(F.array_join("_stay", "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    removed = F.when(F.col("_stay").isNull(), 0).otherwise(F.size("_lines") - F.size("_stay")).cast("long")
-    return out.select(*cols, F.size("_lines").cast("long").alias("n_lines"), removed.alias("n_removed"))
+    out = docs.withColumn(mine, F.md5(text_or_empty(text_col).cast("binary")))
+    out = out.join(gone.hint("merge"), (F.col(mine) == F.col(md5)) & F.col(id_col).eqNullSafe(F.col(id_)), "left")
+    out = out.withColumn(lines, F.split(text_or_empty(text_col), "\n", -1))
+    left = F.concat(F.flatten(F.transform(kept, lambda r: F.slice(F.col(lines), r["open"] + 1, r["n"]))), F.slice(lines, F.col(rest) + 1, F.size(lines)))
+    out = out.withColumn(stay, F.when(F.col(rest).isNotNull(), left))
+    cols = [F.when(F.col(stay).isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n")).alias(c) if c == text_col else F.col(c) for c in own]
+    removed = F.when(F.col(stay).isNull(), 0).otherwise(F.size(lines) - F.size(stay)).cast("long")
+    return out.select(*cols, F.size(lines).cast("long").alias("n_lines"), removed.alias("n_removed"))

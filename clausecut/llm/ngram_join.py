@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausecut.llm.common import Scratch, broadcast_if_small, by_key, tidy
+from clausecut.llm.common import Scratch, broadcast_if_small, by_key, free, tidy
 from clausecut.llm.components import components
 
 FREQUENT = 16
@@ -452,5 +452,6 @@ def one_of_each(docs: DataFrame, **columns) -> DataFrame:
     """docs less the documents that link with one of a smaller doc_id: of each component the least doc_id stays."""
     found = linked(docs, **columns)
     id_col = columns.get("id_col", "doc_id")
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    (own,) = free(docs.columns, "_id")
+    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")

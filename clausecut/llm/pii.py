@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausecut.llm.common import text_or_empty
+from clausecut.llm.common import free, text_or_empty
 from clausecut.llm.spans import digits, spans
 
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -109,7 +109,8 @@ def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = tup
         lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("<"), s["kind"], F.lit(">")).alias("out"))),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
     )
-    return find(docs, text_col, kinds).withColumn(text_col, walk).drop("pii")
+    (own,) = free(docs.columns, "_pii")  # a column pii of docs
+    return find(docs.withColumnRenamed("pii", own), text_col, kinds).withColumn(text_col, walk).drop("pii").withColumnRenamed(own, "pii")
 
 
 def digest(docs: DataFrame) -> DataFrame:

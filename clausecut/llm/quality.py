@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausecut.llm.common import free
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaims")
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -74,18 +76,18 @@ def mask(policy: str | tuple[str, ...]) -> int:
     return sum(BITS[r] for r in (POLICIES[policy] if isinstance(policy, str) else policy))
 
 
-def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with m (the measurements) and failure_bits."""
-    with_m = docs.withColumn("m", measures(F.col(text_col)))
-    bits = [F.when(F.expr(_of_m(rule)), F.lit(BITS[name]).cast("long")).otherwise(F.lit(0).cast("long")) for name, rule in RULES.items()]
+def ledger(docs: DataFrame, text_col: str = "text", m: str = "m", failure_bits: str = "failure_bits") -> DataFrame:
+    """docs with m (the measurements) and failure_bits, which take the place of columns of such names."""
+    with_m = docs.withColumn(m, measures(F.col(text_col)))
+    bits = [F.when(F.expr(_of_m(rule, m)), F.lit(BITS[name]).cast("long")).otherwise(F.lit(0).cast("long")) for name, rule in RULES.items()]
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return with_m.withColumn("failure_bits", total)
+    return with_m.withColumn(failure_bits, total)
 
 
-def _of_m(rule: str) -> str:
-    return " ".join(f"m.{w}" if w in MEASURES else w for w in rule.split())
+def _of_m(rule: str, m: str) -> str:
+    return " ".join(f"`{m}`.{w}" if w in MEASURES else w for w in rule.split())
 
 
 def passes(policy: str | tuple[str, ...], bits: str = "failure_bits") -> Column:
@@ -118,4 +120,5 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def accepted(docs: DataFrame, text_col: str = "text", policy: str = CURRENT) -> DataFrame:
     """docs that pass the policy, with the same columns."""
-    return ledger(docs, text_col).where(passes(policy)).select(*docs.columns)
+    m, bits = free(docs.columns, "m", "failure_bits")
+    return ledger(docs, text_col, m, bits).where(passes(policy, bits)).select(*docs.columns)

@@ -23,7 +23,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausecut.llm.common import Scratch, broadcast_if_small, text_or_empty
+from clausecut.llm.common import Scratch, broadcast_if_small, free, text_or_empty
 from clausecut.llm.spans import SPAN, spans
 
 BLOCK = 4096
@@ -159,26 +159,28 @@ class TrigramIndex:
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs and secrets: array of (start, rank, end, kind, match), by start, then the rule's place."""
+    """docs and secrets: array of (start, rank, end, kind, match), by start, then the rule's place. A column secrets of docs gives way to it."""
+    docs = docs.drop("secrets")
+    id_, mask = free(docs.columns, "_id", "mask")
     index = TrigramIndex(docs, {r.kind: trigram_query(r.pattern) for r in rules}, id_col, text_col)
     out = docs
     if index.queries:
-        found = index.scratch.write(index.candidates().withColumnRenamed("doc_id", "_id"), "candidates")
+        found = index.scratch.write(index.candidates().withColumnsRenamed({"doc_id": id_, "mask": mask}), "candidates")
         found = broadcast_if_small(found, found.count(), 64, 4 << 20)
-        out = docs.join(found, F.col(id_col) == F.col("_id"), "left").drop("_id")
+        out = docs.join(found, F.col(id_col) == F.col(id_), "left").drop(id_)
     else:
-        out = out.withColumn("mask", F.lit(0).cast("long"))
+        out = out.withColumn(mask, F.lit(0).cast("long"))
     text, bits = text_or_empty(text_col), {k: 1 << i for i, k in enumerate(index.queries)}
 
     def of(rule: Rule, rank: int) -> Column:
         long = lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group) if rule.group else m) >= rule.least
         one = spans(text, rule.pattern, long)
         if rule.kind in bits:
-            held = F.coalesce("mask", F.lit(0).cast("long")).bitwiseAND(bits[rule.kind]) != 0
+            held = F.coalesce(mask, F.lit(0).cast("long")).bitwiseAND(bits[rule.kind]) != 0
             one = F.when(F.col(id_col).isNull() | held, one).otherwise(F.array().cast(SPAN))
         return F.transform(one, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(rule.kind).alias("kind"), s["match"].alias("match")))
 
-    return out.withColumn("secrets", F.array_sort(F.flatten(F.array(*[of(r, i) for i, r in enumerate(rules)])))).drop("mask")
+    return out.withColumn("secrets", F.array_sort(F.flatten(F.array(*[of(r, i) for i, r in enumerate(rules)])))).drop(mask)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,38 @@ def table(spark):
 
 
 def ordered(rows):
-    return sorted(map(str, rows))
+    return sorted(str(tuple(r)) for r in rows)
+
+
+#: Names that the code uses itself, and some in another case.
+OWN_NAMES = "_id _md5 _kept _rest _own _lines _stay _n _sha mask m failure_bits _pii _M _ID_ rid name size sig node block n text_md5 word_chars norm best".split()
+FUNCTIONS = {
+    "line dedup": lambda d: line_dedup.dedup_lines(d).drop("n_lines", "n_removed"), "near duplicates": lambda d: ngram_join.one_of_each(d, k=3, num=90, den=100), "exact dedup": exact_dedup.dedup, "quality": quality.accepted,
+    "secrets": lambda d: secrets.find(d).drop("secrets"), "pii": lambda d: pii.find(d).drop("pii"), "redaction": pii.redact, "mixing": lambda d: mixing.mixed_documents(d).drop("mix_slot"),
+}
+
+
+@pytest.mark.parametrize("name", FUNCTIONS)
+def test_clashing_names(spark, name):
+    """Whole rows, with a column of each name that the code uses, against the same without them."""
+    rows = [(i, t, s) for i, t, s in TEXTS]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    names = [n for n in OWN_NAMES if n.lower() not in ("doc_id", "text", "source")]
+    kept = list({n.lower(): n for n in names}.values())
+    wide = spark.createDataFrame([(*r, *[f"{k} {n}" for n in kept]) for k, r in enumerate(rows)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in kept)).repartition(2)
+    out, want = FUNCTIONS[name](wide), FUNCTIONS[name](plain)
+    assert out.columns == wide.columns and want.columns == plain.columns
+    got = out.collect()
+    assert ordered((r.doc_id, r.text, r.source) for r in got) == ordered((r.doc_id, r.text, r.source) for r in want.collect())
+    for r in got:  # what a row carries is still its own
+        k = int(r[kept[0]].split()[0])
+        assert [r[n] for n in kept] == [f"{k} {n}" for n in kept] and rows[k][0] == r.doc_id and rows[k][2] == r.source
+
+
+def test_columns_that_give_way(spark):
+    df = spark.createDataFrame([(1, "a b\na b", 7, 8, "x", "y")], "doc_id long, text string, n_lines long, n_removed long, secrets string, pii string")
+    assert line_dedup.dedup_lines(df).columns == ["doc_id", "text", "secrets", "pii", "n_lines", "n_removed"]
+    assert secrets.find(df).columns == ["doc_id", "text", "n_lines", "n_removed", "pii", "secrets"] and pii.redact(df).first() == df.first()
 
 
 def test_maps(table):
@@ -34,7 +65,9 @@ def test_maps(table):
     assert ordered((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == ordered((i, *brute.secrets(t)[0], brute.secrets(t)[1]) for i, t, _ in TEXTS)
     got = quality.judged(table).collect()
     assert ordered((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == ordered((i, *brute.quality(t)) for i, t, _ in TEXTS)
-    assert quality.accepted(table).columns == table.columns
+    good = quality.accepted(table).collect()
+    verdicts = quality.ledger(table).collect()
+    assert ordered(good) == ordered(r[: len(table.columns)] for r in verdicts if r.failure_bits & quality.mask(quality.CURRENT) == 0)
 
 
 def test_line_dedup(table):
