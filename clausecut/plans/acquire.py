@@ -7,17 +7,23 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausecut.operators import clean, layout
+from clausecut.operators import boxes, clean, layout
 from clausecut.sources import io
 
 PAGE = ("path", "page")
-#: What a parser yields for each page: one row of kind page, and rows of kinds word, table and line.
+#: What a parser yields for each page: one row of kind page, and rows of kinds word, table and line; or of kinds char and ruling in place of words and tables.
 PARSED = "kind string, page int, no int, text string, x0 double, top double, x1 double, bottom double, size double, width double, height double, raw string"
 
 
-def page_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """A parser's rows as the tables of layout: pages, words, tables, lines."""
+def page_tables(rows: DataFrame, from_boxes: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A parser's rows as the tables of layout: pages, words, tables, lines. from_boxes makes words of characters and tables of ruled lines, which are drawn lines too."""
     of = lambda kind: rows.where(F.col("kind") == kind)
+    if from_boxes:
+        chars = of("char").select(*PAGE, F.col("no").alias("char_no"), "text", "x0", "x1", "top", "bottom", "size")
+        rulings = of("ruling").select(*PAGE, F.col("no").alias("ruling_no"), "x0", "top", "x1", "bottom")
+        found = boxes.words(chars, PAGE).select(*PAGE, "word_no", "text", "x0", "top", "bottom", "size")
+        drawn = rulings.where(f"abs(bottom - top) <= {boxes.THICK}").select(*PAGE, F.col("ruling_no").alias("line_no"), "x0", "x1", "top")
+        return of("page").select(*PAGE, "width", "height"), found, boxes.tables(rulings, PAGE).drop("n_cells"), drawn
     return (
         of("page").select(*PAGE, "width", "height"),
         of("word").select(*PAGE, F.col("no").alias("word_no"), "text", "x0", "top", "bottom", "size"),
@@ -38,10 +44,10 @@ def raw_documents(rows: DataFrame) -> DataFrame:
     return pages.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "raw"))), lambda p: p["raw"]), "\n").alias("text"))
 
 
-def documents(files: DataFrame, parser: Callable[[str, bytes], Iterable[dict]]) -> tuple[DataFrame, DataFrame]:
+def documents(files: DataFrame, parser: Callable[[str, bytes], Iterable[dict]], from_boxes: bool = False) -> tuple[DataFrame, DataFrame]:
     """Clean documents (path, text) of PDFs (path, content), and the files that could not be parsed (path, error)."""
     rows = layout.parsed(files, parser, PARSED)
-    pages, words, tables, lines = page_tables(rows.where("error IS NULL"))
+    pages, words, tables, lines = page_tables(rows.where("error IS NULL"), from_boxes)
     return joined_pages(layout.assembled(pages, words, tables, lines, PAGE)), rows.where("error IS NOT NULL").select("path", "error")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausecut import patterns as P
-from clausecut.operators import clean, gold, labels, layout, metrics, punkt, segment, tokens, windows
+from clausecut.operators import boxes, clean, gold, labels, layout, metrics, punkt, segment, tokens, windows
 from clausecut.plans import acquire, infer, train
 from clausecut.plans import sentence_sql as X
 from clausecut.plans.engine import Corpus
@@ -658,6 +658,60 @@ def evaluated_arrays(spark, sf_dir):
     return infer.evaluated(rows).select("dataset", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
+#: Lines of an order as characters: up to three to a line of the page, some with a blank, a gap or smaller digits within.
+GLYPHS = "'w' || CAST(l_partkey AS STRING) || CASE WHEN l_suppkey % 3 = 0 THEN ' x' ELSE '' END || CAST(l_linenumber AS STRING)"
+GLYPH_X = "((l_linenumber % 3) * 80 + l_suppkey % 10 + 5 * i + CASE WHEN l_partkey % 5 = 0 AND i > 3 THEN 4 ELSE 0 END)"
+GLYPH_TOP = "(floor(l_linenumber / 3) * 20 + l_linenumber % 3)"
+GLYPH_SIZE = "(8 + CASE WHEN l_partkey % 7 = 0 AND i > 4 THEN -2 ELSE 0 END)"
+
+
+def _chars(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").withColumn("t", F.expr(GLYPHS)).select("*", F.posexplode(F.split("t", "")).alias("i", "c"))
+    d = lambda e: F.expr(f"CAST({e} AS DOUBLE)")
+    return rows.select(F.col("l_orderkey").alias("page"), F.expr(f"({WORD_NO}) * 16 + i").alias("char_no"), F.col("c").alias("text"), d(GLYPH_X).alias("x0"), d(f"{GLYPH_X} + 5").alias("x1"), d(GLYPH_TOP).alias("top"), d(f"{GLYPH_TOP} + 10").alias("bottom"), d(GLYPH_SIZE).alias("size"))
+
+
+@query(
+    rf"""WITH g AS (SELECT *, unnest(string_split({GLYPHS}, '')) AS c, unnest(range(0, length({GLYPHS}))) AS i FROM lineitem),
+ h AS (SELECT l_orderkey AS page, ({WORD_NO}) * 16 + i AS no, c, {GLYPH_X}::DOUBLE AS x0, {GLYPH_X}::DOUBLE + 5 AS x1, {GLYPH_TOP}::DOUBLE AS top, {GLYPH_SIZE} AS size FROM g),
+ l AS (SELECT *, sum(n) OVER (PARTITION BY page ORDER BY top, no) AS line FROM (SELECT *, CASE WHEN top - lag(top) OVER (PARTITION BY page ORDER BY top, no) > 3 THEN 1 ELSE 0 END AS n FROM h)),
+ o AS (SELECT *, CASE WHEN lag(x0) OVER w IS NULL OR x0 > lag(x1) OVER w + 3 OR x0 < lag(x0) OVER w OR lag(c) OVER w = ' ' OR size <> lag(size) OVER w THEN 1 ELSE 0 END AS opens FROM l WINDOW w AS (PARTITION BY page, line ORDER BY x0, no)),
+ k AS (SELECT *, sum(opens) OVER (PARTITION BY page, line ORDER BY x0, no) AS word FROM o),
+ r AS (SELECT page, line, word, string_agg(c, '' ORDER BY x0, no) AS text, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(top + 10) AS bottom, min(size)::DOUBLE AS size FROM k WHERE c <> ' ' GROUP BY ALL)
+ SELECT page, row_number() OVER (PARTITION BY page ORDER BY line, word) - 1 AS word_no, text, x0, top, x1, bottom, size FROM r"""
+)
+def words_from_chars(spark, sf_dir):
+    return boxes.words(_chars(spark, sf_dir), PAGE).withColumn("word_no", F.col("word_no").cast("long"))
+
+
+#: Grids of an order: k-th grid's rows and columns, each 40 by 15, one under the other; lines of a grid come in two parts.
+GRIDS_SQL = "orders, (SELECT unnest(range(0, 3)) AS k) WHERE k < o_orderkey % 4"
+GRID = {"rows": "(1 + (o_custkey + k) % 3)", "columns": "(1 + (o_orderkey + k) % 4)", "x": "(20 + o_custkey % 50)", "y": "(50 + 100 * k)"}
+
+
+def _rulings(spark, sf_dir) -> DataFrame:
+    grids = table(spark, sf_dir, "orders").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).where("k < o_orderkey % 4")
+    grids = grids.select(F.col("o_orderkey").alias("page"), "k", *[F.expr(v).cast("double").alias(n) for n, v in GRID.items()])
+    right, low, half = F.col("x") + 40 * F.col("columns"), F.col("y") + 15 * F.col("rows"), F.col("x") + 20
+    box = lambda x0, top, x1, bottom: F.struct(x0.alias("x0"), top.alias("top"), x1.alias("x1"), bottom.alias("bottom"))
+    y = lambda i: F.col("y") + 15 * i
+    x = lambda i: F.col("x") + 40 * i
+    rows = F.sequence(F.lit(0), F.col("rows").cast("int"))
+    columns = F.sequence(F.lit(0), F.col("columns").cast("int"))
+    flat = F.concat(F.transform(rows, lambda i: box(F.col("x"), y(i), half, y(i))), F.transform(rows, lambda i: box(half + 2, y(i), right, y(i))))
+    upright = F.transform(columns, lambda i: box(x(i), F.col("y"), x(i), low))
+    stray = F.array(box(F.col("x"), low + 30, right, low + 30), box(F.col("x") + 5, low + 20, F.col("x") + 6.5, low + 20))
+    return grids.select("page", F.posexplode(F.concat(flat, upright, stray)).alias("no", "b")).select("page", F.col("no").alias("ruling_no"), "b.*")
+
+
+@query(
+    f"""WITH g AS (SELECT o_orderkey AS page, k, {", ".join(f"{v} AS {n}" for n, v in GRID.items())} FROM {GRIDS_SQL})
+ SELECT page, (row_number() OVER (PARTITION BY page ORDER BY k) - 1)::INT AS table_no, x::DOUBLE AS x0, y::DOUBLE AS top, (x + 40 * columns)::DOUBLE AS x1, (y + 15 * rows)::DOUBLE AS bottom, (rows * columns)::INT AS n_cells FROM g WHERE rows * columns > 1"""
+)
+def tables_from_rulings(spark, sf_dir):
+    return boxes.tables(_rulings(spark, sf_dir), PAGE)
+
+
 #: Training as the queries do it: one epoch in steps over a twelfth of the windows each.
 TRAINING = train.Training(bits=16, batches=12, evaluate_every=4)
 
