@@ -13,7 +13,7 @@ from clausecut.operators import boxes, clean, gold, labels, layout, metrics, pun
 from clausecut.plans import acquire, infer, train
 from clausecut.plans import sentence_sql as X
 from clausecut.plans.engine import Corpus
-from clausecut.sources import io, models
+from clausecut.sources import io, models, token_docs
 
 #: A line of an order as a piece of an act, of one to four lines.
 LEGAL = """CASE l_partkey % 8
@@ -43,6 +43,8 @@ def legal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LEGAL_SQL = f"legal AS (SELECT {DOC} AS doc, {LEGAL} AS text FROM lineitem)"
+#: One of the public tokenizers that are installed where Spark runs.
+TOKENIZER = "byte_bpe_50k.json"
 QUERIES, SQL = {}, {}
 
 
@@ -658,6 +660,64 @@ def evaluated_arrays(spark, sf_dir):
     return infer.evaluated(rows).select("dataset", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query(
+    f"""WITH {LEGAL_SQL}, r AS (SELECT 'order ' || (doc // 10000000000000)::VARCHAR AS path, doc AS page, text FROM legal WHERE doc % 5 <> 0)
+ SELECT path, md5(string_agg(text, chr(10) ORDER BY page)) AS text_md5 FROM r GROUP BY path"""
+)
+def raw_pages(spark, sf_dir):
+    """The pages' own text, as the parser gives it; every fifth page has none."""
+    path = F.concat(F.lit("order "), F.expr("doc div 10000000000000").cast("string"))
+    rows = legal(spark, sf_dir).select(F.lit("page").alias("kind"), path.alias("path"), F.col("doc").alias("page"), F.when(F.col("doc") % 5 == 0, "").otherwise(F.col("text")).alias("raw"))
+    return acquire.raw_documents(rows).select("path", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(
+    """WITH f AS (SELECT p_partkey, 'd.1/' || CASE WHEN p_size % 3 = 0 THEN 'sub/' ELSE '' END || p_name || CASE WHEN p_size % 4 = 0 THEN '_clean.txt_v2' ELSE '' END || '_clean.txt' AS path FROM part)
+ SELECT p_partkey, replace(regexp_extract(path, '[^/]*$'), '_clean.txt', '') AS stem FROM f"""
+)
+def file_stems(spark, sf_dir):
+    path = F.concat(F.lit("d.1/"), F.when(F.col("p_size") % 3 == 0, "sub/").otherwise(""), "p_name", F.when(F.col("p_size") % 4 == 0, "_clean.txt_v2").otherwise(""), F.lit("_clean.txt"))
+    return table(spark, sf_dir, "part").select("p_partkey", clean.stem(path).alias("stem"))
+
+
+@query(
+    """WITH t AS (SELECT o_orderkey AS task, o_custkey % 3 AS kind, body FROM (SELECT o_orderkey, o_custkey, o_orderpriority || ' ' || o_orderstatus AS body FROM orders))
+ SELECT task, CASE kind WHEN 0 THEN body WHEN 1 THEN 'plain ' || body ELSE '' END AS text FROM t"""
+)
+def task_texts(spark, sf_dir):
+    """The text of an annotation task: inline in its data, in a column of its own, or none."""
+    body, kind = F.concat_ws(" ", "o_orderpriority", "o_orderstatus"), F.col("o_custkey") % 3
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task"), F.struct(F.when(kind == 0, body).alias("text")).alias("data"), F.when(kind == 1, F.concat(F.lit("plain "), body)).alias("text"))
+    return tasks.select("task", gold.task_text(tasks).alias("text"))
+
+
+@query(
+    rf"""WITH RECURSIVE d AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM d),
+ k AS (SELECT doc_id, i, regexp_matches(x, '[.!?]$') AS ends FROM u WHERE regexp_matches(x, '^[A-Za-z]+[.!?,]?$'))
+ SELECT doc_id, count(*) AS n_words, sum(ends::INT)::BIGINT AS n_ends, count(*) AS n_labelled, sum(ends::INT)::BIGINT AS n_labelled_ends FROM k GROUP BY doc_id"""
+)
+def subword_samples(spark, sf_dir):
+    """Samples of words and labels as subwords, in batches, with a label for each word's first subword: as many labels as words, and as many ends."""
+    words = F.filter(F.split("text", " "), lambda x: x.rlike("^[A-Za-z]+[.!?,]?$"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("tokens")).where(F.size("tokens") > 0).withColumn("sbd_labels", F.transform("tokens", lambda x: x.rlike("[.!?]$").cast("int")))
+    out = infer.aligned(docs.withColumns({"n_words": F.size("tokens").cast("long"), "n_ends": F.aggregate("sbd_labels", F.lit(0).cast("long"), lambda a, x: a + x)}), TOKENIZER, 1 << 20)
+    n = lambda f: F.size(F.filter("labels", f)).cast("long")
+    return out.select("doc_id", "n_words", "n_ends", n(lambda x: x != P.IGNORED).alias("n_labelled"), n(lambda x: x == 1).alias("n_labelled_ends"))
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, {TOKEN_SQL}) AS ts FROM documents)
+ SELECT doc_id::VARCHAR AS doc, md5(array_to_string(ts, ' ')) AS tokens_md5, list_sum(list_transform(range(1, len(ts) + 1), lambda i: CASE WHEN i = 1 OR ts[i - 1] IN ('.', '?', '!') THEN i - 1 ELSE 0 END))::BIGINT AS starts_sum FROM t WHERE len(ts) > 0"""
+)
+def token_documents(spark, sf_dir):
+    """Tokens and the places where sentences start, written as binary token documents and read back."""
+    t = table(spark, sf_dir, "documents").select("doc_id", tokens.tokenize(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (i == 0) | F.get("tokens", i - 1).isin(*labels.STOPS))
+    path = models.new_folder(spark, "token-docs")
+    token_docs.write(t.withColumn("starts", starts), path, doc="doc_id")
+    return token_docs.read(spark, path).select("doc", _joined(F.col("tokens")).alias("tokens_md5"), F.aggregate("starts", F.lit(0).cast("long"), lambda a, x: a + x).alias("starts_sum"))
+
+
 #: Lines of an order as characters: up to three to a line of the page, some with a blank, a gap or smaller digits within.
 GLYPHS = "'w' || CAST(l_partkey AS STRING) || CASE WHEN l_suppkey % 3 = 0 THEN ' x' ELSE '' END || CAST(l_linenumber AS STRING)"
 GLYPH_X = "((l_linenumber % 3) * 80 + l_suppkey % 10 + 5 * i + CASE WHEN l_partkey % 5 = 0 AND i > 3 THEN 4 ELSE 0 END)"
