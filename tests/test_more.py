@@ -12,6 +12,7 @@ from clausecut import __main__ as cli
 from clausecut.functions import text
 from clausecut.operators import gold, labels, layout, metrics, segment
 from clausecut.sources import io
+from tests import plain
 
 
 def test_sums_before(spark):
@@ -40,7 +41,7 @@ def test_spans_meet_tokens_as_rows_do(spark):
     inside = df.select("doc", F.explode(gold.aligned_in(F.col("spans"), F.col("tokens"))).alias("s")).select("doc", "s.*")
     spans = df.select("doc", F.explode("spans").alias("s")).select("doc", "s.*")
     tokens = df.select("doc", F.explode("tokens").alias("t")).select("doc", "t.*")
-    joined = gold.aligned(spans, tokens, ("doc",))
+    joined = plain.aligned(spans, tokens, ("doc",))
     assert sorted(map(str, inside.collect())) == sorted(map(str, joined.select(*inside.columns).collect()))
     starts = df.select("doc", F.explode(gold.start_places(gold.aligned_in(F.col("spans"), F.col("tokens")), True)).alias("k"))
     flagged = gold.sentence_starts(tokens, joined, ("doc",), True).where("is_sent_start").select("doc", "tok_no")

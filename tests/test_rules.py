@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clausecut import patterns as P
 from clausecut.operators import gold, labels, layout, metrics, tokens, windows
 from clausecut.plans.engine import Corpus, silver
+from tests import plain
 
 
 def ends(spark, label, text):
@@ -113,7 +114,7 @@ def test_gold_spans(spark, tmp_path):
     assert [(r.act_id, r.path) for r in loose] == [("act_2021_8", "d/act_2021_81_x_clean.txt")]
     toks = files.where("path LIKE '%_8_x_clean.txt'").select(F.lit("act_2021_8").alias("act_id"), F.explode(gold.token_offsets(F.col("text"))).alias("t")).select("act_id", "t.*")
     assert [text[r.char_start : r.char_end] for r in toks.collect()] == [r.tok for r in toks.collect()]
-    aligned = gold.aligned(spans, toks, ("act_id",))
+    aligned = plain.aligned(spans, toks, ("act_id",))
     assert {r.span_no: r.tok for r in aligned.collect()} == {0: "𝒳", 1: "Ala", 2: None, 3: None}
     assert [r.tok_no for r in gold.sentence_starts(toks, aligned, ("act_id",)).where("is_sent_start").orderBy("tok_no").collect()] == [0, 4]
     report = gold.alignment_report(aligned, found.select("act_id", "text").distinct()).first()
