@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clausecut import __main__ as cli
 from clausecut.functions import text
 from clausecut.operators import gold, labels, layout, metrics, segment
+from clausecut.plans.engine import Corpus
 from clausecut.sources import io
 from tests import plain
 
@@ -146,3 +147,13 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     (tmp_path / "2020" / "act_2020_1_x_clean.txt").write_text("Ala ma kota. To pies.")
     cli.main(["segment", "--texts", str(tmp_path / "2020"), "--scorer", "tests.test_more:stops", "--output", str(tmp_path / "sentences")])
     assert sorted(r.sentence for r in spark.read.parquet(str(tmp_path / "sentences")).collect()) == ["Ala ma kota.", "To pies."]
+
+
+def test_headers_as_sql_reads_them(spark):
+    """The rules' \\w holds all letters; RE2's, and so that of the SQL of silver_windows_single_line, ASCII alone (document 245 of sf0.1)."""
+    x = ["1219538112535716 Éaielletre.", "En la des et.", "2a.", "ROZDZIAŁ 3.", "Tekst"]
+    assert segment.paired(x) == ["1219538112535716 Éaielletre. En la des et.", "2a. ROZDZIAŁ 3.", "Tekst"]
+    assert segment.paired(x, ascii_words=True) == ["1219538112535716 Éaielletre.", "En la des et.", "2a. ROZDZIAŁ 3.", "Tekst"]
+    docs = spark.createDataFrame([("Pierwsze zdanie tekstu. 1219538112535716 Éaielletre. En la des et.",)], "text string")
+    assert len(Corpus(docs).sentences_single_line().df.first().sentences) == 2
+    assert len(Corpus(docs).sentences_single_line(ascii_words=True).df.first().sentences) == 3
