@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from clausecut.__main__ import main
@@ -71,3 +72,33 @@ def test_command_line(spark, tmp_path, capsys):
     assert "  train: 1 windows | 14 tokens | 3 sentence boundaries" in capsys.readouterr().out
     assert [len(r.tokens) for r in spark.read.parquet(f"{tmp_path}/gold").collect()] == [12]
     assert [x.text for x in spark.read.json(f"{tmp_path}/extract").first().sentences] == ["Pierwsze zdanie tekstu jest tutaj.", "Drugie zdanie tekstu jest tam."]
+
+
+def test_lots_of_words():
+    rows = pa.array([["a"] * n for n in (3, 0, 2, 9, 1, 1, 0)], pa.list_(pa.string()))
+    for part in (rows, rows.slice(2), rows.slice(7)):
+        lots = list(infer._lots(part, 5))
+        assert [x for lot in lots for x in lot.to_pylist()] == part.to_pylist() and all(len(lot) == 1 or len(lot.flatten()) <= 5 for lot in lots)
+    assert [len(x) for x in infer._lots(rows, 5)] == [3, 1, 3]
+
+
+def test_subwords_over_lots(spark):
+    """A batch of several lots, with empty rows and one that is longer than a lot."""
+    words = [["Ala", "ma", "kota", "."] * (i % 5 * 300) for i in range(50)] + [["a"] * (infer.WORDS_AT_ONCE + 5)]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc int, words array<string>").coalesce(1)
+    got = {r.doc: r.s for r in rows.select("doc", infer.subwords(F.col("words"), "word_bpe_49k.json", 1 << 20).alias("s")).collect()}
+    for i, w in enumerate(words):
+        assert sorted({x for x in got[i].word_ids if x is not None}) == list(range(len(w))) and len(got[i].input_ids) == len(got[i].word_ids)
+
+
+def test_spans_are_cut_where_their_text_is(spark, sf):
+    """Neither a row for each span with the whole text, nor a shuffle."""
+    from clausecut.operators import gold
+    from clausecut.plans import queries
+
+    assert "Exchange" not in queries.extracted_spans(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([("a", k, 2 * k, 2 * k + 3, "abcdefgh") for k in (2, 0, 1)], "act_id string, span_no int, start int, end int, text string")
+    out = gold.extracted(rows)
+    assert [tuple(s) for s in out.first().sentences] == [(0, 3, "abc"), (2, 5, "cde"), (4, 7, "efg")]
+    one = spark.createDataFrame([("abcdefgh", [(0, 3), (2, 5), (4, 7)])], "text string, spans array<struct<start:int,end:int>>")
+    assert one.select(gold.sliced_in(F.col("text"), F.col("spans")).alias("s")).first().s == out.first().sentences
