@@ -56,10 +56,15 @@ def sliced(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 
 
+def sliced_in(text: Column, spans: Column) -> Column:
+    """Array of (start_offset, end_offset, text) of a text's spans (start, end): the spans' own text, where the whole one is."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start_offset"), s["end"].alias("end_offset"), sliced(text, s["start"], s["end"]).alias("text")))
+
+
 def extracted(task_spans: DataFrame) -> DataFrame:
-    """(act_id, sentences: array of start_offset, end_offset, text) as annotated, in stored order."""
-    one = F.struct("span_no", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), sliced(F.col("text"), F.col("start"), F.col("end")).alias("text"))
-    listed = task_spans.groupBy("act_id").agg(F.array_sort(F.collect_list(one)).alias("x"))
+    """(act_id, sentences: array of start_offset, end_offset, text) as annotated, in stored order. Spans are cut out before they meet, so that no row takes a whole text along."""
+    cut = task_spans.select("act_id", "span_no", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), sliced(F.col("text"), F.col("start"), F.col("end")).alias("text"))
+    listed = cut.groupBy("act_id").agg(F.array_sort(F.collect_list(F.struct("span_no", "start_offset", "end_offset", "text"))).alias("x"))
     return listed.select("act_id", F.transform("x", lambda s: F.struct(s["start_offset"].alias("start_offset"), s["end_offset"].alias("end_offset"), s["text"].alias("text"))).alias("sentences"))
 
 
