@@ -1,6 +1,7 @@
 """Acquisition, inference and the command line."""
 
 import json
+import random
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -102,3 +103,27 @@ def test_spans_are_cut_where_their_text_is(spark, sf):
     assert [tuple(s) for s in out.first().sentences] == [(0, 3, "abc"), (2, 5, "cde"), (4, 7, "efg")]
     one = spark.createDataFrame([("abcdefgh", [(0, 3), (2, 5), (4, 7)])], "text string, spans array<struct<start:int,end:int>>")
     assert one.select(gold.sliced_in(F.col("text"), F.col("spans")).alias("s")).first().s == out.first().sentences
+
+
+def test_segmented_within_the_row(spark):
+    """No shuffle; several windows of a document are pooled as rows of tokens are, and a document's key may come twice."""
+    from clausecut.operators import tokens, windows
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("a bb . ; ccc 7".split()) for _ in range(n)) for n in (1, 174, 175, 176, 349, 350, 351, 525, 526, 900)]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None), (98, " ")], "doc int, text string")
+    value = lambda w: [float((len(t) * 7 + i * 5 + len(w)) % 11 - 5) for i, t in enumerate(w)][:340]
+    sentences, summary = infer.segmented(docs, lambda: lambda batch: [value(w) for w in batch])
+    rows = tokens.exploded(docs.withColumn("_t", tokens.tokenize_collapsed(F.col("text"))), "_t", "doc")
+    listed = windows.sliding(rows, ("doc",)).groupBy("doc", "window_no").agg(F.array_sort(F.collect_list(F.struct("tok_no", "tok"))).alias("w")).collect()
+    logits = [(r.doc, x.tok_no, v) for r in listed for x, v in zip(r.w, value([y.tok for y in r.w]), strict=False)]
+    pooled = windows.pooled(rows, spark.createDataFrame(logits, "doc int, tok_no int, logit double"), ("doc",))
+    want = sorted(map(tuple, windows.grouped_sentences(pooled, ("doc",)).collect()))
+    assert sorted(map(tuple, sentences.collect())) == want
+    assert sorted(map(tuple, summary.collect())) == sorted((r.doc, r.n, r.k) for r in pooled.groupBy("doc").agg(F.count("*").alias("n"), F.sum("label").alias("k")).collect())
+    by = lambda d: d.withColumn("scores", F.flatten(F.transform("windows", lambda w: F.transform(w, lambda t, i: ((F.length(t) * 7 + i * 5) % 11 - 5).cast("double")))))
+    whole = lambda w: [float((len(t) * 7 + i * 5) % 11 - 5) for i, t in enumerate(w)]
+    assert sorted(map(tuple, infer.segmented(docs, by=by)[0].collect())) == sorted(map(tuple, infer.segmented(docs, lambda: lambda batch: [whole(w) for w in batch])[0].collect()))
+    assert "Exchange" not in sentences._jdf.queryExecution().executedPlan().toString()
+    twice = infer.segmented(docs.union(docs), lambda: lambda batch: [value(w) for w in batch])[1]
+    assert sorted(map(tuple, twice.collect())) == sorted(2 * list(map(tuple, summary.collect())))
