@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from clausecut import patterns as P
-from clausecut.functions.text import basename, let, strip, sums_before
+from clausecut.functions.text import basename, let, strip
 from clausecut.operators.clean import act_id
 from clausecut.operators.tokens import tokenize
 
@@ -113,45 +116,71 @@ def packed(sentences: Column, full: int = P.GOLD_FULL, least: int = P.GOLD_LEAST
     return let(F.struct(split.alias("t"), ranges(F.transform(sentences, lambda s: F.size(tokenize(s)))).alias("r")), windows)
 
 
-def token_offsets(text: Column) -> Column:
-    """Array of (tok_no, tok, char_start, char_end) in code points: running lengths of tokens and the gaps before them."""
-    both = F.arrays_zip(F.split(text, P.TOKEN, -1).alias("g"), F.regexp_extract_all(text, F.lit(P.TOKEN), F.lit(0)).alias("t"))
+@F.arrow_udf(ArrayType(IntegerType()))
+def _ends(gaps: pa.Array, sizes: pa.Array) -> pa.Array:
+    """Ends of a text's tokens, from their sizes and those of the gaps before them (one more gap, after the last, may follow)."""
+    offsets, size = sizes.offsets.to_numpy().astype(np.int64), sizes.values.to_numpy(zero_copy_only=False)
+    each = np.diff(offsets)
+    inside = np.arange(offsets[-1] - offsets[0]) - np.repeat(offsets[:-1] - offsets[0], each)
+    gap = gaps.values.to_numpy(zero_copy_only=False)[np.repeat(gaps.offsets.to_numpy()[:-1].astype(np.int64), each) + inside]
+    sums = np.cumsum(np.concatenate([[0], gap + size[offsets[0] : offsets[-1]]]).astype(np.int64))
+    before = np.repeat(sums[offsets[:-1] - offsets[0]], each)
+    return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array((sums[1:] - before).astype(np.int32)))
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _touched(starts: pa.Array, stops: pa.Array, sizes: pa.Array, ends: pa.Array) -> pa.Array:
+    """For each span (start, stop) of a text, the place of the first token that it touches, null where none, from the tokens' sizes and ends.
+
+    All texts of a batch are looked up together: a place is its text's number in the upper bits and its offset in the lower.
+    """
+    tokens, spans = ends.offsets.to_numpy().astype(np.int64), starts.offsets.to_numpy().astype(np.int64)
+    rows = np.arange(len(ends), dtype=np.int64) << 33
+    end = ends.values.to_numpy(zero_copy_only=False).astype(np.int64)[tokens[0] : tokens[-1]] + np.repeat(rows, np.diff(tokens))
+    first = sizes.offsets.to_numpy()
+    begin = end - sizes.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]]
+    start, stop = starts.values[spans[0] : spans[-1]], stops.values[stops.offsets[0].as_py() : stops.offsets[-1].as_py()]
+    given = np.logical_and(*(x.is_valid().to_numpy(zero_copy_only=False) for x in (start, stop)))
+    start, stop = (x.fill_null(0).to_numpy(zero_copy_only=False) + np.repeat(rows, np.diff(spans)) for x in (start, stop))
+    low, high = (np.repeat(x - tokens[0], np.diff(spans)) for x in (tokens[:-1], tokens[1:]))
+    at = np.maximum(np.searchsorted(end, start, side="right"), low)
+    hit = given & (at < high)
+    hit[hit] = begin[at[hit]] < stop[hit]
+    return pa.ListArray.from_arrays(pa.array((spans - spans[0]).astype(np.int32)), pa.array((at - low).astype(np.int32), mask=~hit))
+
+
+def token_sizes(text: Column) -> tuple[Column, Column]:
+    """Sizes of the gaps before a text's tokens (and of what follows the last) and of the tokens, in code points."""
+    return F.transform(F.split(text, P.TOKEN, -1), lambda x: F.length(x)), F.transform(tokenize(text), lambda x: F.length(x))
 
-    def rows(b: Column) -> Column:
-        before = sums_before(F.transform(b, lambda x: (F.length(x["g"]) + F.coalesce(F.length(x["t"]), F.lit(0))).cast("long")))
 
-        def one(z: Column, i: Column) -> Column:
-            start = (z["n"] + F.length(z["x"]["g"])).cast("int")
-            return F.struct(i.alias("tok_no"), z["x"]["t"].alias("tok"), start.alias("char_start"), (start + F.length(z["x"]["t"])).alias("char_end"))
+def token_offsets(text: Column) -> Column:
+    """Array of (tok_no, tok, char_start, char_end) in code points: running lengths of tokens and the gaps before them."""
+    both = F.arrays_zip(tokenize(text).alias("t"), _ends(*token_sizes(text)).alias("e"))
+    return F.transform(both, lambda x, i: F.struct(i.alias("tok_no"), x["t"].alias("tok"), (x["e"] - F.length(x["t"])).alias("char_start"), x["e"].alias("char_end")))
 
-        return F.transform(F.filter(F.arrays_zip(b.alias("x"), before.alias("n")), lambda z: z["x"]["t"].isNotNull()), one)
 
-    return let(both, rows)
+def places_in(spans: Column, gaps: Column, sizes: Column) -> Column:
+    """For each of a text's spans (start, end), in order, the number of the first token that it touches, null where none; gaps and sizes are token_sizes()."""
+    return F.when(sizes.isNotNull() & spans.isNotNull(), _touched(F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]), sizes, _ends(gaps, sizes)))
 
 
 def aligned_in(spans: Column, tokens: Column) -> Column:
     """Array of (span_no, start, end, tok_no, tok) from a text's spans (span_no, start, end) and its token_offsets(): the first token each touches, null where none.
 
-    Ends of tokens and starts of spans are sorted together; the tokens that end before a span are counted. No row leaves its
-    place, and time is that of the sort.
+    Offsets alone go through Arrow, where spans are looked up among the ends of tokens. No row leaves its place.
     """
+    sizes, ends = F.transform(tokens, lambda t: t["char_end"] - t["char_start"]), F.transform(tokens, lambda t: t["char_end"])
+    at = F.when(tokens.isNotNull(), _touched(F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]), sizes, ends))
 
-    def find(both: Column) -> Column:
-        ends = F.transform(both["t"], lambda t: F.struct(t["char_end"].alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("i")))
-        starts = F.transform(both["s"], lambda s, i: F.struct(s["start"].alias("at"), F.lit(1).alias("kind"), i.alias("i")))
-
-        def counted(events: Column) -> Column:
-            before = sums_before(F.transform(events, lambda e: (1 - e["kind"]).cast("long")))
-            return F.filter(F.arrays_zip(events.alias("e"), before.alias("n")), lambda z: z["e"]["kind"] == 1)
+    def found(both: Column) -> Column:
+        def one(s: Column, n: Column) -> Column:
+            t = F.get(both["t"], n)
+            return F.struct(s["span_no"].alias("span_no"), s["start"].alias("start"), s["end"].alias("end"), t["tok_no"].alias("tok_no"), t["tok"].alias("tok"))
 
-        def one(z: Column) -> Column:
-            s, t = F.get(both["s"], z["e"]["i"]), F.get(both["t"], z["n"].cast("int"))
-            hit = t["char_start"] < s["end"]
-            return F.struct(s["span_no"].alias("span_no"), s["start"].alias("start"), s["end"].alias("end"), F.when(hit, t["tok_no"]).alias("tok_no"), F.when(hit, t["tok"]).alias("tok"))
+        return F.zip_with(both["s"], both["n"], one)
 
-        return F.transform(let(F.array_sort(F.concat(ends, starts)), counted), one)
-
-    return let(F.struct(spans.alias("s"), tokens.alias("t")), find)
+    return let(F.struct(spans.alias("s"), tokens.alias("t"), at.alias("n")), found)
 
 
 def sentence_starts(token_rows: DataFrame, aligned_spans: DataFrame, keys: tuple[str, ...], first_too: bool = False) -> DataFrame:
@@ -163,8 +192,13 @@ def sentence_starts(token_rows: DataFrame, aligned_spans: DataFrame, keys: tuple
 
 def start_places(aligned: Column, first_too: bool = False) -> Column:
     """From aligned_in(): the places of tokens that begin a span, in order, and with first_too the text's first."""
-    found = F.transform(F.filter(aligned, lambda s: s["tok_no"].isNotNull()), lambda s: s["tok_no"])
-    return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), found) if first_too else found))
+    return distinct_places(F.transform(aligned, lambda s: s["tok_no"]), first_too)
+
+
+def distinct_places(places: Column, first_too: bool = False) -> Column:
+    """From places_in(): each place of a token that begins a span once, in order, and with first_too the text's first."""
+    found = F.array_compact(places)
+    return F.sort_array(F.array_distinct(F.concat(F.array(F.lit(0)), found) if first_too else found))
 
 
 def alignment_report(aligned_spans: DataFrame, texts: DataFrame) -> DataFrame:

@@ -157,3 +157,18 @@ def test_headers_as_sql_reads_them(spark):
     docs = spark.createDataFrame([("Pierwsze zdanie tekstu. 1219538112535716 Éaielletre. En la des et.",)], "text string")
     assert len(Corpus(docs).sentences_single_line().df.first().sentences) == 2
     assert len(Corpus(docs).sentences_single_line(ascii_words=True).df.first().sentences) == 3
+
+
+def test_places_of_many_texts(spark):
+    """Null, empty and blank texts, spans before, behind and across others, null bounds; and no fold over tokens is interpreted."""
+    spans = [(0, 2), (2, 3), (3, 9), (-5, 1), (-9, -2), (7, 7), (90, 99), (None, 4), (1, None), (0, 2_000_000_000)]
+    texts = ["Ala ma kota.", None, "", "   ", "  é𝒳 12", "Ala ma kota."]
+    want = {0: [0, 0, 1, 0, None, None, None, None, None, 0], 4: [None, 0, 0, None, None, None, None, None, None, 0]}
+    df = spark.createDataFrame([(i, t, spans) for i, t in enumerate(texts)], "doc int, text string, spans array<struct<start:int,end:int>>").coalesce(1)
+    df = df.select("doc", gold.places_in(F.col("spans"), *gold.token_sizes(F.col("text"))).alias("p"))
+    got = {r.doc: r.p for r in df.collect()}
+    assert got[0] == got[5] == want[0] and got[4] == want[4] and got[1] is None and got[2] == got[3] == [None] * len(spans)
+    from clausecut.plans import queries
+
+    plan = queries.QUERIES["sentence_starts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "Exchange" not in plan
