@@ -1,5 +1,8 @@
 r"""Language-model scoring with a hierarchical Pitman-Yor model.
 
+scored() takes the word before as a word's context: see word_contexts.py. What follows is the coarser model that it fits with
+by_class=True.
+
 A word's context is the class of the word before it: one of CLASSES, by a hash (a text's first word has the class of the
 empty word). Each class is a restaurant; all share one parent, the unigram restaurant, whose base is uniform over the V
 training words and one more, unknown, word. A dish is a word, so everything about a word - its customers and tables in
@@ -41,14 +44,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausecut.llm import word_contexts
 from clausecut.llm.common import Scratch, tidy
-from clausecut.llm.seating import Weights, mixed, seated
+from clausecut.llm.seating import BURN_IN, D1, SAMPLES, THETA, THETA1, D, Weights, mixed, seated
 
 CLASSES = 256
 FREQUENT = 1 << 15
-#: Discounts and strengths of the context restaurants and of the parent.
-D, THETA, D1, THETA1 = 0.75, 1.0, 0.8, 1.0
-BURN_IN, SAMPLES = 3, 3
 #: Tokens looked up at once, documents read at once, counted together, and looked up together, which bounds a worker's memory.
 SLICE, TEXTS, COMBINED, LOOKED_UP = 1 << 18, 1024, 3072, 3072
 #: Rows merged in one partition, and words in a packed row.
@@ -320,11 +321,23 @@ class Table:
         return out
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, by_class: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+
+    A word's context is the word before it; by_class=True takes that word's class instead, a coarser and cheaper model.
+    """
+    out = is_held_out(id_col) if held_out is None else held_out
+    if not by_class:
+        kind = docs.schema[id_col].dataType.simpleString()
+        done = word_contexts.scored(docs.select(F.col(id_col).cast("string").alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text")))
+        done = done.withColumn("doc_id", F.col("doc_id").cast(kind))
+        return done.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    return _scored_by_class(docs, id_col, text_col, out)
+
+
+def _scored_by_class(docs: DataFrame, id_col: str, text_col: str, out: Column) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    out = is_held_out(id_col) if held_out is None else held_out
     docs = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"))
     words = scratch.write(counted(docs.where(~F.col("held_out")), scratch), "words")
     scratch.drop("batches")

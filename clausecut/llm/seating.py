@@ -16,6 +16,9 @@ from functools import lru_cache
 
 import numpy as np
 
+#: Discounts and strengths of the context restaurants and of the parent; sweeps before the samples, and samples.
+D, THETA, D1, THETA1 = 0.75, 1.0, 0.8, 1.0
+BURN_IN, SAMPLES = 3, 3
 #: Customers of exact draws, steps of the others, and places looked at together.
 TABLE, STEPS, CELLS = 512, 12, 1 << 20
 
