@@ -56,6 +56,10 @@ class Scratch:
                 p = hadoop(path)
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def forget_shuffles(self) -> None:
+        """Spark deletes the shuffles of plans that the driver has no more references to, but looks for them only when its memory is collected; so it is, after jobs that shuffled much."""
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
@@ -129,18 +133,23 @@ def by_key(batches, *keys: str):
         yield pd.concat(held, ignore_index=True)
 
 
+def trimmed() -> None:
+    """Gives a worker's freed memory back to the system."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def tidy(f):
     """f over the batches of a partition; then the worker, which lives on for other tasks, gives freed memory back to the system."""
 
     @functools.wraps(f)
     def run(batches):
         yield from f(batches)
-        import pyarrow
-
-        pyarrow.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+        trimmed()
 
     return run

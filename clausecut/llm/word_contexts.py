@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausecut.llm.common import Scratch, tidy
+from clausecut.llm.common import Scratch, tidy, trimmed
 from clausecut.llm.seating import BURN_IN, D1, SAMPLES, THETA, THETA1, D, Weights, mixed, seated
 
 #: Bytes of text whose words make a shard, documents counted together, and documents split into words at once.
@@ -67,7 +68,9 @@ class Reader:
     """Tokens of lots of texts as numbers of words in the order of their first use; the empty word is 0."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = {b"": 0}
+        self.number: dict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.number[b""] = 0
 
     def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: its word, the word before it, and its text's place."""
@@ -75,9 +78,6 @@ class Reader:
         for t in texts:
             words = (t or b"").lower().split()  # of bytes: ASCII only
             words.append(END)
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
             ids.append(np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words)))
             sizes.append(len(words))
         flat = np.concatenate(ids)
@@ -93,6 +93,7 @@ def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for a in range(0, whole.num_rows, COMBINED):
             yield whole.slice(a, COMBINED)
+            trimmed()
 
 
 def read(batch: pa.RecordBatch) -> tuple[Reader, np.ndarray, np.ndarray]:
@@ -111,25 +112,29 @@ def cuts(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], cut]), np.concatenate([cut, [len(sorted_values)]])
 
 
-def count(batches: Iterator[pa.RecordBatch], shards: int, seed: int) -> Iterator[pa.RecordBatch]:
+def counted(batch: pa.RecordBatch, shards: int, seed: int) -> pa.RecordBatch:
     """A row for each shard of a batch: its words and their pairs."""
+    reader, key, _ = read(batch)
+    names, checks = reader.names(seed), reader.names(~seed & 0xFFFFFFFF)
+    del reader, _
+    key.sort()
+    starts, ends = cuts(key)
+    key, n = key[starts], ends - starts
+    shard = (names[key >> 32] % U8(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    word, before, n, shard = key[order] >> 32, key[order] & 0xFFFFFFFF, n[order], shard[order]
+    rows = []
+    for a, z in zip(*(x.tolist() for x in cuts(shard)), strict=True):
+        first, last = cuts(word[a:z])
+        own = word[a:z][first]
+        rows.append((int(shard[a]), names[own].tobytes(), checks[own].tobytes(), (last - first).astype("<u4").tobytes(), names[before[a:z]].tobytes(), short(n[a:z])))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=["shard", "names", "checks", "each", "contexts", "counts"])
+
+
+def count(batches: Iterator[pa.RecordBatch], shards: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in lots(batches):
-        if not batch.num_rows:
-            continue
-        reader, key, _ = read(batch)
-        names, checks = reader.names(seed), reader.names(~seed & 0xFFFFFFFF)
-        key.sort()
-        starts, ends = cuts(key)
-        key, n = key[starts], ends - starts
-        shard = (names[key >> 32] % U8(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        word, before, n, shard = key[order] >> 32, key[order] & 0xFFFFFFFF, n[order], shard[order]
-        rows = []
-        for a, z in zip(*(x.tolist() for x in cuts(shard)), strict=True):
-            first, last = cuts(word[a:z])
-            own = word[a:z][first]
-            rows.append((int(shard[a]), names[own].tobytes(), checks[own].tobytes(), (last - first).astype("<u4").tobytes(), names[before[a:z]].tobytes(), short(n[a:z])))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=["shard", "names", "checks", "each", "contexts", "counts"])
+        if batch.num_rows:
+            yield counted(batch, shards, seed)
 
 
 def merged(b: pd.DataFrame) -> pd.DataFrame:
@@ -211,7 +216,7 @@ def begun(model: pd.DataFrame, answers: pd.DataFrame, places: int) -> pd.DataFra
         fixed = heard(answers, every, places, 1)[:, 0]
         single = np.bincount(word[~live], minlength=len(names))
         out.append({
-            "shard": r["shard"], "names": r["names"], "single": short(single), "word": word[live].astype("<u4").tobytes(), "on": on.astype("<u4").tobytes(), "contexts": every.tobytes(), "fixed": fixed.astype("<i8").tobytes(),
+            "shard": r["shard"], "names": r["names"], "single": short(single), "word": short(np.bincount(word[live], minlength=len(names))), "on": on.astype("<u4").tobytes(), "contexts": every.tobytes(), "fixed": short(fixed),
             "counts": short(n[live]), "tables": short(np.ones(len(on))), "t1": short(np.ones(len(names))), "samples": [], "parents": [], "top": len(n), "top1": len(names),
         })
     return pd.DataFrame(out, columns=[c.split()[0] for c in STATE_ROW.split(", ")])
@@ -229,9 +234,10 @@ def tables(batches: Iterator[pd.DataFrame], places: int) -> Iterator[pd.DataFram
 def drawn(state: pd.DataFrame, answers: pd.DataFrame, places: int, top: int, top1: int, vocabulary: int, turn: int, kept: bool) -> pd.DataFrame:
     out = []
     for r in state.to_dict("records"):
-        names, contexts, word, on = u8(r["names"]), u8(r["contexts"]), u4(r["word"]), u4(r["on"])
+        names, contexts, on = u8(r["names"]), u8(r["contexts"]), u4(r["on"])
+        word = np.repeat(np.arange(len(names)), full(r["word"], len(names)))  # pairs are sorted by word
         n, t, t1, single = full(r["counts"], len(on)), full(r["tables"], len(on)), full(r["t1"], len(names)), full(r["single"], len(names))
-        below = (heard(answers, contexts, places, 1)[:, 0] + np.frombuffer(r["fixed"], "<i8"))[on].astype(np.float64)
+        below = (heard(answers, contexts, places, 1)[:, 0] + full(r["fixed"], len(contexts)))[on].astype(np.float64)
         base = 1.0 / (vocabulary + 1)
         others = (np.bincount(word, weights=t, minlength=len(names)).astype(np.int64) + single)[word] - t
         given = others - D1 * np.minimum(t1[word], np.maximum(others, 1)) + (THETA1 + D1 * top1) * base
@@ -273,30 +279,33 @@ LOOK = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("place", pa.int6
 LOOK_ROW = "shard long, kind int, place long, names binary, each binary, contexts binary, counts binary, texts binary, samples array<binary>, parents array<binary>, rid long, doc_id string, held_out boolean, n_tokens long"
 
 
-def look(batches: Iterator[pa.RecordBatch], shards: int, seed: int) -> Iterator[pa.RecordBatch]:
+def looked_up(batch: pa.RecordBatch, shards: int, seed: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
     """A row for each text, and one for each shard of a batch: its words, their pairs, and in which texts each occurs."""
+    reader, key, of = read(batch)
+    names, rid, size = reader.names(seed), batch.column("rid").to_numpy(), batch.num_rows
+    del reader
+    columns = {"shard": pa.array(rid % shards), "kind": pa.array(np.full(size, 4, np.int32)), **{k: batch.column(k) for k in ("rid", "doc_id", "held_out")}, "n_tokens": pa.array(np.bincount(of, minlength=size))}
+    texts = pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in LOOK], schema=LOOK)
+    order = np.argsort(key, kind="stable")
+    key, of = key[order], of[order]
+    starts, ends = cuts(key)
+    key, n = key[starts], ends - starts
+    shard = (names[key >> 32] % U8(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    word, before, n, starts, shard = key[order] >> 32, key[order] & 0xFFFFFFFF, n[order], starts[order], shard[order]
+    rows = []
+    for a, z in zip(*(x.tolist() for x in cuts(shard)), strict=True):
+        first, last = cuts(word[a:z])
+        m = n[a:z]
+        at = np.repeat(starts[a:z] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        rows.append({"shard": int(shard[a]), "kind": 3, "names": names[word[a:z][first]].tobytes(), "each": (last - first).astype("<u4").tobytes(), "contexts": names[before[a:z]].tobytes(), "counts": short(m), "texts": of[at].tobytes(), "rid": int(rid[0])})
+    return texts, pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in LOOK], schema=LOOK)
+
+
+def look(batches: Iterator[pa.RecordBatch], shards: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in lots(batches):
-        if not batch.num_rows:
-            continue
-        reader, key, of = read(batch)
-        names, rid = reader.names(seed), batch.column("rid").to_numpy()
-        size = batch.num_rows
-        columns = {"shard": pa.array(rid % shards), "kind": pa.array(np.full(size, 4, np.int32)), **{k: batch.column(k) for k in ("rid", "doc_id", "held_out")}, "n_tokens": pa.array(np.bincount(of, minlength=size))}
-        yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in LOOK], schema=LOOK)
-        order = np.argsort(key, kind="stable")
-        key, of = key[order], of[order]
-        starts, ends = cuts(key)
-        key, n = key[starts], ends - starts
-        shard = (names[key >> 32] % U8(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        word, before, n, starts, shard = key[order] >> 32, key[order] & 0xFFFFFFFF, n[order], starts[order], shard[order]
-        rows = []
-        for a, z in zip(*(x.tolist() for x in cuts(shard)), strict=True):
-            first, last = cuts(word[a:z])
-            m = n[a:z]
-            at = np.repeat(starts[a:z] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            rows.append({"shard": int(shard[a]), "kind": 3, "names": names[word[a:z][first]].tobytes(), "each": (last - first).astype("<u4").tobytes(), "contexts": names[before[a:z]].tobytes(), "counts": short(m), "texts": of[at].tobytes(), "rid": int(rid[0])})
-        yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in LOOK], schema=LOOK)
+        if batch.num_rows:
+            yield from looked_up(batch, shards, seed)
 
 
 class Shard:
@@ -398,6 +407,7 @@ def fitted(train: DataFrame, scratch: Scratch, shards: int, places: int, seed: i
         step = partial(drawn, places=places, top=top, top1=top1, vocabulary=vocabulary, turn=turn, kept=turn >= BURN_IN)
         state = scratch.write(joined(state, answers, step), f"state{turn}")
         scratch.drop(old)
+        scratch.forget_shuffles()
         old = f"state{turn}"
         if turn >= BURN_IN:
             tops.append([x or 0 for x in state.agg(F.sum("top"), F.sum("top1")).first()])
@@ -416,6 +426,7 @@ def scored(docs: DataFrame) -> DataFrame:
             break
         scratch.drop()
     model, state, n, vocabulary, top, top1 = found
+    scratch.forget_shuffles()
 
     def rows(df: DataFrame, kind: int, **columns) -> DataFrame:
         have = {**{c: F.col(c) for c in df.columns}, "kind": F.lit(kind), **columns}
