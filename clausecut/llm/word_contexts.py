@@ -34,7 +34,7 @@ from clausecut.llm.common import Scratch, tidy, trimmed
 from clausecut.llm.seating import BURN_IN, D1, SAMPLES, THETA, THETA1, D, Weights, mixed, seated
 
 #: Bytes of text whose words make a shard, documents counted together, and documents split into words at once.
-SHARD, COMBINED, TEXTS = 16 << 20, 3072, 1024
+SHARD, COMBINED, TEXTS = 8 << 20, 3072, 1024
 END = b"\n"
 U8 = np.uint64
 PAIRS_ROW = "shard long, names binary, checks binary, each binary, contexts binary, counts binary"
@@ -420,7 +420,7 @@ def scored(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lm")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD))
-    places = 4 * math.isqrt(shards)
+    places = 16 * math.isqrt(shards)
     for seed in itertools.count():
         if found := fitted(docs.where(~F.col("held_out")), scratch, shards, places, seed):
             break
