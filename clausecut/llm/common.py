@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 #: A word is a run of anything but ASCII white space.
@@ -41,13 +42,19 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark).rstrip('/')}/clausecut-{label}-{uuid.uuid4().hex[:12]}", 0
         self.paths: dict[str, str] = {}
+        self.schemas: dict[str, StructType] = {}
 
     def write(self, df: DataFrame, name: str, compact: bool = False) -> DataFrame:
         """compact: for rows that are much smaller than what they were made from; they go to few files of a good size."""
         self.n += 1
         path = self.paths[name] = f"{self.root}/{self.n:03d}-{name}"
         (df.hint("rebalance") if compact else df).write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.schemas[name] = df.schema
+        return self.table(name)
+
+    def table(self, name: str) -> DataFrame:
+        """A table written before and not dropped."""
+        return self.spark.read.schema(self.schemas[name]).parquet(self.paths[name])
 
     def drop(self, *names: str) -> None:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path

@@ -76,3 +76,43 @@ def test_names_that_clash_are_given_anew(spark, monkeypatch):
     assert lm_scoring.scored(df).first().n_known == 5 and seeds == [0, 1]
     b = pd.DataFrame([{"shard": 0, "names": np.array([7], "<u8").tobytes(), "checks": np.array([c], "<u8").tobytes(), "each": np.array([1], "<u4").tobytes(), "contexts": np.array([1], "<u8").tobytes(), "counts": b"\x01"} for c in (1, 2)])
     assert word_contexts.merged(b)["clashes"].tolist() == [1] and word_contexts.merged(b.iloc[[0, 0]].reset_index(drop=True))["clashes"].tolist() == [0]
+
+
+def test_what_moves_is_in_proportion_to_the_texts(spark, monkeypatch):
+    """Hashes of contexts moved with all pairs, twice, and again with the model and its answers."""
+    monkeypatch.setattr(word_contexts, "SHARD", 1 << 20)
+    rng = np.random.default_rng(7)
+    words = np.array([f"word{k:x}" for k in range(50_000)])
+    texts = [" ".join(words[np.minimum(rng.zipf(1.2, 400), len(words)) - 1]) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+
+    def written() -> int:
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        every = sc.statusStore().executorList(False)
+        return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+    before = written()
+    lm_scoring.scored(df).write.format("noop").mode("overwrite").save()
+    moved, size = written() - before, sum(map(len, texts))
+    assert moved < 4 * size
+
+
+def test_words_have_one_number_each(spark):
+    """The same in every row that names them; in a slot the most frequent first, words of no training text last and not in the vocabulary."""
+    names = np.array([5, 7, 9, (1 << 48) + 1], "<u8")
+    row = lambda which, counts: {"shard": 0, "names": names[which].tobytes(), "checks": names[which].tobytes(), "counts": word_contexts.short(np.array(counts))}
+    got = word_contexts.merged(pd.DataFrame([row([0, 1, 3], [1, 300, 2]), row([0, 2], [5, 0])])).iloc[0]
+    first, second = (np.frombuffer(x, "<u4").tolist() for x in got["numbers"])
+    assert (first, second) == ([1, 0, 1 << 16], [1, 2]) and (got["v"], got["n"], got["clashes"]) == (3, 308, 0)
+    assert [word_contexts.full(x, k).tolist() for x, k in zip(got["totals"], (3, 2), strict=True)] == [[6, 300, 2], [6, 0]]
+
+
+def test_held_out_words_that_share_a_hash_clash():
+    rows = [{"shard": 0, "names": np.array([7], "<u8").tobytes(), "checks": np.array([c], "<u8").tobytes(), "counts": word_contexts.short(np.array([n]))} for c, n in ((1, 3), (2, 0))]
+    assert word_contexts.merged(pd.DataFrame(rows))["clashes"].tolist() == [1]
+
+
+def test_packed_arrays_come_back():
+    b = pd.DataFrame({"contexts": [np.array([1, 2**40], "<u8").tobytes(), b"", None], "counts": [b"\x01\x02", b"", None], "samples": [[b"\x03", b""], [], None], "shard": [1, 2, 3]})
+    assert word_contexts.unpack(word_contexts.pack(b)).equals(b)
