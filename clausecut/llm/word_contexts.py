@@ -92,6 +92,12 @@ def unpack(b: pd.DataFrame) -> pd.DataFrame:
     return b.assign(**{c: [each_blob(loose, x, WIDTHS[c]) for x in b[c]] for c in b.columns if c in WIDTHS})
 
 
+def records(b: pd.DataFrame) -> Iterator[dict]:
+    """Rows of a packed frame, unpacked one at a time."""
+    for r in b.to_dict("records"):
+        yield {c: each_blob(loose, x, WIDTHS[c]) if c in WIDTHS else x for c, x in r.items()}
+
+
 def packing(f):
     """f over frames of a group or of two, packed where they move."""
     return lambda b: pack(f(unpack(b)))
@@ -165,9 +171,9 @@ def tokenized(batch: pa.RecordBatch, shards: int, seed: int) -> pd.DataFrame:
             sizes.append(len(words))
     flat = np.concatenate(ids)
     del ids
-    names, checks = (np.fromiter((xxhash.xxh3_64_intdigest(w, x) for w in number), dtype=U8, count=len(number)) for x in (seed, ~seed & 0xFFFFFFFF))
+    names, checks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, seed) for w in number), "<u8").reshape(-1, 2).T
     del number
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     names, checks, at = names[order], checks[order], np.empty(len(order), np.uint32)
     at[order] = np.arange(len(order), dtype=np.uint32)
     flat = at[flat]
@@ -194,7 +200,7 @@ def merged(b: pd.DataFrame) -> pd.DataFrame:
     sizes = [len(x) // 8 for x in b["names"]]
     names, checks = u8(b"".join(b["names"])), u8(b"".join(b["checks"]))
     n = np.concatenate([full(x, k) for x, k in zip(b["counts"], sizes, strict=True)])
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     clashes = int(((names[order][1:] == names[order][:-1]) & (checks[order][1:] != checks[order][:-1])).sum())
     starts, ends = cuts(names[order])
     words, total = names[order][starts], np.add.reduceat(n[order], starts)
@@ -251,7 +257,7 @@ def gathered(b: pd.DataFrame) -> pd.DataFrame:
     key, n = np.concatenate(keys), np.concatenate(counts)
     if not len(key):
         return pd.DataFrame(columns=names_of(MODEL_ROW))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     starts, _ = cuts(key)
     key, n = key[starts], np.add.reduceat(n[order], starts)
@@ -376,13 +382,24 @@ def customers(b: pd.DataFrame, places: int) -> pd.DataFrame:
 
 
 def held_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The contexts of held-out texts' pairs, by shard."""
+    """The contexts of held-out texts' pairs, by shard; packed, as what it reads is."""
     for b in batches:
-        for r in b.to_dict("records"):
+        rows = []
+        for r in records(b):
             contexts = u8(r["contexts"])
             held = full(r["counts"], len(contexts)) > full(r["train"], len(contexts))
             if held.any():
-                yield pd.DataFrame([{"shard": r["shard"], "contexts": np.unique(contexts[held]).tobytes()}])
+                rows.append({"shard": r["shard"], "contexts": np.unique(contexts[held]).tobytes()})
+        if rows:
+            yield pack(pd.DataFrame(rows))
+
+
+def found(among: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of x in a sorted array, -1 for what is not there."""
+    if not len(among):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(among, x), len(among) - 1)
+    return np.where(among[at] == x, at, -1)
 
 
 class Shard:
@@ -395,6 +412,7 @@ class Shard:
         self.names, self.c, self.parents = np.zeros(0, U8), np.zeros(0, np.int64), np.zeros((0, SAMPLES))
         self.word, self.context, self.own = np.zeros(0, np.int64), np.zeros(0, U8), np.zeros(0)
         self.every, self.sums, self.answers = np.zeros(0, U8), np.zeros((0, 1 + SAMPLES), np.int64), []
+        self.key, self.of_pairs = np.zeros(0, U8), np.zeros(0, "<f4")
 
     def model(self, r: dict) -> None:
         self.names, self.word, self.context, self.count = pairs_of(r)
@@ -416,21 +434,34 @@ class Shard:
             every, sums = (np.concatenate(x) for x in zip(*self.answers, strict=True))
             order = np.argsort(every)
             self.every, self.sums, self.answers = every[order], sums[order], []
-            self.on = np.searchsorted(self.every, self.context)  # all are there
-            self.key = self.word * len(self.every) + self.on
+            self.key = self.names[self.word] << U8(32) | self.context  # sorted
+            self.of_pairs = self.logs_at(self.word, np.searchsorted(self.every, self.context), self.own)  # all are there
 
-    def scores(self, names: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Whether known, log10 of the base and of the model, for pairs of a word and its context."""
-        found = lambda among, x: (lambda at: np.where(among[at] == x, at, -1))(np.minimum(np.searchsorted(among, x), len(among) - 1)) if len(among) else np.full(len(x), -1)
-        word, on = found(self.names, names), found(self.every, contexts)
+    def logs_at(self, word: np.ndarray, on: np.ndarray, own: np.ndarray | float) -> np.ndarray:
+        """log10 of the model for words and contexts by their places, -1 for one that is not there."""
         known, met = word >= 0, on >= 0
-        parents, sums, c, own = np.zeros((len(word), SAMPLES)), np.zeros((len(on), 1 + SAMPLES)), np.zeros(len(word)), np.zeros(len(word))
-        parents[known], c[known], sums[met] = self.parents[word[known]], self.c[word[known]], self.sums[on[met]]
-        both = np.flatnonzero(known & met)
-        at = found(self.key, word[both] * len(self.every) + on[both]) if len(both) else both
-        own[both] = np.where(at >= 0, self.own[at], 0.0) if len(both) else 0.0
+        parents, sums = np.zeros((len(word), SAMPLES)), np.zeros((len(on), 1 + SAMPLES))
+        parents[known], sums[met] = self.parents[word[known]], self.sums[on[met]]
         back = ((THETA + D * sums[:, 1:]) * (parents + self.new) / self.top).sum(axis=1) / SAMPLES
-        return known, np.log10((c + 1) / (self.n + self.v + 1)), np.log10((own + back) / (THETA + sums[:, 0])).astype("<f4")
+        return np.log10((own + back) / (THETA + sums[:, 0])).astype("<f4")
+
+    def logs(self, names: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """The same for words and contexts by their numbers. Training pairs have been worked out before."""
+        at = found(self.key, names << U8(32) | contexts)
+        new = np.flatnonzero(at < 0)
+        if len(new) == len(at):
+            out = np.empty(len(at), "<f4")
+        else:
+            out = self.of_pairs[at]
+        out[new] = self.logs_at(found(self.names, names[new]), found(self.every, contexts[new]), 0.0)
+        return out
+
+    def scores(self, names: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether known, log10 of the base and of the model, for pairs of a word and its context."""
+        word = found(self.names, names)
+        c = np.zeros(len(word))
+        c[word >= 0] = self.c[word[word >= 0]]
+        return word >= 0, np.log10((c + 1) / (self.n + self.v + 1)), self.logs(names, contexts)
 
 
 def summed(batches: Iterator[pd.DataFrame], fresh: partial) -> Iterator[pd.DataFrame]:
@@ -438,8 +469,7 @@ def summed(batches: Iterator[pd.DataFrame], fresh: partial) -> Iterator[pd.DataF
     shard, of, ready = None, None, False
     for b in batches:
         rows = []
-        for r in b.to_dict("records"):
-            r = {c: each_blob(loose, x, WIDTHS[c]) if c in WIDTHS else x for c, x in r.items()}
+        for r in records(b):
             if of != r["shard"]:
                 shard, of, ready = fresh(), r["shard"], False
             if r["kind"] == 0:
@@ -453,7 +483,7 @@ def summed(batches: Iterator[pd.DataFrame], fresh: partial) -> Iterator[pd.DataF
                     shard.ready()
                     ready = True
                 contexts = u8(r["contexts"])
-                score = shard.scores(np.repeat(u8(r["names"]), u4(r["each"])), contexts)[2]
+                score = shard.logs(np.repeat(u8(r["names"]), u4(r["each"])), contexts)
                 texts = np.frombuffer(r["texts"], "<u2")
                 here = np.flatnonzero(np.bincount(texts))
                 sums = np.bincount(texts, weights=np.repeat(score, full(r["counts"], len(contexts))))[here]
@@ -543,7 +573,7 @@ def scored(docs: DataFrame) -> DataFrame:
         return df.select(*(have.get(f.split()[0], F.lit(None)).cast(f.split()[1]).alias(f.split()[0]) for f in LOOK_ROW.split(", ")))
 
     fit = rows(model, 0).unionByName(rows(state, 1, names=F.lit(None), contexts=F.lit(None), counts=F.lit(None)))
-    held = of_shards.select("shard", "contexts", "counts", "train").mapInPandas(packing_rows(held_contexts), "shard long, contexts binary")
+    held = of_shards.select("shard", "contexts", "counts", "train").mapInPandas(tidy(held_contexts), "shard long, contexts binary")
     parts = fit.unionByName(rows(held, 2)).select("shard", "kind", "names", "each", "contexts", "counts", "samples")
     asks = parts.repartition(shards, "shard").groupBy("shard").applyInPandas(packing(lambda b: customers(b, places)), ASK_ROW)
     answers = scratch.write(asks.repartition(places, "place").groupBy("place").applyInPandas(packing(told), TOLD_ROW), "answers")
