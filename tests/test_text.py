@@ -176,3 +176,26 @@ def test_merge_headers(spark, raw, want):
 
 def test_merge_headers_strict():
     assert segment.HeaderMerger(["DZIENNIK USTAW", "bez roku", "Tekst"], strict=True).run() == ["DZIENNIK USTAW bez roku Tekst"]
+
+
+def test_text_is_cut_as_a_whole_as_token_by_token(spark, monkeypatch):
+    """Odd texts give the sentences and segments of the walk over tokens, and no lambda runs over a line's tokens."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from clausecut import patterns as P
+    from clausecut.operators import punkt, segment
+
+    r = random.Random(8)
+    words = ["art", "ART", "ust", "Kt", "5-u", "12", "1.2", "-3", "a", "Ż", "ala", "Ala", "PÓŹN", "zm", "[SPLIT_MARKER]", "na podstawie", "Na  podstawie", "ogłasza\tsię", "\U0001d400", "ſtr", "İ", "x-art", "\x1f"]
+    marks = ["."] * 4 + ["..", "...", "…", "?", "!", ";", ":", ",", ")", "(", '"', "”", "„", "»", "]", "[", "-"]
+    blanks = [" "] * 3 + ["  ", "\t", "\n", "\n\n", "\r\n", "\r", "\x0b", "\x85", " ", "\xa0", ""]
+    texts = ["".join(r.choice(r.choice((words, marks, marks, blanks, blanks))) for _ in range(r.randrange(28))) for _ in range(4000)]
+    rows = spark.createDataFrame([*((t if i % 9 else t + "\x1d" + t,) for i, t in enumerate(texts)), (None,), ("",), ("\n",)], "t string")
+    x = F.col("t")
+    new = rows.select("t", punkt.sentences(x, P.TERMS).alias("s"), segment.split_lines(x).alias("l"))
+    got = {q.t: (q.s, q.l) for q in new.collect()}
+    monkeypatch.setattr(punkt, "sentences", punkt._by_token)
+    want = {q.t: (q.s, q.l) for q in rows.select("t", punkt._by_token(x, P.TERMS).alias("s"), segment._split_each_line(x, P.TERMS).alias("l")).collect()}
+    assert got == want and sum(len(s) > 1 for s, _ in got.values() if s) > 500
