@@ -199,3 +199,13 @@ def test_text_is_cut_as_a_whole_as_token_by_token(spark, monkeypatch):
     monkeypatch.setattr(punkt, "sentences", punkt._by_token)
     want = {q.t: (q.s, q.l) for q in rows.select("t", punkt._by_token(x, P.TERMS).alias("s"), segment._split_each_line(x, P.TERMS).alias("l")).collect()}
     assert got == want and sum(len(s) > 1 for s, _ in got.values() if s) > 500
+
+
+def test_short_segments_are_matched_once():
+    from clausecut.operators import segment
+
+    segment._found_short.cache_clear()
+    for _ in range(50):
+        assert segment.cleaned(["Art. 5.", "zm.", " ; ", "Tekst"]) == ["Art. 5. ;", "Tekst"]
+        assert segment.HeaderMerger(["Art. 5.", "Tekst", "x" * 300]).run() == ["Art. 5. Tekst", "x" * 300]
+    assert segment._found_short.cache_info().misses < 30 and segment._found_short.cache_info().maxsize == segment.MOST
