@@ -209,3 +209,23 @@ def test_short_segments_are_matched_once():
         assert segment.cleaned(["Art. 5.", "zm.", " ; ", "Tekst"]) == ["Art. 5. ;", "Tekst"]
         assert segment.HeaderMerger(["Art. 5.", "Tekst", "x" * 300]).run() == ["Art. 5. Tekst", "x" * 300]
     assert segment._found_short.cache_info().misses < 30 and segment._found_short.cache_info().maxsize == segment.MOST
+
+
+def test_labels_in_batches(spark, sf):
+    """The rules over whole batches give what the rules over arrays give, and the queries' tokens are not shuffled."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from clausecut.operators import labels
+    from clausecut.plans import queries as Q
+
+    r = random.Random(4)
+    words = ["art", "Art", "ust", "PÓŹN", "m", "x", "Ż", "ala", "Ala", "12", "٣", "²", "①", "ǅa", "ª", "中", "\U0001d400", "İ", "tabela", "TABELA", *":;,.?!()[]§„\"’-–—", ")", ".", ":", ",", ";", "7"]
+    lists = [[r.choice(words) for _ in range(r.choice((0, 1, 2, 5, 6, 8, 13)))] for _ in range(5000)]
+    rows = spark.createDataFrame([(x,) for x in [*lists, None]], "t array<string>")
+    for single, rule in ((False, labels.label_lines), (True, labels.label_single_line)):
+        both = rows.withColumn("a", labels.in_batches(single)(F.col("t"))).withColumn("b", rule(F.col("t"))).collect()
+        assert len(both) == 5001 and [q for q in both if q.a != q.b] == []
+    for name in ("sentence_ends_single_line",):
+        assert "Exchange" not in Q.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
